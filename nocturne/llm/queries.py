@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import linededup, minhash
+from . import bytebpe, linededup, minhash, tokencount
 
 
 def queries() -> dict:
     return {
         "op5_line_dedup": linededup.op5_line_dedup,
+        "op7_byte_bpe": bytebpe.op7_byte_bpe,
+        "op8_token_counts": tokencount.op8_token_counts,
         "op10_minhash": minhash.op10_minhash,
     }
 
