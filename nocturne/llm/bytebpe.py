@@ -13,7 +13,6 @@ import base64
 import functools
 import hashlib
 import json
-import os
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from .chars import BLANK, LETTER, OTHER, byte_starts, classes, code_points
 from .text import Ranges, lists, sized, utf8
 
 RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 
 
 def public_path(name: str) -> str:
@@ -80,13 +79,12 @@ class Codec:
     """The vocabulary, and ids of the pieces met so far."""
 
     def __init__(self, ranks: str, vocabulary: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, models
+        from tokenizers import models
 
         with open(vocabulary, encoding="utf-8") as f:
             model = json.load(f)["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.tokenizer = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
+        self.model = models.BPE(vocab=model["vocab"], merges=merges)
         with open(ranks, "rb") as f:
             table = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
         size = max(table) + 1
@@ -102,7 +100,8 @@ class Codec:
 
     def _learn(self, data: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         text = self.characters[data].tobytes().decode("utf-32-le")
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([text[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)], add_special_tokens=False)]
+        tokenize = self.model.tokenize
+        found = [[t.id for t in tokenize(text[s:e])] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
         n = np.array([len(x) for x in found], np.int64)
         self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.int32)])
         self.where = np.concatenate([self.where, len(self.ends) - 1 + np.arange(len(found))])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bytebpe, linededup, minhash, tokencount
+from . import balltree, bytebpe, linededup, minhash, mixing, tokencount, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op3_top_k": balltree.op3_top_k,
+        "op4_mixing": mixing.op4_mixing,
         "op5_line_dedup": linededup.op5_line_dedup,
         "op7_byte_bpe": bytebpe.op7_byte_bpe,
         "op8_token_counts": tokencount.op8_token_counts,
@@ -15,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": linededup.OP5_SQL}
+    return {"op3_top_k": balltree.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op5_line_dedup": linededup.OP5_SQL}
