@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import balltree, bytebpe, linededup, minhash, mixing, tokencount, toxicity
+from . import balltree, bytebpe, linededup, minhash, mixing, rptree, tokencount, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_near_vectors": rptree.op2_near_vectors,
         "op3_top_k": balltree.op3_top_k,
         "op4_mixing": mixing.op4_mixing,
         "op5_line_dedup": linededup.op5_line_dedup,
