@@ -2,16 +2,15 @@
 
 1. One pass over the texts gives each document the hash of its shingle set and ``BANDS * ROWS`` minima of universal
    hashes a*x+b. Documents with equal sets are one class; the least doc_id of each goes on.
-2. Bands of minima are bucket keys. Round 1 verifies, for each document, the bucket minimum with which it shares most
-   bands: one pair a document at most, whatever the bucket sizes.
-3. Buckets whose members are not yet in one component go through further rounds. Blocks of about ``BLOCK`` members
-   compare signatures; each member proposes its best partners of other components that are not tested yet, eight times
-   as many each round, until no bucket has an untested pair above the signature bound. So every pair that shares a
-   bucket and could reach the threshold is either verified or already inside one component; no group is expanded
-   into all its pairs.
-
-With 6 rows in 24 bands a pair at similarity 0.85 shares no band with probability 1.1e-5, at 0.8 with 6.6e-4. The
-signature bound lies six standard deviations below the threshold, so it costs nothing measurable.
+2. Bands of minima are bucket keys. First each document is verified against one bucket minimum, that with which it
+   shares most bands: one pair a document at most, whatever the bucket sizes.
+3. In buckets whose members are not yet in one component, the members outside the largest one are compared with all
+   others, in blocks of about ``BLOCK`` by ``BLOCK``, on their sets of 32-bit shingle hashes; a block gives each member
+   its most similar partner of every other component within reach of the threshold. These are verified on full sets.
+   So every pair that shares a bucket is verified, inside one component, or compared in a block; no group is expanded
+   into its pairs.
+
+With 6 rows in 24 bands a pair at similarity 0.85 shares no band with probability 1.1e-5, at 0.8 with 6.6e-4.
 """
 
 from __future__ import annotations
@@ -71,6 +70,14 @@ def _sets(words: int):
     return run
 
 
+def _small_sets(words: int):
+    def run(batches):
+        for ids, sets in _per_text(batches, words):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([np.unique((s >> U(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], ["id", "small"])
+
+    return run
+
+
 def _bands(batches):
     for batch in batches:
         n = batch.num_rows
@@ -86,7 +93,7 @@ def _bands(batches):
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     needed = scratch.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "needed")
-    sets = scratch.save(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets")
+    sets = scratch.save(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets")
     one = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -95,33 +102,54 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scrat
     return out
 
 
-def _propose(bound: float, keep: int):
-    """For each member on the left of a block, its best untested partners of other components on the right."""
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of left and right sets, by the product of their incidence matrices."""
+    n = np.array([len(s) for s in sets])
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    for lo in range(0, at[-1] + 1, 8192):  # columns of the matrices, so many at a time
+        a, b = np.searchsorted(at, [lo, lo + 8192])
+        both = np.zeros((len(sets), 8192), np.float32)
+        both[row[a:b], at[a:b] - lo] = 1
+        out += both[left] @ both[right].T
+    return out
+
+
+def _propose(percent: int):
+    """For each member on the left of a block, its most similar partner of each other component on the right."""
 
     def run(batches):
         for t, cuts in whole_groups(batches, ["key", "i", "j"]):
             ids, comp, left = (t.column(c).to_numpy() for c in ("id", "comp", "left"))
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
-            tested = t.column("tested")
+            column = t.column("small")
             a, b = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                l, r = np.flatnonzero(left[lo:hi]) + lo, np.flatnonzero(~left[lo:hi]) + lo
+                l, r = np.flatnonzero(left[lo:hi]), np.flatnonzero(~left[lo:hi])
                 if not len(l) or not len(r):
                     continue
-                alike = np.stack([(sig[r] == sig[x]).mean(axis=1) for x in l])
-                alike[comp[l][:, None] == comp[r][None, :]] = -1
-                for k, x in enumerate(l):
-                    taken = 0
-                    for m in np.argsort(-alike[k], kind="stable"):
-                        if alike[k, m] < bound or taken == keep:
-                            break
-                        y = r[m]
-                        lo_id, hi_id, at = (ids[x], ids[y], y) if ids[x] < ids[y] else (ids[y], ids[x], x)
-                        if lo_id not in (tested[int(at)].as_py() or ()):
-                            a.append(lo_id)
-                            b.append(hi_id)
-                            taken += 1
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                sets = [np.frombuffer(x.as_py(), np.uint32) for x in column.slice(lo, hi - lo)]
+                size = np.array([len(s) for s in sets], np.float64)
+                common = _overlaps(sets, l, r).astype(np.float64)
+                # two of the 32-bit hashes may be equal by chance, so one element more or less is allowed for
+                fits = 100 * (common + 1) >= percent * (size[l][:, None] + size[r][None, :] - common - 1)
+                fits &= comp[lo:hi][l][:, None] != comp[lo:hi][r][None, :]
+                x, y = np.nonzero(fits)
+                if not len(x):
+                    continue
+                near = common[x, y] / (size[l[x]] + size[r[y]] - common[x, y])
+                order = np.lexsort((-near, comp[lo:hi][r[y]], x))
+                x, y = x[order], y[order]
+                c = comp[lo:hi][r[y]]
+                first = np.ones(len(x), bool)
+                first[1:] = (x[1:] != x[:-1]) | (c[1:] != c[:-1])
+                p, q = ids[lo:hi][l[x[first]]], ids[lo:hi][r[y[first]]]
+                a.append(np.minimum(p, q))
+                b.append(np.maximum(p, q))
+            both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     return run
 
@@ -141,7 +169,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.save(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     member = scratch.save(full.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "rep"), "member")
-    reps = scratch.save(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"]), "reps")
+    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"])
     bands = scratch.save(reps.mapInArrow(_bands, "key long, id long"), "bands")
     buckets = scratch.save(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"), "buckets")
     shared = scratch.save(bands.join(buckets.select("key", "least"), "key"), "shared")
@@ -149,42 +177,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
     near = shared.where("id != least").groupBy("id", "least").agg(F.count("*").alias("n"))
     best = near.groupBy("id").agg(F.max_by("least", F.struct("n", -F.col("least"))).alias("least"))
     pairs = scratch.save(best.select(F.col("least").alias("a"), F.col("id").alias("b")), "pairs")
-    tested, links = pairs, _verified(pairs, docs, words, percent, scratch)
-    bound = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
-    keep = 1
-    while True:
-        comps = scratch.save(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "comps")
-        pairs = _cross_pairs(shared, comps, reps, tested, bound, keep, scratch)
-        if pairs is None:
-            break
-        found = _verified(pairs, docs, words, percent, scratch)
-        tested = scratch.save(tested.unionByName(pairs), "tested")
-        links = scratch.save(links.unionByName(found), "links")
-        keep *= 8
+    links = _verified(pairs, docs, words, percent, scratch)
+    comps = scratch.save(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "comps")
+    more = _cross_links(shared, comps, docs, words, percent, scratch)
+    links = links.unionByName(_verified(more, docs, words, percent, scratch))
+    comps = scratch.save(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "comps")
     of = member.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).distinct()
     out = sketch.select("doc_id", "n_shingles").join(of, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
-def _cross_pairs(shared, comps, reps, tested, bound, keep, scratch) -> DataFrame | None:
-    """Untested pairs of different components that share a bucket, or None.
-
-    Of each bucket, members outside its largest component are compared with all others: both sides in blocks of at
-    most about BLOCK, so a bucket of any size is many small tasks, and one component alone is no work at all."""
+def _cross_links(shared: DataFrame, comps: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs of different components that share a bucket and are alike on 32-bit hashes; see step 3 above."""
     now = scratch.save(shared.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "now")
     per = now.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
     per = per.where("c > 1").select("key", F.col("top.comp").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("kr"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("kl"))
     rows = scratch.save(now.join(scratch.save(per, "split"), "key"), "rows")
+    needed = scratch.save(rows.select(F.col("id").alias("doc_id")).distinct(), "needed")
+    small = scratch.save(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_small_sets(words), "id long, small binary"), "small")
     spread = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     home = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
     left = rows.where("comp != main").select("key", "id", "comp", F.lit(True).alias("left"), home("kl").alias("i"), spread("kr").alias("j"))
     right = rows.select("key", "id", "comp", F.lit(False).alias("left"), spread("kl").alias("i"), home("kr").alias("j"))
-    done = tested.groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("tested"))
-    facts = scratch.save(reps.withColumnRenamed("doc_id", "id").join(rows.select("id").distinct(), "id", "left_semi").join(done, "id", "left"), "facts")
-    wide = left.unionByName(right).join(facts, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = scratch.save(wide.mapInArrow(_propose(bound, keep), "a long, b long").distinct(), "proposed")
-    scratch.drop(now, rows, facts)
-    return found if found.limit(1).count() else None
+    wide = left.unionByName(right).join(small, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = scratch.save(wide.mapInArrow(_propose(percent), "a long, b long").distinct(), "proposed")
+    scratch.drop(now, rows, needed, small)
+    return found
 
 
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
