@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import balltree, bytebpe, linededup, minhash, mixing, rptree, tokencount, toxicity
+from . import balltree, bytebpe, linededup, lpf, minhash, mixing, rptree, tokencount, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_line_dedup": linededup.op5_line_dedup,
         "op7_byte_bpe": bytebpe.op7_byte_bpe,
         "op8_token_counts": tokencount.op8_token_counts,
+        "op9_repeats": lpf.op9_repeats,
         "op10_minhash": minhash.op10_minhash,
     }
 
