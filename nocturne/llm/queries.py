@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import balltree, bytebpe, linededup, lpf, minhash, mixing, rptree, tokencount, toxicity
+from . import balltree, bytebpe, linededup, lm, lpf, minhash, mixing, rptree, tokencount, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_top_k": balltree.op3_top_k,
         "op4_mixing": mixing.op4_mixing,
         "op5_line_dedup": linededup.op5_line_dedup,
+        "op6_lm_score": lm.op6_lm_score,
         "op7_byte_bpe": bytebpe.op7_byte_bpe,
         "op8_token_counts": tokencount.op8_token_counts,
         "op9_repeats": lpf.op9_repeats,
