@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .text import LOWER, U, Ranges, mix, sized, utf8
 
@@ -101,8 +102,9 @@ def fit(docs: DataFrame, labels: DataFrame, where=None) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, score (0 to 1). Null and empty texts have the score of the bias alone."""
+def with_score(docs: DataFrame, model: np.ndarray, name: str = "score") -> DataFrame:
+    """All rows and columns of docs, in their order, and the score (0 to 1) as column ``name``, which docs must not
+    have. Null and empty texts have the score of the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -110,9 +112,14 @@ def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
         for batch in sized(batches, "text"):
             x, cut = features(*utf8(batch.column("text")))
             total = np.concatenate([[0], np.cumsum(w[x])])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(total[cut[1:]] - total[cut[:-1]] + w[DIM], -35, 35))))], ["doc_id", "score"])
+            yield batch.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(total[cut[1:]] - total[cut[:-1]] + w[DIM], -35, 35)))))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+
+def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, score."""
+    return with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", "score")
 
 
 def fold(mod: int):
