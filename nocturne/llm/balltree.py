@@ -96,7 +96,7 @@ def search(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.nda
 
 def _matrix(column) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def _search(k: int):
