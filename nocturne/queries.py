@@ -373,3 +373,32 @@ def peak_rate(spark, sf):
     minutes = by_c.groupBy("ch", "c_bin").agg(F.count("*").alias("k"))
     n = bins.bin_join(by_c, "f", RATE_F, "f_bin").groupBy("ch", "c_bin", "f_bin").agg(F.count("*").alias("n"))
     return n.join(minutes, ["ch", "c_bin"]).select("ch", "c_bin", "f_bin", "n", R(F.when(F.col("k") >= 10, F.col("n") / (F.col("k") * 0.5))).alias("rate"))
+
+
+# --- kernels in Arrow groups ------------------------------------------------------------------------------------------
+
+
+@query()
+def extract_peaks(spark, sf):
+    from .operators import peaks as found
+
+    px = image(spark, sf).withColumn("rec", F.lit(1)).withColumn("segment", (F.floor(F.col("t_idx") / 50) + 1).cast("int"))
+    return found.peak_table(found.label_segments(px), 0.5, 0.25)
+
+
+@query()
+def band_envelope(spark, sf):
+    """Amplitude and phase of the samples of each recording, band-passed with zero phase."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .kernels.filters import analytic, cheby1_sos, sosfiltfilt
+
+    sos = cheby1_sos(2, 0.2, (0.1, 0.4), 2.0, "bandpass")
+
+    def run(table):
+        table = table.sort_by("t")
+        z = analytic(sosfiltfilt(sos, table.column("v").to_numpy()))
+        return table.append_column("amplitude", pa.array(np.abs(z))).append_column("phase", pa.array(np.angle(z)))
+
+    return samples(spark, sf).select("user_id", "t", "v").groupBy("user_id").applyInArrow(run, "user_id long, t double, v double, amplitude double, phase double")
