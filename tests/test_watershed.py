@@ -36,7 +36,7 @@ def test_merging():
     names = lambda x: set(np.unique(x).tolist()) - {0}
     assert len(names(ws.merge(label, height, 1e9))) == 3
     assert len(names(ws.merge(label, height, -1e9))) == 1
-    merged = ws.merge(label, height, -6.0)
+    merged = ws.merge(label, height, 0.0)
     assert len(names(merged)) == 2 and merged[10, 10] == merged[10, 20] != merged[10, 33]
     assert names(ws.paint(merged)) == {1, 2}
 
