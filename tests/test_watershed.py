@@ -36,9 +36,12 @@ def test_merging():
     names = lambda x: set(np.unique(x).tolist()) - {0}
     assert len(names(ws.merge(label, height, 1e9))) == 3
     assert len(names(ws.merge(label, height, -1e9))) == 1
-    merged = ws.merge(label, height, 0.0)
-    assert len(names(merged)) == 2 and merged[10, 10] == merged[10, 20] != merged[10, 33]
-    assert names(ws.paint(merged)) == {1, 2}
+    # the third hill's only neighbour is the survivor of the first merge, so it is taken in at any weight
+    assert len(names(ws.merge(label, height, 0.0))) == 1
+    four = hill((20, 52), (10, 10, 4, 10.0), (10, 20, 4, 10.0), (10, 33, 2.5, 9.0), (10, 45, 3, 9.0))
+    merged = ws.merge(ws.basins(-four), four, 0.0)
+    assert len(names(merged)) == 3 and merged[10, 10] == merged[10, 20] != merged[10, 33]
+    assert names(ws.paint(merged)) == {1, 2, 3}
 
 
 def test_outline():
