@@ -30,6 +30,8 @@ CONTEXT, BLOCK, STRIDE, WIDTH, CLASSES = 32, 16, 512, 16, 384
 OWN, NEAR, LEAST = 288, 64, 20
 HEAD, ROUNDS, BATCH, RATE = 1 << 17, 3, 16, 1e-2
 SEGMENT = 1 << 15
+#: A corpus with fewer than ENOUGH windows is gone through again, MOST_PASSES times at most.
+ENOUGH, MOST_PASSES = 60_000, 16
 HELD = 5
 
 
@@ -103,12 +105,13 @@ def gradient(p: dict[str, np.ndarray], c: np.ndarray) -> tuple[float, dict[str,
     return loss, g
 
 
-def adam(p: dict[str, np.ndarray], windows: np.ndarray, rate: float, seed: int) -> dict[str, np.ndarray]:
-    """One pass over the windows; the pair factors stay as counted."""
+def adam(p: dict[str, np.ndarray], windows: np.ndarray, rate: float, seed: int, passes: int = 1) -> dict[str, np.ndarray]:
+    """Passes over the windows, each in an order of its own; the pair factors stay as counted."""
     p = {k: v.copy() for k, v in p.items()}
     m, s = ({k: np.zeros_like(v) for k, v in p.items() if k != "pair"} for _ in range(2))
-    order = np.random.default_rng(seed).permutation(len(windows))
-    steps = -(-len(windows) // BATCH)
+    rng = np.random.default_rng(seed)
+    order = np.concatenate([rng.permutation(len(windows)) for _ in range(passes)])
+    steps = -(-len(order) // BATCH)
     for i in range(steps):
         _, g = gradient(p, windows[order[i * BATCH : (i + 1) * BATCH]])
         now = rate * (1 - 0.8 * i / steps)
@@ -251,14 +254,20 @@ def _count_words(batches):
 
 
 def _gather(paths):
-    """Of the training texts: counts of ids (window null) and windows of ids."""
-    schema = pa.schema([("key", pa.int32()), ("n", pa.int64()), ("window", pa.list_(pa.int32()))])
+    """Of the training texts: counts of pairs of ids, a * IDS + b, the first of a text after an end (window null); and
+    windows of ids."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("window", pa.list_(pa.int32()))])
+    counts = lambda keys, n: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.nulls(len(keys), pa.list_(pa.int32()))], schema=schema)
 
     def run(batches):
-        seen = np.zeros(IDS, np.int64)
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in sized(batches, "text"):
             ids, size = streams(lowered(*utf8(batch.column("text"))), batch.num_rows, paths)
-            seen += np.bincount(ids, minlength=IDS)
+            pair = np.concatenate([[END], ids[:-1]]).astype(np.int64) * IDS + ids
+            keys, n = _tally(np.concatenate([keys, pair]), np.concatenate([n, np.ones(len(pair), np.int64)]))
+            if len(keys) > 1_000_000:
+                yield counts(keys, n)
+                keys, n = keys[:0], n[:0]
             # a window begins at the end before a text, or at every STRIDE-th id of it
             begin = np.cumsum(size) - size
             each = -(-size // STRIDE)
@@ -267,25 +276,22 @@ def _gather(paths):
             text = np.concatenate([[END], ids, np.full(CONTEXT + 1, END)])
             place = at[:, None] + np.arange(CONTEXT + 1)[None, :]
             window = np.where(place <= stop[:, None], text[np.minimum(place, len(text) - 1)], -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64()), lists(window.ravel(), np.full(len(at), CONTEXT + 1), pa.int32())], schema=schema)
-        there = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(seen[there]), pa.nulls(len(there), pa.list_(pa.int32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), lists(window.ravel(), np.full(len(at), CONTEXT + 1), pa.int32())], schema=schema)
+        yield counts(keys, n)
 
     return run
 
 
 def _neighbours(shared):
-    """Counts of (id, before or after, frequent id)."""
+    """From counts of pairs, counts of (id, after or before, frequent id)."""
 
     def run(batches):
         rank = shared.value
         for batch in batches:
-            w = batch.column("window").flatten().to_numpy(zero_copy_only=False).reshape(-1, CONTEXT + 1)
-            a, b = w[:, :-1].ravel(), w[:, 1:].ravel()
-            ok = b >= 0
-            a, b = a[ok].astype(np.int64), b[ok].astype(np.int64)
-            key = np.concatenate([(a * 2 * NEAR + rank[b])[rank[b] >= 0], (b * 2 * NEAR + NEAR + rank[a])[rank[a] >= 0]])
-            key, n = np.unique(key, return_counts=True)
+            a, b = np.divmod(batch.column("key").to_numpy(), IDS)
+            n = batch.column("n").to_numpy()
+            after, before = rank[b] >= 0, rank[a] >= 0
+            key, n = _tally(np.concatenate([a[after] * 2 * NEAR + rank[b[after]], b[before] * 2 * NEAR + NEAR + rank[a[before]]]), np.concatenate([n[after], n[before]]))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
     return run
@@ -293,25 +299,23 @@ def _neighbours(shared):
 
 def _class_pairs(shared):
     def run(batches):
-        cls, n = shared.value, np.zeros(CLASSES * CLASSES, np.int64)
+        cls = shared.value.astype(np.int64)
         for batch in batches:
-            w = batch.column("window").flatten().to_numpy(zero_copy_only=False).reshape(-1, CONTEXT + 1)
-            ok = w[:, 1:] >= 0
-            n += np.bincount(cls[w[:, :-1][ok]].astype(np.int64) * CLASSES + cls[w[:, 1:][ok]], minlength=CLASSES**2)
-        there = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(n[there])], ["key", "n"])
+            a, b = np.divmod(batch.column("key").to_numpy(), IDS)
+            key, n = _tally(cls[a] * CLASSES + cls[b], batch.column("n").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
     return run
 
 
-def _train(shared, round_: int):
+def _train(shared, round_: int, passes: int):
     def run(batches):
         start, cls = shared.value
         parts = [batch.column("window").flatten().to_numpy(zero_copy_only=False).reshape(-1, CONTEXT + 1) for batch in batches if batch.num_rows]
         if parts:
             w = np.concatenate(parts)
             c = np.where(w >= 0, cls[np.maximum(w, 0)], -1)
-            p = flat(adam(unflat(start), c, RATE * (1 - 0.3 * round_), round_)).astype(np.float64)
+            p = flat(adam(unflat(start), c, RATE * (1 - 0.3 * round_), round_, passes)).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(p) + 1)), pa.array(np.append(p, 1.0) * len(c))], ["at", "x"])
 
     return run
@@ -339,26 +343,27 @@ def _score(paths, shared):
     return run
 
 
-def fit_model(windows: DataFrame, id_counts: np.ndarray, scratch: Scratch):
+def fit_model(windows: DataFrame, pairs_seen: DataFrame, id_counts: np.ndarray):
     """Weights, classes and log shares within classes."""
     spark = windows.sparkSession
     order = np.argsort(-id_counts, kind="stable")[:NEAR]
     rank = np.full(IDS, -1, np.int64)
     rank[order] = np.arange(NEAR)
-    found = windows.mapInArrow(_neighbours(spark.sparkContext.broadcast(rank)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    found = pairs_seen.mapInArrow(_neighbours(spark.sparkContext.broadcast(rank)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     near = np.zeros(IDS * 2 * NEAR, np.float32)
     near[found.column("key").to_numpy()] = found.column("n").to_numpy()
     cls = group_ids(id_counts, near.reshape(IDS, 2 * NEAR))
     weight = id_counts + 0.5
     of_class = np.bincount(cls, weight, CLASSES)
     within = np.log(weight) - np.log(of_class[cls])
-    found = windows.mapInArrow(_class_pairs(spark.sparkContext.broadcast(cls)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    found = pairs_seen.mapInArrow(_class_pairs(spark.sparkContext.broadcast(cls)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(CLASSES * CLASSES)
     pairs[found.column("key").to_numpy()] = found.column("n").to_numpy()
     params = flat(initial(pairs.reshape(CLASSES, CLASSES)))
+    passes = max(1, min(MOST_PASSES, ENOUGH // max(windows.count(), 1)))
     for r in range(ROUNDS):
         part = windows.where(F.pmod(F.xxhash64("window"), F.lit(ROUNDS)) == r).select("window")
-        got = part.mapInArrow(_train(spark.sparkContext.broadcast((params, cls)), r), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        got = part.mapInArrow(_train(spark.sparkContext.broadcast((params, cls)), r, passes), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
         if got.num_rows:
             x = np.zeros(len(params) + 1)
             x[got.column("at").to_numpy()] = got.column("x").to_numpy()
@@ -394,11 +399,11 @@ def lm_scores(docs: DataFrame, train, ranks: str | None = None, vocabulary: str
     head = counts.where(F.col("c") >= F.lit(1 << least)).orderBy("key").toArrow() if least < 63 else None
     keys = head.column("key").to_numpy() if head is not None else np.zeros(0, np.int64)
     values = base(head.column("c").to_numpy()) if head is not None else np.zeros(0)
-    seen = scratch.save(learn.select("text").mapInArrow(_gather(paths), "key int, n long, window array<int>"), "gathered")
-    ids = seen.where("window IS NULL").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    seen = scratch.save(learn.select("text").mapInArrow(_gather(paths), "key long, n long, window array<int>"), "gathered")
+    ids = seen.where("window IS NULL").groupBy((F.col("key") % IDS).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     id_counts = np.zeros(IDS)
     id_counts[ids.column("key").to_numpy()] = ids.column("n").to_numpy()
-    params, cls, within = fit_model(seen.where("window IS NOT NULL").select("window"), id_counts, scratch)
+    params, cls, within = fit_model(seen.where("window IS NOT NULL").select("window"), seen.where("window IS NULL").select("key", "n"), id_counts)
     shared = spark.sparkContext.broadcast((keys, values, params, cls, within))
     first = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_score(paths, shared), "rid long, doc_id long, n_tokens long, known long, base double, score double, rest array<long>")
     first = scratch.save(first, "scored")
