@@ -52,7 +52,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias after EPOCHS passes; a document that is off by less than SETTLED changes nothing."""
-    x, cut = features(*utf8(texts))
+    parts = [features(*utf8(b.column("text"))) for b in sized([pa.RecordBatch.from_arrays([texts], ["text"])], "text")]
+    x = np.concatenate([p for p, _ in parts]) if parts else np.zeros(0, np.int64)
+    base = np.cumsum([0, *(c[-1] for _, c in parts)])
+    cut = np.concatenate([[0], *(b + c[1:] for b, (_, c) in zip(base[:-1], parts, strict=True))]).astype(np.int64)
+    del parts
     often = np.bincount(x, minlength=DIM)[x] >= LEAST_DOCUMENTS
     cut = np.concatenate([[0], np.cumsum(often)])[cut]
     x = x[often]
