@@ -77,3 +77,29 @@ def test_signrank():
     sums = [sum(r[i] for i in range(4) if s[i]) for s in itertools.product((0, 1), repeat=4)]
     w = min(r[x > y].sum(), r[x < y].sum())
     assert ranks.signrank_p(x, y) == pytest.approx(min(1, 2 * np.mean([s <= w for s in sums])))
+
+
+def test_permutation_finds_the_planted_bin():
+    from nocturne.kernels.permutation import permutation_test
+
+    rng = np.random.default_rng(4)
+    a, b = rng.standard_normal((4, 20)), rng.standard_normal((4, 20))
+    a[2] += 3
+    a[1, 3] = np.nan
+    out = permutation_test(np.concatenate([a, np.full((4, 1), np.nan)], axis=1), b, n=2000)
+    assert out["significant"].tolist() == [False, False, True, False]
+    hits = sum(permutation_test(rng.standard_normal((5, 12)), rng.standard_normal((5, 12)), n=400, seed=i)["significant"].any() for i in range(40))
+    assert hits <= 7
+
+
+def test_bsplines():
+    from nocturne.kernels import bspline
+
+    t = bspline.knots([0, 1, 2, 4], 4)
+    x = np.linspace(0, 4, 41)
+    b = bspline.basis(x, t, 4)
+    assert b.shape == (41, 6) and b.sum(axis=1) == pytest.approx(np.ones(41)) and (b >= -1e-12).all() and b[-1, -1] == 1
+    y = np.linspace(-1, 1, 15)
+    z = x[:, None] ** 3 - x[:, None] * y[None, :] ** 2 + 1
+    c, fit = bspline.fit_surface(z, x, y, [0, 1, 2, 4], [-1, 0, 1])
+    assert c.shape == (6, 4) and fit == pytest.approx(z, abs=1e-8)
