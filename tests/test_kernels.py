@@ -103,3 +103,21 @@ def test_bsplines():
     z = x[:, None] ** 3 - x[:, None] * y[None, :] ** 2 + 1
     c, fit = bspline.fit_surface(z, x, y, [0, 1, 2, 4], [-1, 0, 1])
     assert c.shape == (6, 4) and fit == pytest.approx(z, abs=1e-8)
+
+
+def test_artifacts():
+    from nocturne.kernels import artifacts
+
+    assert artifacts.flat_runs(np.array([1.0, 1, 1, 1, 2, 2, 3, 3, 3]), 3, 0.0).tolist() == [True] * 4 + [False] * 2 + [True] * 3
+    x = np.array([1.0, 5, 2, 8, 3, 9])
+    assert artifacts.moving(x, 4, "median").tolist() == [3, 2, 3.5, 4, 5.5, 8]
+    assert artifacts.moving(np.arange(1.0, 7), 4, "mean").tolist() == [1.5, 2, 2.5, 3.5, 4.5, 5]
+    assert artifacts.fill(np.array([9.0, 1, 9, 9, 4, 9]), np.array([1, 0, 1, 1, 0, 1], bool)).tolist() == [1, 1, 2, 3, 4, 4]
+    rng = np.random.default_rng(6)
+    fs, n = 100.0, 60_000
+    x = np.cumsum(rng.standard_normal(n)) * 0.02 + rng.standard_normal(n)
+    x[12_000:12_400] = 0.5
+    x[30_000:30_200] += 60 * rng.standard_normal(200)
+    x[5] = np.nan
+    mask = artifacts.detect(x, fs)
+    assert mask[5] and mask[12_000:12_400].all() and mask[30_050:30_150].all() and mask.mean() < 0.05
