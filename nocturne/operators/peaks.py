@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import watershed as ws
+from ..kernels.regions import trim
 from . import series
 
 
-def label_segments(px: DataFrame, rec: str = "rec", segment: str = "segment", threshold: float = 8.0) -> DataFrame:
+def label_segments(px: DataFrame, rec: str = "rec", segment: str = "segment", threshold: float = 8.0, keep: float = 0.8) -> DataFrame:
     """px (rec, segment, t_idx, f_idx, power) -> the pixels that belong to a region, with label: watershed of the
-    turned-over image, merged, each region grown by one pixel. Segments under 2 columns have no regions."""
+    turned-over image, merged, each region grown by one pixel and cut to the share ``keep`` of its volume (1: not cut).
+    Segments under 2 columns have no regions."""
 
     def run(table):
         t, f, v = (table.column(c).to_numpy() for c in ("t_idx", "f_idx", "power"))
@@ -26,7 +28,8 @@ def label_segments(px: DataFrame, rec: str = "rec", segment: str = "segment", th
         image[f - f0, t - t0] = v
         if image.shape[1] < 2:
             return table.slice(0, 0).append_column("label", pa.array([], pa.int64()))
-        label = ws.paint(ws.merge(ws.basins(-image), np.nan_to_num(image, nan=-np.inf), threshold))[f - f0, t - t0]
+        label = ws.paint(ws.merge(ws.basins(-image), np.nan_to_num(image, nan=-np.inf), threshold))
+        label = (trim(label, image, keep) if keep < 1 else label)[f - f0, t - t0]
         return table.append_column("label", pa.array(label.astype(np.int64))).filter(pa.array(label > 0))
 
     px = px.select(rec, segment, F.col("t_idx").cast("long").alias("t_idx"), F.col("f_idx").cast("long").alias("f_idx"), F.col("power").cast("double").alias("power"))

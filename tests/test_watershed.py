@@ -53,3 +53,43 @@ def test_outline():
     one = np.zeros((3, 3), bool)
     one[1, 1] = True
     assert ws.outline(one) == [(1, 1)]
+
+
+def test_resize_is_aligned():
+    from nocturne.kernels import regions
+
+    line = lambda n, m: regions.resize(np.arange(1, n + 1)[None, :], (1, m))[0].tolist()
+    assert line(4, 7) == [1, 1, 2, 3, 3, 4, 4]
+    assert line(6, 11) == [1, 1, 2, 2, 3, 4, 4, 5, 5, 6, 6]
+    assert sum(line(286, 571)) == 81939 and line(12, 23)[11] == 6
+
+
+def test_grow_trim_and_mask():
+    from nocturne.kernels import regions
+
+    label = np.zeros((3, 7), int)
+    label[1, 1], label[1, 5] = 2, 1
+    assert regions.grow(label, 2)[1].tolist() == [2, 2, 2, 1, 1, 1, 1]
+    value = hill((21, 21), (10, 10, 4, 10.0))
+    whole = np.ones((21, 21), int)
+    cut = regions.trim(whole, value, 0.8, 0.0)
+    share = value[cut > 0].sum() / value.sum()
+    assert 0.8 <= share < 0.85 and cut[10, 10] == 1 and cut[0, 0] == 0
+    ring = np.ones((5, 5))
+    ring[2, 2] = 0.0
+    ring[0, 0] = 0.1
+    assert regions.trim(np.ones((5, 5), int), ring, 0.9, 0.0)[2, 2] == 1
+    label = np.zeros((5, 5), int)
+    label[1:4, 1:4] = 1
+    out = regions.second_pass(np.ones((5, 5)), np.arange(5.0), label, np.arange(5.0))
+    assert out.sum() == 1 and out[2, 2] == 1
+    assert np.allclose(regions.blur(np.full((6, 6), 3.0), 1.5), 3.0)
+
+
+def test_so_phase():
+    from nocturne.kernels import filters, regions
+
+    t = np.arange(40_000) / 100
+    phase = regions.so_phase(np.cos(2 * np.pi * 0.8 * t), filters.cheby1_sos(4, 0.2, (0.3, 1.5), 100.0, "bandpass"))
+    middle = phase[15_000:-15_000]  # away from the ends, where each section reflects anew
+    assert abs(np.diff(middle).mean() - 2 * np.pi * 0.008) < 1e-4
