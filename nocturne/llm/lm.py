@@ -1,9 +1,10 @@
 """Language-model scores from a causal self-attention model trained in numpy on subword ids.
 
-Subwords are the byte-level BPE ids of every lower-cased word with a space before it, then one end. The model predicts
-the class of the next id with one masked attention layer over the CONTEXT ids before it, and the id within its class by
-its share of the class's training count; frequent ids are classes of their own, others are grouped by the company they
-keep. All is normalised over ids, so a score is the log10 probability of the text.
+Subwords are the byte-level BPE ids of every lower-cased word with a space before it, then one end. Frequent
+ids are classes of their own, others share classes by the company they keep, and classes fall into groups. One masked
+attention layer over the CONTEXT ids before it predicts the group of the next id, on top of the counts of what follows
+the class before; the class within its group follows from these counts, the id within its class from its own. All is
+normalised over ids, so a score is the log10 probability of the text.
 
 Counts of words and ids cover all training texts; training windows are taken from every training text, every STRIDE
 ids. Training is by rounds: each task runs Adam over its windows from the common weights and the results are averaged,
@@ -26,12 +27,12 @@ from .scratch import Scratch
 from .text import LOWER, U, Ranges, lists, sized, utf8, words
 
 END, IDS = 50_256, 50_257
-CONTEXT, BLOCK, STRIDE, WIDTH, CLASSES = 32, 16, 512, 16, 384
-OWN, NEAR, LEAST = 288, 64, 20
+CONTEXT, BLOCK, STRIDE, WIDTH, CLASSES, GROUPS = 32, 16, 256, 16, 768, 128
+OWN, NEAR, LEAST = 576, 64, 20
 HEAD, ROUNDS, BATCH, RATE = 1 << 17, 3, 16, 1e-2
 SEGMENT = 1 << 15
 #: A corpus with fewer than ENOUGH windows is gone through again, MOST_PASSES times at most.
-ENOUGH, MOST_PASSES = 60_000, 16
+ENOUGH, MOST_PASSES = 200_000, 16
 HELD = 5
 
 
@@ -39,20 +40,31 @@ HELD = 5
 
 
 def shapes() -> dict[str, tuple[int, ...]]:
-    return {"emb": (CLASSES, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "out": (WIDTH, CLASSES), "pair": (CLASSES, CLASSES), "rel": (CONTEXT,)}
+    return {"emb": (CLASSES, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "out": (WIDTH, GROUPS), "rel": (CONTEXT,)}
 
 
-def initial(pairs: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights whose predictions are those of smoothed counts of class pairs; attention adds to them."""
+def initial() -> dict[str, np.ndarray]:
+    """Weights with which attention adds nothing."""
     rng = np.random.default_rng(5)
     p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes().items()}
-    share = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * CLASSES)
-    p["pair"] = np.log((pairs + 5 * share) / (pairs.sum(axis=1, keepdims=True) + 5)).astype(np.float32)
     p["o"][:] = 0
     p["rel"][:] = 0
     return p
 
 
+def pair_table(pairs: np.ndarray) -> np.ndarray:
+    """Smoothed log shares of the classes after each class."""
+    share = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * CLASSES)
+    return np.log((pairs + 5 * share) / (pairs.sum(axis=1, keepdims=True) + 5)).astype(np.float32)
+
+
+def by_group(pair: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Shares of the groups after each class."""
+    out = np.zeros((CLASSES, GROUPS), np.float32)
+    np.add.at(out.T, group, np.exp(pair).T)
+    return np.maximum(out, 1e-30)
+
+
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in shapes()])
 
@@ -66,10 +78,10 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def gradient(p: dict[str, np.ndarray], c: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss and its gradient for windows of CONTEXT + 1 classes; -1 pads the end of a window."""
-    x, y = np.maximum(c[:, :-1], 0), c[:, 1:]
-    there = (y >= 0).astype(np.float32)
+def gradient(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, c: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss of the groups and its gradient for windows of CONTEXT + 1 classes; -1 pads the end of a window."""
+    x, y = np.maximum(c[:, :-1], 0), group[np.maximum(c[:, 1:], 0)]
+    there = (c[:, 1:] >= 0).astype(np.float32)
     n, t = x.shape
     e = p["emb"][x]
     q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
@@ -80,10 +92,10 @@ def gradient(p: dict[str, np.ndarray], c: np.ndarray) -> tuple[float, dict[str,
     a = s / s.sum(axis=2, keepdims=True)
     av = a @ v
     h = av @ p["o"]
-    z = h.reshape(-1, WIDTH) @ p["out"] + p["pair"][x.ravel()]
+    z = h.reshape(-1, WIDTH) @ p["out"] + np.log(shares)[x.ravel()]
     z = np.exp(z - z.max(axis=1, keepdims=True))
     z /= z.sum(axis=1, keepdims=True)
-    at = np.arange(n * t), np.maximum(y, 0).ravel()
+    at = np.arange(n * t), y.ravel()
     total = max(float(there.sum()), 1.0)
     loss = -float((np.log(z[at] + 1e-30) * there.ravel()).sum()) / total
     z[at] -= 1
@@ -105,17 +117,17 @@ def gradient(p: dict[str, np.ndarray], c: np.ndarray) -> tuple[float, dict[str,
     return loss, g
 
 
-def adam(p: dict[str, np.ndarray], windows: np.ndarray, rate: float, seed: int, passes: int = 1) -> dict[str, np.ndarray]:
-    """Passes over the windows, each in an order of its own; the pair factors stay as counted."""
+def adam(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, windows: np.ndarray, rate: float, seed: int, passes: int = 1) -> dict[str, np.ndarray]:
+    """Passes over the windows, each in an order of its own; the counted shares stay."""
     p = {k: v.copy() for k, v in p.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in p.items() if k != "pair"} for _ in range(2))
+    m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     rng = np.random.default_rng(seed)
     order = np.concatenate([rng.permutation(len(windows)) for _ in range(passes)])
     steps = -(-len(order) // BATCH)
     for i in range(steps):
-        _, g = gradient(p, windows[order[i * BATCH : (i + 1) * BATCH]])
+        _, g = gradient(p, shares, group, windows[order[i * BATCH : (i + 1) * BATCH]])
         now = rate * (1 - 0.8 * i / steps)
-        for k in m:
+        for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
             p[k] -= np.float32(now) * (m[k] / (1 - 0.9 ** (i + 1))) / (np.sqrt(s[k] / (1 - 0.99 ** (i + 1))) + 1e-8)
@@ -141,20 +153,20 @@ def _attend(p: dict[str, np.ndarray], x: np.ndarray, text: np.ndarray, bias: np.
     return a.reshape(-1, WIDTH) @ p["o"]
 
 
-def class_scores(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, text: np.ndarray) -> np.ndarray:
+def class_scores(p: dict[str, np.ndarray], pair: np.ndarray, group: np.ndarray, x: np.ndarray, y: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Log probability of each class y given the classes x up to and with the one at its place. All texts in a row;
     text: which one a place is in. Blocks overlap by the context, so every place sees CONTEXT classes of its own text.
 
-    The sum over classes is a product of the attention's factors with the row of pair factors of the class before;
-    places of a segment are taken in the order of that class, so that a row serves many places. Chunks fit the cache."""
+    The sum over groups is a product of the attention's factors with the row of shares of the class before; places of
+    a segment are taken in the order of that class, so that a row serves many places. Chunks fit the cache."""
     n, back = len(x), CONTEXT - 1
     blocks = -(-n // BLOCK)
     pad = lambda a, fill: np.concatenate([np.full(back, fill, a.dtype), a, np.full(blocks * BLOCK - n, fill, a.dtype)])
     xs, ts = pad(x, 0), pad(text, -1)
     gap = np.arange(BLOCK)[:, None] + back - np.arange(back + BLOCK)[None, :]
     bias = np.where((gap >= 0) & (gap < CONTEXT), p["rel"][np.clip(gap, 0, CONTEXT - 1)], np.float32(-1e9)).astype(np.float32)
-    pair, out = np.exp(p["pair"]), np.empty(n, np.float32)
-    buffer = np.empty((96, CLASSES), np.float32)
+    shares, out = by_group(pair, group), np.empty(n, np.float32)
+    buffer = np.empty((384, GROUPS), np.float32)
     for lo in range(0, blocks * BLOCK, SEGMENT):
         hi = min(lo + SEGMENT, blocks * BLOCK)
         state = np.concatenate([_attend(p, xs[i : min(i + 1024, hi) + back], ts[i : min(i + 1024, hi) + back], bias) for i in range(lo, hi, 1024)])[: n - lo]
@@ -168,9 +180,9 @@ def class_scores(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, text: n
             b = before[at]
             cuts = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(at)]
             for c, d in zip(cuts[:-1], cuts[1:], strict=True):
-                total[at[c:d]] = z[c:d] @ pair[b[c]]
-        own = np.minimum(np.einsum("ij,ij->i", state, p["out"].T[after]), 60)
-        out[lo:hi] = own + p["pair"][before, after] - np.log(total)
+                total[at[c:d]] = z[c:d] @ shares[b[c]]
+        own = np.minimum(np.einsum("ij,ij->i", state, p["out"].T[group[after]]), 60)
+        out[lo:hi] = own + pair[before, after] - np.log(total)
     return out
 
 
@@ -199,6 +211,20 @@ def group_ids(counts: np.ndarray, near: np.ndarray) -> np.ndarray:
     return cls
 
 
+def group_classes(pairs: np.ndarray) -> np.ndarray:
+    """Group of every class: k-means of what stands before and after it."""
+    x = np.concatenate([np.sqrt(pairs), np.sqrt(pairs.T)], axis=1).astype(np.float32)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True)) + 1e-9
+    centers = x[np.linspace(0, CLASSES - 1, GROUPS).astype(np.int64)]
+    for _ in range(12):
+        at = (x @ centers.T).argmax(axis=1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, at, x)
+        size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centers = np.where(size > 0, sums / np.maximum(size, 1e-9), centers)
+    return (x @ centers.T).argmax(axis=1)
+
+
 # --- texts ------------------------------------------------------------------------------------------------------------
 
 
@@ -310,12 +336,12 @@ def _class_pairs(shared):
 
 def _train(shared, round_: int, passes: int):
     def run(batches):
-        start, cls = shared.value
+        start, pair, group, cls = shared.value
         parts = [batch.column("window").flatten().to_numpy(zero_copy_only=False).reshape(-1, CONTEXT + 1) for batch in batches if batch.num_rows]
         if parts:
             w = np.concatenate(parts)
             c = np.where(w >= 0, cls[np.maximum(w, 0)], -1)
-            p = flat(adam(unflat(start), c, RATE * (1 - 0.3 * round_), round_, passes)).astype(np.float64)
+            p = flat(adam(unflat(start), by_group(pair, group), group, c, RATE * (1 - 0.3 * round_), round_, passes)).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(p) + 1)), pa.array(np.append(p, 1.0) * len(c))], ["at", "x"])
 
     return run
@@ -323,7 +349,7 @@ def _train(shared, round_: int, passes: int):
 
 def _score(paths, shared):
     def run(batches):
-        head, value, params, cls, within = shared.value
+        head, value, params, pair, group, cls, within = shared.value
         p = unflat(params)
         for batch in sized(batches, "text"):
             found = lowered(*utf8(batch.column("text")))
@@ -333,7 +359,7 @@ def _score(paths, shared):
             text = np.repeat(np.arange(texts), size)
             y = cls[ids]
             x = np.concatenate([[cls[END]], y[:-1]]).astype(y.dtype)  # a text begins after the end of the one before
-            log = class_scores(p, x, y, text).astype(np.float64) + within[ids]
+            log = class_scores(p, pair, group, x, y, text).astype(np.float64) + within[ids]
             at, known = find(head, h)
             rest = ~known
             base = np.bincount(row[known], value[at[known]], texts) if len(head) else np.zeros(texts)
@@ -344,7 +370,7 @@ def _score(paths, shared):
 
 
 def fit_model(windows: DataFrame, pairs_seen: DataFrame, id_counts: np.ndarray):
-    """Weights, classes and log shares within classes."""
+    """Weights, table of pairs, groups of classes, classes of ids and log shares within classes."""
     spark = windows.sparkSession
     order = np.argsort(-id_counts, kind="stable")[:NEAR]
     rank = np.full(IDS, -1, np.int64)
@@ -359,16 +385,18 @@ def fit_model(windows: DataFrame, pairs_seen: DataFrame, id_counts: np.ndarray):
     found = pairs_seen.mapInArrow(_class_pairs(spark.sparkContext.broadcast(cls)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(CLASSES * CLASSES)
     pairs[found.column("key").to_numpy()] = found.column("n").to_numpy()
-    params = flat(initial(pairs.reshape(CLASSES, CLASSES)))
+    pairs = pairs.reshape(CLASSES, CLASSES)
+    pair, group = pair_table(pairs), group_classes(pairs)
+    params = flat(initial())
     passes = max(1, min(MOST_PASSES, ENOUGH // max(windows.count(), 1)))
     for r in range(ROUNDS):
         part = windows.where(F.pmod(F.xxhash64("window"), F.lit(ROUNDS)) == r).select("window")
-        got = part.mapInArrow(_train(spark.sparkContext.broadcast((params, cls)), r, passes), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        got = part.mapInArrow(_train(spark.sparkContext.broadcast((params, pair, group, cls)), r, passes), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
         if got.num_rows:
             x = np.zeros(len(params) + 1)
             x[got.column("at").to_numpy()] = got.column("x").to_numpy()
             params = (x[:-1] / x[-1]).astype(np.float32)
-    return params, cls, within
+    return params, pair, group, cls, within
 
 
 def lm_scores(docs: DataFrame, train, ranks: str | None = None, vocabulary: str | None = None) -> DataFrame:
@@ -403,8 +431,8 @@ def lm_scores(docs: DataFrame, train, ranks: str | None = None, vocabulary: str
     ids = seen.where("window IS NULL").groupBy((F.col("key") % IDS).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     id_counts = np.zeros(IDS)
     id_counts[ids.column("key").to_numpy()] = ids.column("n").to_numpy()
-    params, cls, within = fit_model(seen.where("window IS NOT NULL").select("window"), seen.where("window IS NULL").select("key", "n"), id_counts)
-    shared = spark.sparkContext.broadcast((keys, values, params, cls, within))
+    model = fit_model(seen.where("window IS NOT NULL").select("window"), seen.where("window IS NULL").select("key", "n"), id_counts)
+    shared = spark.sparkContext.broadcast((keys, values, *model))
     first = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_score(paths, shared), "rid long, doc_id long, n_tokens long, known long, base double, score double, rest array<long>")
     first = scratch.save(first, "scored")
     scratch.drop(seen)

@@ -174,34 +174,40 @@ def test_mixing_meets_the_targets(spark):
     assert set(mixing.sample(docs).columns) == set(docs.columns)
 
 
+def lm_model(seed):
+    rng = np.random.default_rng(seed)
+    pairs = rng.integers(0, 9, (lm.CLASSES, lm.CLASSES)).astype(float)
+    p = lm.initial()
+    p["o"] += rng.standard_normal(p["o"].shape).astype(np.float32)
+    return rng, p, lm.pair_table(pairs), rng.integers(0, lm.GROUPS, lm.CLASSES)
+
+
 def test_lm_gradient():
-    rng = np.random.default_rng(1)
-    p = lm.initial(rng.integers(0, 9, (lm.CLASSES, lm.CLASSES)).astype(float))
-    p["o"] += rng.standard_normal(p["o"].shape).astype(np.float32) * 0.3
+    rng, p, pair, group = lm_model(1)
+    shares = lm.by_group(pair, group).astype(np.float64)
     p = {k: v.astype(np.float64) for k, v in p.items()}
     c = rng.integers(0, lm.CLASSES, (3, lm.CONTEXT + 1))
     c[1, 20:] = -1
-    _, g = lm.gradient(p, c)
+    _, g = lm.gradient(p, shares, group, c)
     for k in g:
         i = tuple(rng.integers(0, s) for s in p[k].shape) if k != "emb" else (c[0, 3], 1)
         step = 1e-5
         up, down = ({**p, k: p[k].copy()} for _ in range(2))
         up[k][i] += step
         down[k][i] -= step
-        assert g[k][i] == pytest.approx((lm.gradient(up, c)[0] - lm.gradient(down, c)[0]) / (2 * step), rel=2e-2, abs=1e-6), k
+        slope = (lm.gradient(up, shares, group, c)[0] - lm.gradient(down, shares, group, c)[0]) / (2 * step)
+        assert g[k][i] == pytest.approx(slope, rel=2e-2, abs=1e-6), k
 
 
 def test_lm_scores_do_not_see_ahead_or_other_texts():
-    rng = np.random.default_rng(2)
-    p = lm.initial(rng.integers(0, 9, (lm.CLASSES, lm.CLASSES)).astype(float))
-    p["o"] += rng.standard_normal(p["o"].shape).astype(np.float32)
+    rng, p, pair, group = lm_model(2)
     x = rng.integers(0, lm.CLASSES, 150)
     y = np.roll(x, -1)
     text = np.repeat([0, 1], [70, 80])
-    whole = lm.class_scores(p, x, y, text)
-    assert lm.class_scores(p, x[70:], y[70:], text[70:]) == pytest.approx(whole[70:], rel=1e-4)
-    assert lm.class_scores(p, x[:50], y[:50], text[:50]) == pytest.approx(whole[:50], rel=1e-4)
-    one = np.array([lm.class_scores(p, np.append(x[:30], x[30]), np.append(y[:30], c), text[:31])[-1] for c in range(lm.CLASSES)])
+    whole = lm.class_scores(p, pair, group, x, y, text)
+    assert lm.class_scores(p, pair, group, x[70:], y[70:], text[70:]) == pytest.approx(whole[70:], rel=1e-3)
+    assert lm.class_scores(p, pair, group, x[:50], y[:50], text[:50]) == pytest.approx(whole[:50], rel=1e-3)
+    one = np.array([lm.class_scores(p, pair, group, x[:31], np.append(y[:30], c), text[:31])[-1] for c in range(lm.CLASSES)])
     assert np.exp(one).sum() == pytest.approx(1, rel=1e-3)
 
 
