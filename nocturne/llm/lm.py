@@ -6,8 +6,8 @@ attention layer over the CONTEXT ids before it predicts the group of the next id
 the class before; the class within its group follows from these counts, the id within its class from its own. All is
 normalised over ids, so a score is the log10 probability of the text.
 
-Counts of words and ids cover all training texts; training windows are taken from every training text, every STRIDE
-ids. Training is by rounds: each task runs Adam over its windows from the common weights and the results are averaged,
+Counts of words and ids cover all training texts; so do the training windows, which begin every STRIDE ids of each text:
+with STRIDE = CONTEXT every training id is predicted in exactly one window. Training is by rounds: each task runs Adam over its windows from the common weights and the results are averaged,
 in sums by weight on the executors. Scoring goes through each text in blocks of BLOCK ids, each with the CONTEXT - 1
 before it as overlap: each id is scored once, with the whole context, in one batched masked product.
 
@@ -27,7 +27,7 @@ from .scratch import Scratch
 from .text import LOWER, U, Ranges, lists, sized, utf8, words
 
 END, IDS = 50_256, 50_257
-CONTEXT, BLOCK, STRIDE, WIDTH, CLASSES, GROUPS = 32, 16, 256, 16, 768, 128
+CONTEXT, BLOCK, STRIDE, WIDTH, CLASSES, GROUPS = 32, 16, 32, 16, 768, 128
 OWN, NEAR, LEAST = 576, 64, 20
 HEAD, ROUNDS, BATCH, RATE = 1 << 17, 3, 16, 1e-2
 SEGMENT = 1 << 15
@@ -78,8 +78,10 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def gradient(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, c: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of the groups and its gradient for windows of CONTEXT + 1 classes; -1 pads the end of a window."""
+def gradient(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, c: np.ndarray, logs: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss of the groups and its gradient for windows of CONTEXT + 1 classes; -1 pads the end of a window. logs:
+    np.log(shares), where the caller has it."""
+    logs = np.log(shares) if logs is None else logs
     x, y = np.maximum(c[:, :-1], 0), group[np.maximum(c[:, 1:], 0)]
     there = (c[:, 1:] >= 0).astype(np.float32)
     n, t = x.shape
@@ -92,7 +94,7 @@ def gradient(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, c:
     a = s / s.sum(axis=2, keepdims=True)
     av = a @ v
     h = av @ p["o"]
-    z = h.reshape(-1, WIDTH) @ p["out"] + np.log(shares)[x.ravel()]
+    z = h.reshape(-1, WIDTH) @ p["out"] + logs[x.ravel()]
     z = np.exp(z - z.max(axis=1, keepdims=True))
     z /= z.sum(axis=1, keepdims=True)
     at = np.arange(n * t), y.ravel()
@@ -107,7 +109,7 @@ def gradient(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, c:
     da = dav @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dav
     ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    g["rel"] = np.array([np.trace(ds.sum(axis=0), -i) for i in range(t)], np.float32)
+    g["rel"] = np.bincount(np.maximum(gap, 0).ravel(), ds.sum(axis=0).ravel(), t).astype(np.float32)  # ds is 0 ahead
     dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
     two = lambda m: m.reshape(-1, WIDTH)
     g["q"], g["k"], g["v"] = two(e).T @ two(dq), two(e).T @ two(dk), two(e).T @ two(dv)
@@ -121,11 +123,11 @@ def adam(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, window
     """Passes over the windows, each in an order of its own; the counted shares stay."""
     p = {k: v.copy() for k, v in p.items()}
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    rng = np.random.default_rng(seed)
+    rng, logs = np.random.default_rng(seed), np.log(shares)
     order = np.concatenate([rng.permutation(len(windows)) for _ in range(passes)])
     steps = -(-len(order) // BATCH)
     for i in range(steps):
-        _, g = gradient(p, shares, group, windows[order[i * BATCH : (i + 1) * BATCH]])
+        _, g = gradient(p, shares, group, windows[order[i * BATCH : (i + 1) * BATCH]], logs)
         now = rate * (1 - 0.8 * i / steps)
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -299,10 +301,12 @@ def _gather(paths):
             each = -(-size // STRIDE)
             at = np.repeat(begin, each) + (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)) * STRIDE
             stop = np.repeat(begin + size, each)
-            text = np.concatenate([[END], ids, np.full(CONTEXT + 1, END)])
-            place = at[:, None] + np.arange(CONTEXT + 1)[None, :]
-            window = np.where(place <= stop[:, None], text[np.minimum(place, len(text) - 1)], -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), lists(window.ravel(), np.full(len(at), CONTEXT + 1), pa.int32())], schema=schema)
+            text = np.concatenate([[END], ids, np.full(CONTEXT + 1, END)]).astype(np.int32)
+            for lo in range(0, len(at), SEGMENT):
+                a, b = at[lo : lo + SEGMENT], stop[lo : lo + SEGMENT]
+                place = a[:, None] + np.arange(CONTEXT + 1)[None, :]
+                window = np.where(place <= b[:, None], text[np.minimum(place, len(text) - 1)], np.int32(-1))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), lists(window.ravel(), np.full(len(a), CONTEXT + 1), pa.int32())], schema=schema)
         yield counts(keys, n)
 
     return run
@@ -337,10 +341,10 @@ def _class_pairs(shared):
 def _train(shared, round_: int, passes: int):
     def run(batches):
         start, pair, group, cls = shared.value
-        parts = [batch.column("window").flatten().to_numpy(zero_copy_only=False).reshape(-1, CONTEXT + 1) for batch in batches if batch.num_rows]
+        ids = (batch.column("window").flatten().to_numpy(zero_copy_only=False).reshape(-1, CONTEXT + 1) for batch in batches if batch.num_rows)
+        parts = [np.where(w >= 0, cls[np.maximum(w, 0)], np.int16(-1)) for w in ids]  # two bytes a class: all windows of a task are held
         if parts:
-            w = np.concatenate(parts)
-            c = np.where(w >= 0, cls[np.maximum(w, 0)], -1)
+            c = np.concatenate(parts)
             p = flat(adam(unflat(start), by_group(pair, group), group, c, RATE * (1 - 0.3 * round_), round_, passes)).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(p) + 1)), pa.array(np.append(p, 1.0) * len(c))], ["at", "x"])
 

@@ -221,3 +221,15 @@ def test_lm_baseline(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(counts[w] > 0 for w in own), n)
         assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own))
         assert r.score < 0
+
+
+def test_lm_windows_hold_every_training_id_once():
+    import pyarrow as pa
+
+    paths = lm.public_path(lm.RANKS), lm.public_path(lm.VOCABULARY)
+    texts = [prose(1, 700), None, "", "one", prose(2, 31)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    got = [w for b in lm._gather(paths)(iter([batch])) for w in b.column("window").to_pylist() if w is not None]
+    assert all(len(w) == lm.CONTEXT + 1 for w in got)
+    ids, _ = lm.streams(lm.lowered(*lm.utf8(batch.column("text"))), len(texts), paths)
+    assert [i for w in got for i in w[1:] if i >= 0] == ids.tolist()
