@@ -31,8 +31,6 @@ CONTEXT, BLOCK, STRIDE, WIDTH, CLASSES, GROUPS = 32, 16, 32, 16, 768, 128
 OWN, NEAR, LEAST = 576, 64, 20
 HEAD, ROUNDS, BATCH, RATE = 1 << 17, 3, 16, 1e-2
 SEGMENT = 1 << 15
-#: A corpus with fewer than ENOUGH windows is gone through again, MOST_PASSES times at most.
-ENOUGH, MOST_PASSES = 200_000, 16
 HELD = 5
 
 
@@ -119,12 +117,12 @@ def gradient(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, c:
     return loss, g
 
 
-def adam(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, windows: np.ndarray, rate: float, seed: int, passes: int = 1) -> dict[str, np.ndarray]:
-    """Passes over the windows, each in an order of its own; the counted shares stay."""
+def adam(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, windows: np.ndarray, rate: float, seed: int) -> dict[str, np.ndarray]:
+    """One pass over the windows, at any size of the corpus; the counted shares stay."""
     p = {k: v.copy() for k, v in p.items()}
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     rng, logs = np.random.default_rng(seed), np.log(shares)
-    order = np.concatenate([rng.permutation(len(windows)) for _ in range(passes)])
+    order = rng.permutation(len(windows))
     steps = -(-len(order) // BATCH)
     for i in range(steps):
         _, g = gradient(p, shares, group, windows[order[i * BATCH : (i + 1) * BATCH]], logs)
@@ -338,14 +336,14 @@ def _class_pairs(shared):
     return run
 
 
-def _train(shared, round_: int, passes: int):
+def _train(shared, round_: int):
     def run(batches):
         start, pair, group, cls = shared.value
         ids = (batch.column("window").flatten().to_numpy(zero_copy_only=False).reshape(-1, CONTEXT + 1) for batch in batches if batch.num_rows)
         parts = [np.where(w >= 0, cls[np.maximum(w, 0)], np.int16(-1)) for w in ids]  # two bytes a class: all windows of a task are held
         if parts:
             c = np.concatenate(parts)
-            p = flat(adam(unflat(start), by_group(pair, group), group, c, RATE * (1 - 0.3 * round_), round_, passes)).astype(np.float64)
+            p = flat(adam(unflat(start), by_group(pair, group), group, c, RATE * (1 - 0.3 * round_), round_)).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(p) + 1)), pa.array(np.append(p, 1.0) * len(c))], ["at", "x"])
 
     return run
@@ -392,10 +390,9 @@ def fit_model(windows: DataFrame, pairs_seen: DataFrame, id_counts: np.ndarray):
     pairs = pairs.reshape(CLASSES, CLASSES)
     pair, group = pair_table(pairs), group_classes(pairs)
     params = flat(initial())
-    passes = max(1, min(MOST_PASSES, ENOUGH // max(windows.count(), 1)))
     for r in range(ROUNDS):
         part = windows.where(F.pmod(F.xxhash64("window"), F.lit(ROUNDS)) == r).select("window")
-        got = part.mapInArrow(_train(spark.sparkContext.broadcast((params, pair, group, cls)), r, passes), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        got = part.mapInArrow(_train(spark.sparkContext.broadcast((params, pair, group, cls)), r), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
         if got.num_rows:
             x = np.zeros(len(params) + 1)
             x[got.column("at").to_numpy()] = got.column("x").to_numpy()

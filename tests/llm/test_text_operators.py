@@ -233,3 +233,19 @@ def test_lm_windows_hold_every_training_id_once():
     assert all(len(w) == lm.CONTEXT + 1 for w in got)
     ids, _ = lm.streams(lm.lowered(*lm.utf8(batch.column("text"))), len(texts), paths)
     assert [i for w in got for i in w[1:] if i >= 0] == ids.tolist()
+
+
+def test_lm_trains_once_over_the_windows_of_a_small_corpus(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    rows = [(rng.integers(0, 900, lm.CONTEXT + 1).tolist(),) for _ in range(60)]
+    windows = spark.createDataFrame(rows, "window array<int>").coalesce(1)
+    pairs = collections.Counter(a * lm.IDS + b for (w,) in rows for a, b in zip(w[:-1], w[1:], strict=True))
+    counts = np.bincount(np.concatenate([w for (w,) in rows]), minlength=lm.IDS).astype(float)
+    params, pair, group, cls, _ = lm.fit_model(windows, spark.createDataFrame([*pairs.items()], "key long, n long"), counts)
+    own = lm.initial()
+    for r in range(lm.ROUNDS):
+        part = windows.where(F.pmod(F.xxhash64("window"), F.lit(lm.ROUNDS)) == r).collect()
+        own = lm.adam(own, lm.by_group(pair, group), group, cls[np.array([x.window for x in part])], lm.RATE * (1 - 0.3 * r), r)
+    assert params == pytest.approx(lm.flat(own), rel=1e-2, abs=1e-3)
