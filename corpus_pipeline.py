@@ -34,8 +34,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled so that tokens meet the target weights of source, language and topic."""
-    return mixing.sample(docs)
+    """Documents are sampled so that tokens meet the target weights of source, language and topic, at a rate that lets
+    them."""
+    return mixing.sample(docs, meet=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

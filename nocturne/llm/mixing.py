@@ -71,39 +71,45 @@ def _placed(docs: DataFrame, topic: str) -> DataFrame:
     return docs.select("*", *dims, F.expr(topic).alias("_topic"), tokens(F.col("text")).alias("_tokens"))
 
 
-def calibrated(docs: DataFrame, targets: dict, rate: float, sweeps: int, topic: str) -> DataFrame:
+def calibrated(docs: DataFrame, targets: dict, rate: float, sweeps: int, topic: str, meet: bool = False) -> DataFrame:
     """(_source, _lang, _topic, _p): the probability of each cell, rounded to 9 digits."""
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = _placed(docs.select("text", "source", "lang"), topic).where("_tokens > 0")
     cells = scratch.save(rows.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("_tokens").alias("t")), "cells")
-    p = F.round(F.least(F.lit(1.0), F.lit(float(rate)) * F.col("tokens") * F.col("w") / F.col("t")), 9)
-    return scratch.save(rake(cells, targets, sweeps, scratch).select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), p.alias("_p")), "p")
+    raked, at = rake(cells, targets, sweeps, scratch), F.lit(float(rate))
+    if meet:
+        raked = scratch.save(raked, "weights")
+        most = raked.agg(F.max(F.col("tokens") * F.col("w") / F.col("t")).alias("most"))
+        raked, at = raked.crossJoin(F.broadcast(most)), F.least(at, F.lit(1.0) / F.col("most"))
+    p = F.round(F.least(F.lit(1.0), at * F.col("tokens") * F.col("w") / F.col("t")), 9)
+    return scratch.save(raked.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), p.alias("_p")), "p")
 
 
-def _decided(docs: DataFrame, targets: dict | None, rate: float, sweeps: int, topic: str) -> DataFrame:
-    found = calibrated(docs, TARGETS if targets is None else targets, rate, sweeps, topic)
+def _decided(docs: DataFrame, targets: dict | None, rate: float, sweeps: int, topic: str, meet: bool = False) -> DataFrame:
+    found = calibrated(docs, TARGETS if targets is None else targets, rate, sweeps, topic, meet)
     chance = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("double") / 4294967296.0
     out = _placed(docs, topic).join(found, [f"_{d}" for d in DIMENSIONS], "left").withColumn("_prob", F.when(F.col("_tokens") > 0, F.col("_p")).otherwise(F.lit(float(rate))))
     return out.withColumn("_kept", F.coalesce(chance < F.col("_prob"), F.lit(False)))
 
 
-def mix(docs: DataFrame, targets: dict | None = None, rate: float = RATE, sweeps: int = SWEEPS, topic: str = TOPIC_SQL) -> DataFrame:
+def mix(docs: DataFrame, targets: dict | None = None, rate: float = RATE, sweeps: int = SWEEPS, topic: str = TOPIC_SQL, meet: bool = False) -> DataFrame:
     """docs (doc_id, text, source, lang) -> doc_id, tokens, prob, kept.
 
     A cell's tokens are to be ``rate`` of all tokens times the cell's raked share; its documents are kept with
-    probability ``prob`` = that over the cell's tokens, 1 at most, rounded to 9 digits. A null category is a category.
+    probability ``prob`` = that over the cell's tokens, 1 at most, rounded to 9 digits. What is cut off at 1 misses the targets; with ``meet``
+    the rate is lowered to the largest at which no cell is cut off, so that the targets hold. A null category is a category.
     A document without tokens adds nothing to a mixture and is kept with probability ``rate``. The decision depends on
     doc_id alone, so repeated rows are kept or dropped together; a null doc_id is dropped. An empty table gives none;
     extra columns are ignored.
     """
-    out = _decided(docs.select("doc_id", "text", "source", "lang"), targets, rate, sweeps, topic)
+    out = _decided(docs.select("doc_id", "text", "source", "lang"), targets, rate, sweeps, topic, meet)
     return out.select("doc_id", F.col("_tokens").alias("tokens"), F.col("_prob").alias("prob"), F.col("_kept").alias("kept"))
 
 
-def sample(docs: DataFrame, targets: dict | None = None, rate: float = RATE, sweeps: int = SWEEPS, topic: str = TOPIC_SQL) -> DataFrame:
+def sample(docs: DataFrame, targets: dict | None = None, rate: float = RATE, sweeps: int = SWEEPS, topic: str = TOPIC_SQL, meet: bool = False) -> DataFrame:
     """The rows of docs that mix() keeps, with all their columns. Cells are joined to the rows; texts are not moved
     where the table of cells is small enough for the optimiser to send it round."""
-    return _decided(docs, targets, rate, sweeps, topic).where("_kept").select(*docs.columns)
+    return _decided(docs, targets, rate, sweeps, topic, meet).where("_kept").select(*docs.columns)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

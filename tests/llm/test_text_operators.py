@@ -174,6 +174,22 @@ def test_mixing_meets_the_targets(spark):
     assert set(mixing.sample(docs).columns) == set(docs.columns)
 
 
+def test_mixing_of_the_pipeline_meets_targets_that_the_rate_does_not_allow(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    kinds = ["w " * 30] * 94 + ["a | b " * 10] * 3 + ["License " * 30] * 3
+    rows = [(i, rng.choice(kinds), f"s{i % 2}", rng.choice(["en", "en", "fr", "de", "es", "it"])) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    kept = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    total = sum(len(words(r.text)) for r in kept)
+    share = lambda of: sum(len(words(r.text)) for r in kept if of(r)) / total
+    assert share(lambda r: " | " in r.text) == pytest.approx(0.1, abs=0.012)
+    assert share(lambda r: "License" in r.text) == pytest.approx(0.1, abs=0.012)
+    assert share(lambda r: r.lang == "en") == pytest.approx(0.55, abs=0.02)
+    assert share(lambda r: r.source == "s0") == pytest.approx(0.5, abs=0.02)
+
+
 def lm_model(seed):
     rng = np.random.default_rng(seed)
     pairs = rng.integers(0, 9, (lm.CLASSES, lm.CLASSES)).astype(float)
