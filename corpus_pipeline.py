@@ -46,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_boilerplate), ("minhash", drop_near_copies), ("mixing", mix_sources), ("byte_bpe", encode)]
 
-ORACLE_SQL = None  # hashing, training and BPE are beyond SQL; the stages are tested against brute force
+ORACLE_SQL = None  # hashing, training and BPE are beyond SQL; of the stages only mix_sources has a test
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
