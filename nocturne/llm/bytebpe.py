@@ -2,8 +2,8 @@
 
 A batch is cut into the matches of the public split pattern at once, by rules on runs of character classes. Bytes are
 mapped to the printable characters in which the vocabulary is written, distinct pieces of the batch are encoded once by
-the library's BPE model (pieces are told apart by 64-bit hashes of their bytes), and ids are gathered back in text
-order, with the byte and character offsets of every token. Pieces met before are kept in a bounded cache of the worker.
+the library's BPE model (equal hashes are confirmed by comparing bytes), and ids are gathered back in text order, with
+the byte and character offsets of every token. Pieces met before are kept in a bounded cache of the worker.
 Decoding reverses the byte table; a token may end inside a character, so bytes are joined before they become text.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chars import BLANK, LETTER, OTHER, byte_starts, classes, code_points
-from .text import Ranges, lists, sized, utf8
+from .text import Ranges, distinct, gathered, lists, same_bytes, sized, utf8
 
 RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 CACHE_PIECES = 1_000_000
@@ -75,6 +75,60 @@ def piece_starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out)
 
 
+class Memo:
+    """Ids of byte strings met so far. A string is taken for a known one only if their bytes are equal."""
+
+    def __init__(self, spell, limit: int):
+        """spell: (data, start, end) -> ids of the strings in a row, and how many each has."""
+        self.spell, self.limit = spell, limit
+        self.clear()
+
+    def clear(self) -> None:
+        """Strings met: hash and number in the order of the hashes; ids and bytes by number."""
+        self.known, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.body, self.body_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        ids, n = self.spell(data, start, end)
+        number = len(self.ends) - 1 + np.arange(len(n))
+        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+        body, bounds = gathered(data, start, end)
+        self.body, self.body_ends = np.concatenate([self.body, body]), np.concatenate([self.body_ends, self.body_ends[-1] + bounds[1:]])
+        return number
+
+    def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Numbers of the strings data[start:end], which are distinct; h: their hashes."""
+        if len(self.known) > self.limit:
+            self.clear()
+        if not len(self.known):
+            out = np.full(len(h), -1)
+        else:
+            slot = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            out = np.where(self.known[slot] == h, self.where[slot], -1)
+        met = np.flatnonzero(out >= 0)
+        begin, size = self.body_ends[out[met]], end[met] - start[met]
+        equal = size == self.body_ends[out[met] + 1] - begin
+        equal &= same_bytes(data, start[met], self.body, begin, np.where(equal, size, 0))
+        out[met[~equal]] = -1
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            out[new] = self._learn(data, start[new], end[new])
+            _, first = np.unique(h[new], return_index=True)
+            first = new[first]
+            first = first[~np.isin(h[first], self.known)]  # a hash stands for one string, others are spelled each time
+            self.known, self.where = np.concatenate([self.known, h[first]]), np.concatenate([self.where, out[first]])
+            order = np.argsort(self.known)
+            self.known, self.where = self.known[order], self.where[order]
+        return out
+
+    def gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings in a row, and how many each has."""
+        n = self.ends[number + 1] - self.ends[number]
+        total = np.cumsum(n)
+        return self.ids[np.repeat(self.ends[number] - (total - n), n) + np.arange(total[-1] if len(n) else 0)], n
+
+
 class Codec:
     """The vocabulary, and ids of the pieces met so far."""
 
@@ -92,23 +146,14 @@ class Codec:
         self.at = np.concatenate([[0], np.cumsum(self.lengths)])
         self.flat = np.frombuffer(b"".join(table.get(i, b"") for i in range(size)), np.uint8)
         self.characters = byte_characters()
-        self.clear()
-
-    def clear(self) -> None:
-        self.known, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.pieces = Memo(self._spell, CACHE_PIECES)
 
-    def _learn(self, data: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        text = self.characters[data].tobytes().decode("utf-32-le")
-        tokenize = self.model.tokenize
-        found = [[t.id for t in tokenize(text[s:e])] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-        n = np.array([len(x) for x in found], np.int64)
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.int32)])
-        self.where = np.concatenate([self.where, len(self.ends) - 1 + np.arange(len(found))])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
-        self.known = np.concatenate([self.known, h])
-        order = np.argsort(self.known)
-        self.known, self.where = self.known[order], self.where[order]
+    def _spell(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the given pieces by the library."""
+        body, bounds = gathered(data, start, end)
+        text, tokenize = self.characters[body].tobytes().decode("utf-32-le"), self.model.tokenize
+        found = [[t.id for t in tokenize(text[s:e])] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
@@ -121,18 +166,9 @@ class Codec:
         start = byte[piece_starts(cp, first[:-1])]
         end = np.append(start[1:], len(data))
         h = Ranges(data)(start, end)
-        distinct, sample, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_PIECES:
-            self.clear()
-        slot = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-        new = np.ones(len(distinct), bool) if not len(self.known) else self.known[slot] != distinct
-        if new.any():
-            self._learn(data, distinct[new], start[sample[new]], end[sample[new]])
-        piece = self.where[np.searchsorted(self.known, distinct)][back]
-        n = self.ends[piece + 1] - self.ends[piece]
-        total = np.cumsum(n)
-        ids = self.ids[np.repeat(self.ends[piece] - (total - n), n) + np.arange(total[-1])]
-        upto = np.concatenate([[0], total])[np.searchsorted(start, offsets)]
+        sample, back = distinct(data, start, end, h)
+        ids, n = self.pieces.gather(self.pieces.numbers(data, start[sample], end[sample], h[sample])[back])
+        upto = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, offsets)]
         return ids, np.diff(upto)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:

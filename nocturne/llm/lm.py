@@ -6,32 +6,40 @@ attention layer over the CONTEXT ids before it predicts the group of the next id
 the class before; the class within its group follows from these counts, the id within its class from its own. All is
 normalised over ids, so a score is the log10 probability of the text.
 
-Counts of words and ids cover all training texts; so do the training windows, which begin every STRIDE ids of each text:
-with STRIDE = CONTEXT every training id is predicted in exactly one window. Training is by rounds: each task runs Adam over its windows from the common weights and the results are averaged,
-in sums by weight on the executors. Scoring goes through each text in blocks of BLOCK ids, each with the CONTEXT - 1
+Counts of words and ids cover all training texts, and training goes once through all of them: windows of CONTEXT ids lie
+end to end, so that every training id is predicted exactly once. Texts are dealt by hash over ROUNDS rounds, and in a
+round over groups of about SHARD_BYTES of text; a group starts from the common weights and runs Adam over its windows as
+they stream in, and the groups' weights are averaged. Rounds, groups, the order in a group and the steps follow from the
+texts alone, so the model does not depend on partitions or executors but for the rounding of sums. A task holds one
+buffer of windows, whatever its share. Scoring goes through each text in blocks of BLOCK ids, each with the CONTEXT - 1
 before it as overlap: each id is scored once, with the whole context, in one batched masked product.
 
-The word-count baseline is exact: the at most HEAD most frequent words are looked up from a broadcast array, all other
-tokens are joined with the table of counts.
+The word-count baseline is exact: words are counted and looked up by their bytes (those over LONG bytes by SHA-256); the
+at most HEAD most frequent ones are looked up in a broadcast table, all others are joined with the table of counts.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import RANKS, VOCABULARY, codec, public_path
+from .bytebpe import RANKS, VOCABULARY, Memo, codec, public_path
 from .scratch import Scratch
-from .text import LOWER, U, Ranges, lists, sized, utf8, words
+from .text import LOWER, Ranges, binaries, distinct, gathered, same_bytes, sized, utf8, words
 
 END, IDS = 50_256, 50_257
-CONTEXT, BLOCK, STRIDE, WIDTH, CLASSES, GROUPS = 32, 16, 32, 16, 768, 128
+CONTEXT, BLOCK, WIDTH, CLASSES, GROUPS = 32, 16, 16, 768, 64
 OWN, NEAR, LEAST = 576, 64, 20
-HEAD, ROUNDS, BATCH, RATE = 1 << 17, 3, 16, 1e-2
-SEGMENT = 1 << 15
+HEAD, LONG, MEMO = 1 << 17, 32, 300_000
+ROUNDS, SHARD_BYTES, BUFFER, BATCH, RATE, SETTLE = 3, 32 << 20, 4_096, 64, 2e-2, 150
+SEGMENT = 1_024
 HELD = 5
+WORDS, PAIRS, BYTES = 0, 1, 2  # kinds of counts
 
 
 # --- the model --------------------------------------------------------------------------------------------------------
@@ -42,12 +50,9 @@ def shapes() -> dict[str, tuple[int, ...]]:
 
 
 def initial() -> dict[str, np.ndarray]:
-    """Weights with which attention adds nothing."""
+    """Weights with which attention adds little."""
     rng = np.random.default_rng(5)
-    p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes().items()}
-    p["o"][:] = 0
-    p["rel"][:] = 0
-    return p
+    return {k: (rng.standard_normal(s) * {"o": 0.1, "rel": 0}.get(k, 0.3)).astype(np.float32) for k, s in shapes().items()}
 
 
 def pair_table(pairs: np.ndarray) -> np.ndarray:
@@ -76,62 +81,87 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def gradient(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, c: np.ndarray, logs: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of the groups and its gradient for windows of CONTEXT + 1 classes; -1 pads the end of a window. logs:
-    np.log(shares), where the caller has it."""
-    logs = np.log(shares) if logs is None else logs
-    x, y = np.maximum(c[:, :-1], 0), group[np.maximum(c[:, 1:], 0)]
-    there = (c[:, 1:] >= 0).astype(np.float32)
+def gradient(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, c: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss of the groups and its gradient for windows of CONTEXT + 1 classes; -1 pads the end of a window."""
+    x, y = np.maximum(c[:, :-1], 0), group[np.maximum(c[:, 1:], 0)].ravel()
+    there = (c[:, 1:] >= 0).ravel().astype(shares.dtype)
     n, t = x.shape
-    e = p["emb"][x]
-    q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
-    scale = np.float32(WIDTH**-0.5)
+    x = x.ravel()
+    scale = shares.dtype.type(WIDTH**-0.5)
+    e = p["emb"].take(x, axis=0)
+    into = np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1)
+    q, k, v = np.ascontiguousarray((e @ into).reshape(n, t, 3, WIDTH).transpose(2, 0, 1, 3))
     gap = np.arange(t)[:, None] - np.arange(t)[None, :]
-    s = (q @ k.transpose(0, 2, 1)) * scale + np.where(gap >= 0, p["rel"][np.maximum(gap, 0)], np.float32(-1e9))
-    s = np.exp(s - s.max(axis=2, keepdims=True))
-    a = s / s.sum(axis=2, keepdims=True)
-    av = a @ v
+    a = q @ k.transpose(0, 2, 1)
+    np.exp(np.minimum(a, 60, out=a), out=a)
+    a *= np.where(gap >= 0, np.exp(p["rel"])[np.maximum(gap, 0)], 0)
+    a *= 1 / (a @ np.ones((t, 1), a.dtype))
+    av = (a @ v).reshape(-1, WIDTH)
     h = av @ p["o"]
-    z = h.reshape(-1, WIDTH) @ p["out"] + logs[x.ravel()]
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    z /= z.sum(axis=1, keepdims=True)
-    at = np.arange(n * t), y.ravel()
+    z = h @ p["out"]
+    np.exp(np.minimum(z, 60, out=z), out=z)
+    z *= shares.take(x, axis=0)
+    all_ = z @ np.ones(z.shape[1], z.dtype)
+    at = np.arange(n * t), y
     total = max(float(there.sum()), 1.0)
-    loss = -float((np.log(z[at] + 1e-30) * there.ravel()).sum()) / total
-    z[at] -= 1
-    z *= (there.ravel() / total)[:, None]
-    g = {"out": h.reshape(-1, WIDTH).T @ z}
-    dh = (z @ p["out"].T).reshape(n, t, WIDTH)
-    g["o"] = av.reshape(-1, WIDTH).T @ dh.reshape(-1, WIDTH)
-    dav = dh @ p["o"].T
-    da = dav @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dav
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    g["rel"] = np.bincount(np.maximum(gap, 0).ravel(), ds.sum(axis=0).ravel(), t).astype(np.float32)  # ds is 0 ahead
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-    two = lambda m: m.reshape(-1, WIDTH)
-    g["q"], g["k"], g["v"] = two(e).T @ two(dq), two(e).T @ two(dk), two(e).T @ two(dv)
-    de = dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+    loss = -float((np.log(z[at] / all_) * there).sum()) / total
+    there /= total
+    z *= (there / all_)[:, None]
+    z[at] -= there
+    g = {"out": h.T @ z}
+    dh = z @ p["out"].T
+    g["o"] = av.T @ dh
+    dav = (dh @ p["o"].T).reshape(n, t, WIDTH)
+    ds = dav @ v.transpose(0, 2, 1)
+    ds -= np.einsum("ijk,ijk->ij", ds, a)[:, :, None]
+    ds *= a  # 0 ahead
+    g["rel"] = np.bincount(np.maximum(gap, 0).ravel(), ds.sum(axis=0).ravel(), t).astype(z.dtype)
+    back = np.stack([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dav], axis=2).reshape(n * t, 3 * WIDTH)
+    g["q"], g["k"], g["v"] = np.split(e.T @ back, 3, axis=1)
+    g["q"] = g["q"] * scale
+    de = back @ into.T
+    order = np.argsort(x, kind="stable")
+    first = np.flatnonzero(np.append(True, x[order][1:] != x[order][:-1]))
     g["emb"] = np.zeros_like(p["emb"])
-    np.add.at(g["emb"], x.ravel(), two(de))
+    g["emb"][x[order][first]] = np.add.reduceat(de[order], first, axis=0)
     return loss, g
 
 
-def adam(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, windows: np.ndarray, rate: float, seed: int) -> dict[str, np.ndarray]:
-    """One pass over the windows, at any size of the corpus; the counted shares stay."""
-    p = {k: v.copy() for k, v in p.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    rng, logs = np.random.default_rng(seed), np.log(shares)
-    order = rng.permutation(len(windows))
-    steps = -(-len(order) // BATCH)
-    for i in range(steps):
-        _, g = gradient(p, shares, group, windows[order[i * BATCH : (i + 1) * BATCH]], logs)
-        now = rate * (1 - 0.8 * i / steps)
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
-            p[k] -= np.float32(now) * (m[k] / (1 - 0.9 ** (i + 1))) / (np.sqrt(s[k] / (1 - 0.99 ** (i + 1))) + 1e-8)
-    return p
+class Trainer:
+    """Adam over windows in the order in which they come, from given weights; shuffled within buffers of BUFFER."""
+
+    def __init__(self, start: np.ndarray, shares: np.ndarray, group: np.ndarray, rate: float, seed: int):
+        self.x, self.shares, self.group, self.rate = start.astype(np.float32).copy(), shares, group, rate
+        self.m, self.s, self.steps, self.windows = np.zeros_like(self.x), np.zeros_like(self.x), 0, 0
+        self.rng, self.held = np.random.default_rng(seed), []
+
+    def add(self, windows: np.ndarray) -> None:
+        self.held.append(windows)
+        if sum(map(len, self.held)) >= BUFFER:
+            rows = np.concatenate(self.held)
+            full = len(rows) // BUFFER * BUFFER
+            for lo in range(0, full, BUFFER):
+                self._run(rows[lo : lo + BUFFER])
+            self.held = [rows[full:].copy()]
+
+    def _run(self, rows: np.ndarray) -> None:
+        rows = rows[self.rng.permutation(len(rows))]
+        for lo in range(0, len(rows), BATCH):
+            _, g = gradient(unflat(self.x), self.shares, self.group, rows[lo : lo + BATCH])
+            g = flat(g)
+            self.steps += 1
+            self.m += np.float32(0.1) * (g - self.m)
+            self.s += np.float32(0.01) * (g * g - self.s)
+            now = self.rate / (1 + self.steps / SETTLE) ** 0.5 / (1 - 0.9**self.steps)
+            self.x -= np.float32(now) * self.m / (np.sqrt(self.s * np.float32(1 / (1 - 0.99**self.steps))) + np.float32(1e-8))
+        self.windows += len(rows)
+
+    def end(self) -> np.ndarray:
+        """The weights, times the number of windows, and this number."""
+        if self.held:
+            self._run(np.concatenate(self.held))
+            self.held = []
+        return np.append(self.x.astype(np.float64), 1.0) * self.windows
 
 
 def _attend(p: dict[str, np.ndarray], x: np.ndarray, text: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -141,48 +171,46 @@ def _attend(p: dict[str, np.ndarray], x: np.ndarray, text: np.ndarray, bias: np.
     q, k, v = (e[back:] @ (p["q"] * np.float32(WIDTH**-0.5))).reshape(-1, BLOCK, WIDTH), e @ p["k"], e @ p["v"]
     view = lambda a: np.lib.stride_tricks.sliding_window_view(a, back + BLOCK, axis=0)[::BLOCK]
     s = q @ view(k)
-    s += bias
+    np.exp(np.minimum(s, 60, out=s), out=s)
+    s *= bias
     near = view(text)
     mixed = np.flatnonzero(near[:, 0] != near[:, -1])  # blocks that touch more than one text
     if len(mixed):
         own = text[back:].reshape(-1, BLOCK)[mixed]
-        s[mixed] = np.where(own[:, :, None] == near[mixed][:, None, :], s[mixed], np.float32(-1e9))
-    np.exp(np.minimum(s, 60, out=s), out=s)
+        s[mixed] *= own[:, :, None] == near[mixed][:, None, :]
     a = s @ view(v).transpose(0, 2, 1)
-    a /= s.sum(axis=2, keepdims=True)
+    a *= 1 / (s @ np.ones((s.shape[2], 1), s.dtype))
     return a.reshape(-1, WIDTH) @ p["o"]
 
 
 def class_scores(p: dict[str, np.ndarray], pair: np.ndarray, group: np.ndarray, x: np.ndarray, y: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Log probability of each class y given the classes x up to and with the one at its place. All texts in a row;
     text: which one a place is in. Blocks overlap by the context, so every place sees CONTEXT classes of its own text.
-
-    The sum over groups is a product of the attention's factors with the row of shares of the class before; places of
-    a segment are taken in the order of that class, so that a row serves many places. Chunks fit the cache."""
+    Segments fit the cache."""
     n, back = len(x), CONTEXT - 1
     blocks = -(-n // BLOCK)
     pad = lambda a, fill: np.concatenate([np.full(back, fill, a.dtype), a, np.full(blocks * BLOCK - n, fill, a.dtype)])
     xs, ts = pad(x, 0), pad(text, -1)
     gap = np.arange(BLOCK)[:, None] + back - np.arange(back + BLOCK)[None, :]
-    bias = np.where((gap >= 0) & (gap < CONTEXT), p["rel"][np.clip(gap, 0, CONTEXT - 1)], np.float32(-1e9)).astype(np.float32)
+    bias = np.where((gap >= 0) & (gap < CONTEXT), np.exp(p["rel"])[np.clip(gap, 0, CONTEXT - 1)], 0).astype(np.float32)
     shares, out = by_group(pair, group), np.empty(n, np.float32)
-    buffer = np.empty((384, GROUPS), np.float32)
     for lo in range(0, blocks * BLOCK, SEGMENT):
         hi = min(lo + SEGMENT, blocks * BLOCK)
-        state = np.concatenate([_attend(p, xs[i : min(i + 1024, hi) + back], ts[i : min(i + 1024, hi) + back], bias) for i in range(lo, hi, 1024)])[: n - lo]
+        z = (_attend(p, xs[lo : hi + back], ts[lo : hi + back], bias) @ p["out"])[: n - lo]
         before, after = x[lo:hi], y[lo:hi]
-        total = np.empty(len(state), np.float32)
-        order = np.argsort(before, kind="stable")
-        for i in range(0, len(order), len(buffer)):
-            at = order[i : i + len(buffer)]
-            z = np.matmul(state[at], p["out"], out=buffer[: len(at)])
-            np.exp(np.minimum(z, 60, out=z), out=z)
-            b = before[at]
-            cuts = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(at)]
-            for c, d in zip(cuts[:-1], cuts[1:], strict=True):
-                total[at[c:d]] = z[c:d] @ shares[b[c]]
-        own = np.minimum(np.einsum("ij,ij->i", state, p["out"].T[group[after]]), 60)
-        out[lo:hi] = own + pair[before, after] - np.log(total)
+        np.minimum(z, 60, out=z)
+        own = z[np.arange(len(z)), group[after]]
+        np.exp(z, out=z)
+        out[lo:hi] = own + pair[before, after] - np.log(np.einsum("ij,ij->i", z, shares.take(before, axis=0)))
+    return out
+
+
+def shared_ids(counts: np.ndarray) -> np.ndarray:
+    """The ids that share classes: neither among the most frequent nor rare."""
+    order = np.argsort(-counts, kind="stable")
+    order = order[order != END]
+    out = np.zeros(IDS, bool)
+    out[order[OWN - 1 :]] = counts[order[OWN - 1 :]] >= LEAST
     return out
 
 
@@ -194,8 +222,7 @@ def group_ids(counts: np.ndarray, near: np.ndarray) -> np.ndarray:
     cls = np.full(IDS, CLASSES - 1, np.int16)
     cls[END] = 0
     cls[order[: OWN - 1]] = np.arange(1, OWN)
-    rest = order[OWN - 1 :]
-    rest = rest[counts[rest] >= LEAST]
+    rest = order[shared_ids(counts)[order]]
     k = CLASSES - 1 - OWN
     if len(rest):
         x = np.sqrt(near[rest]).astype(np.float32)
@@ -212,10 +239,10 @@ def group_ids(counts: np.ndarray, near: np.ndarray) -> np.ndarray:
 
 
 def group_classes(pairs: np.ndarray) -> np.ndarray:
-    """Group of every class: k-means of what stands before and after it."""
+    """Group of every class: k-means of what stands before and after it, from the most frequent classes."""
     x = np.concatenate([np.sqrt(pairs), np.sqrt(pairs.T)], axis=1).astype(np.float32)
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True)) + 1e-9
-    centers = x[np.linspace(0, CLASSES - 1, GROUPS).astype(np.int64)]
+    centers = x[np.argsort(-pairs.sum(axis=0), kind="stable")[:GROUPS]]
     for _ in range(12):
         at = (x @ centers.T).argmax(axis=1)
         sums = np.zeros_like(centers)
@@ -228,22 +255,47 @@ def group_classes(pairs: np.ndarray) -> np.ndarray:
 # --- texts ------------------------------------------------------------------------------------------------------------
 
 
-def lowered(data: np.ndarray, offsets: np.ndarray):
-    """Lower-cased bytes; hash, text, start and end of every word."""
-    low = LOWER[data]
-    start, end, row = words(data, offsets)
-    return low, Ranges(low)(start, end).view(np.int64), row, start, end
+class Slice:
+    """The words of a slice of texts: lower-cased bytes; row of every word; distinct words and which each word is."""
+
+    def __init__(self, column):
+        data, offsets = utf8(column)
+        self.low, self.texts = LOWER[data], len(column)
+        start, end, self.row = words(data, offsets)
+        h = Ranges(self.low)(start, end)
+        sample, self.back = distinct(self.low, start, end, h)
+        self.start, self.end, self.hash = start[sample], end[sample], h[sample]
+
+    def keys(self, chosen: np.ndarray) -> pa.BinaryArray:
+        """The bytes of distinct words; of those over LONG bytes, a zero and their SHA-256."""
+        start, end = self.start[chosen], self.end[chosen]
+        if (end - start > LONG).any():
+            each = [self.low[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            return pa.array([x if len(x) <= LONG else b"\0" + hashlib.sha256(x).digest() for x in each], pa.binary())
+        return binaries(*gathered(self.low, start, end))
+
+    def streams(self, paths) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, an end after each, and how many ids each text has."""
+        memo = speller(*paths)
+        ids, each = memo.gather(memo.numbers(self.low, self.start, self.end, self.hash)[self.back])
+        size = np.bincount(self.row, each, self.texts).astype(np.int64)
+        return np.insert(ids, np.cumsum(size), END), size + 1
+
 
+@functools.cache
+def speller(*paths) -> Memo:
+    """BPE ids of words, each with a space before it."""
 
-def spelled(low: np.ndarray, start: np.ndarray, end: np.ndarray, paths) -> tuple[np.ndarray, np.ndarray]:
-    """BPE ids of the given words, each with a space before it, and how many each has."""
-    size = end - start + 1
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    out = np.full(bounds[-1], 0x20, np.uint8)
-    place = np.arange(len(out)) - np.repeat(bounds[:-1], size)
-    inside = place > 0
-    out[inside] = low[(np.repeat(start, size) + place - 1)[inside]]
-    return codec(*paths).encode(out, bounds)
+    def spell(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        body, bounds = gathered(low, start, end)
+        spaced = bounds + np.arange(len(bounds))
+        out = np.full(spaced[-1], 0x20, np.uint8)
+        inside = np.ones(len(out), bool)
+        inside[spaced[:-1]] = False
+        out[inside] = body
+        return codec(*paths).encode(out, spaced)
+
+    return Memo(spell, MEMO)
 
 
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,71 +306,53 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, sorted_keys[at] == keys
 
 
-def streams(words_of, texts: int, paths) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, an end after each, and how many ids each text has."""
-    low, _, row, start, end = words_of
-    ids, each = spelled(low, start, end, paths)
-    size = np.bincount(row, each, texts).astype(np.int64)
-    return np.insert(ids, np.cumsum(size), END), size + 1
-
-
 def _tally(keys, n):
     order = np.argsort(keys)
     first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, np.int64)
     return keys[order][first], np.add.reduceat(n[order], first) if len(first) else n
 
 
-def _count_words(batches):
-    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in sized(batches, "text"):
-        h = lowered(*utf8(batch.column("text")))[1]
-        keys, n = _tally(np.concatenate([keys, h]), np.concatenate([n, np.ones(len(h), np.int64)]))
-        if len(keys) > 1_000_000:
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-            keys, n = keys[:0], n[:0]
-    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-
+def _count(paths):
+    """Of the training texts: counts of words; of pairs of ids, a * IDS + b, the first of a text after an end; bytes."""
+    schema = pa.schema([("kind", pa.int32()), ("word", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
 
-def _gather(paths):
-    """Of the training texts: counts of pairs of ids, a * IDS + b, the first of a text after an end (window null); and
-    windows of ids."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("window", pa.list_(pa.int32()))])
-    counts = lambda keys, n: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.nulls(len(keys), pa.list_(pa.int32()))], schema=schema)
+    def rows(kind, n, word=None, key=None):
+        m = len(n)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.nulls(m, pa.binary()) if word is None else word, pa.nulls(m, pa.int64()) if key is None else pa.array(key), pa.array(n)], schema=schema)
 
     def run(batches):
-        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, counts, bytes_ = [], [], 0
         for batch in sized(batches, "text"):
-            ids, size = streams(lowered(*utf8(batch.column("text"))), batch.num_rows, paths)
-            pair = np.concatenate([[END], ids[:-1]]).astype(np.int64) * IDS + ids
-            keys, n = _tally(np.concatenate([keys, pair]), np.concatenate([n, np.ones(len(pair), np.int64)]))
-            if len(keys) > 1_000_000:
-                yield counts(keys, n)
-                keys, n = keys[:0], n[:0]
-            # a window begins at the end before a text, or at every STRIDE-th id of it
-            begin = np.cumsum(size) - size
-            each = -(-size // STRIDE)
-            at = np.repeat(begin, each) + (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)) * STRIDE
-            stop = np.repeat(begin + size, each)
-            text = np.concatenate([[END], ids, np.full(CONTEXT + 1, END)]).astype(np.int32)
-            for lo in range(0, len(at), SEGMENT):
-                a, b = at[lo : lo + SEGMENT], stop[lo : lo + SEGMENT]
-                place = a[:, None] + np.arange(CONTEXT + 1)[None, :]
-                window = np.where(place <= b[:, None], text[np.minimum(place, len(text) - 1)], np.int32(-1))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), lists(window.ravel(), np.full(len(a), CONTEXT + 1), pa.int32())], schema=schema)
-        yield counts(keys, n)
+            part = Slice(batch.column("text"))
+            bytes_ += len(part.low)
+            yield rows(WORDS, np.bincount(part.back, minlength=len(part.start)), word=part.keys(np.arange(len(part.start))))
+            ids, _ = part.streams(paths)
+            k, n = np.unique(np.concatenate([[END], ids[:-1]]).astype(np.int64) * IDS + ids, return_counts=True)
+            keys.append(k)
+            counts.append(n)
+            if sum(map(len, keys)) > 2_000_000:
+                k, n = _tally(np.concatenate(keys), np.concatenate(counts))
+                keys, counts = [k], [n]
+                if len(k) > 1_000_000:
+                    yield rows(PAIRS, n, key=k)
+                    keys, counts = [], []
+        if keys:
+            k, n = _tally(np.concatenate(keys), np.concatenate(counts))
+            yield rows(PAIRS, n, key=k)
+        yield rows(BYTES, np.array([bytes_]))
 
     return run
 
 
 def _neighbours(shared):
-    """From counts of pairs, counts of (id, after or before, frequent id)."""
+    """From counts of pairs, counts of (id, after or before, frequent id) for the ids that share classes."""
 
     def run(batches):
-        rank = shared.value
+        rank, rest = shared.value
         for batch in batches:
             a, b = np.divmod(batch.column("key").to_numpy(), IDS)
             n = batch.column("n").to_numpy()
-            after, before = rank[b] >= 0, rank[a] >= 0
+            after, before = (rank[b] >= 0) & rest[a], (rank[a] >= 0) & rest[b]
             key, n = _tally(np.concatenate([a[after] * 2 * NEAR + rank[b[after]], b[before] * 2 * NEAR + NEAR + rank[a[before]]]), np.concatenate([n[after], n[before]]))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
@@ -336,49 +370,78 @@ def _class_pairs(shared):
     return run
 
 
-def _train(shared, round_: int):
+def windows_of(c: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Windows of CONTEXT + 1 from the classes of texts in a row: each begins with the class before (at a text, the
+    end's) and they lie end to end, so that every class but it is in one window; -1 pads the last of a text."""
+    begin = np.cumsum(size) - size
+    each = -(-size // CONTEXT)
+    at = np.repeat(begin, each) + (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)) * CONTEXT
+    place = at[:, None] + np.arange(CONTEXT + 1)[None, :]
+    held = np.concatenate([c[-1:], c, np.full(CONTEXT + 1, -1, c.dtype)])  # a text ends with an end, so one is before each
+    return np.where(place <= np.repeat(begin + size, each)[:, None], held[np.minimum(place, len(held) - 1)], c.dtype.type(-1))
+
+
+def _train(paths, shared, round_: int):
+    """Sum over the groups of a task of their weights times their windows; rows come sorted by group."""
+
     def run(batches):
         start, pair, group, cls = shared.value
-        ids = (batch.column("window").flatten().to_numpy(zero_copy_only=False).reshape(-1, CONTEXT + 1) for batch in batches if batch.num_rows)
-        parts = [np.where(w >= 0, cls[np.maximum(w, 0)], np.int16(-1)) for w in ids]  # two bytes a class: all windows of a task are held
-        if parts:
-            c = np.concatenate(parts)
-            p = flat(adam(unflat(start), by_group(pair, group), group, c, RATE * (1 - 0.3 * round_), round_)).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(p) + 1)), pa.array(np.append(p, 1.0) * len(c))], ["at", "x"])
+        shares, total, now, trainer = by_group(pair, group), 0.0, None, None
+        for batch in sized(batches, "text"):
+            ids, size = Slice(batch.column("text")).streams(paths)
+            c, ends = cls[ids], np.concatenate([[0], np.cumsum(size)])
+            of = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if trainer is None or of[lo] != now:
+                    total = total + trainer.end() if trainer else total
+                    now, trainer = of[lo], Trainer(start, shares, group, RATE * (1 - 0.3 * round_), round_)
+                trainer.add(windows_of(c[ends[lo] : ends[hi]], size[lo:hi]))
+        if trainer:
+            total = total + trainer.end()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "x"])
 
     return run
 
 
 def _score(paths, shared):
     def run(batches):
-        head, value, params, pair, group, cls, within = shared.value
+        (body, bounds, head, value), params, pair, group, cls, within = shared.value
         p = unflat(params)
         for batch in sized(batches, "text"):
-            found = lowered(*utf8(batch.column("text")))
-            _, h, row, _, _ = found
-            texts = batch.num_rows
-            ids, size = streams(found, texts, paths)
-            text = np.repeat(np.arange(texts), size)
+            part, texts = Slice(batch.column("text")), batch.num_rows
+            ids, size = part.streams(paths)
+            text = np.repeat(np.arange(texts, dtype=np.int32), size)
             y = cls[ids]
-            x = np.concatenate([[cls[END]], y[:-1]]).astype(y.dtype)  # a text begins after the end of the one before
+            x = np.concatenate([cls[[END]], y[:-1]])  # a text begins after the end of the one before
             log = class_scores(p, pair, group, x, y, text).astype(np.float64) + within[ids]
-            at, known = find(head, h)
-            rest = ~known
-            base = np.bincount(row[known], value[at[known]], texts) if len(head) else np.zeros(texts)
-            columns = [pa.array(np.bincount(row, minlength=texts) + 1), pa.array(np.bincount(row[known], minlength=texts)), pa.array(base), pa.array(np.bincount(text, log, texts) / np.log(10))]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), *columns, lists(h[rest], np.bincount(row[rest], minlength=texts), pa.int64())], ["rid", "doc_id", "n_tokens", "known", "base", "score", "rest"])
+            at, known = find(head, part.hash)
+            if len(head):
+                n = part.end - part.start
+                known &= n == bounds[at + 1] - bounds[at]
+                known &= same_bytes(part.low, part.start, body, bounds[at], np.where(known, n, 0))
+            of_word = np.where(known, value[at] if len(head) else 0.0, 0.0)
+            seen = known[part.back]
+            far = np.flatnonzero(~known)
+            place = np.zeros(len(known), np.int32)
+            place[far] = np.arange(len(far))
+            rest = part.keys(far).take(pa.array(place[part.back[~seen]]))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(part.row[~seen], minlength=texts))]).astype(np.int32)
+            columns = [pa.array(np.bincount(part.row, minlength=texts) + 1), pa.array(np.bincount(part.row[seen], minlength=texts)), pa.array(np.bincount(part.row, of_word[part.back], texts)), pa.array(np.bincount(text, log, texts) / np.log(10))]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), *columns, pa.ListArray.from_arrays(pa.array(ends), rest)], ["rid", "doc_id", "n_tokens", "known", "base", "score", "rest"])
 
     return run
 
 
-def fit_model(windows: DataFrame, pairs_seen: DataFrame, id_counts: np.ndarray):
-    """Weights, table of pairs, groups of classes, classes of ids and log shares within classes."""
-    spark = windows.sparkSession
+def fit_model(docs: DataFrame, pairs_seen: DataFrame, id_counts: np.ndarray, bytes_: int, paths):
+    """docs (doc_id, text) to learn from -> weights, table of pairs, groups of classes, classes of ids and log shares
+    within classes."""
+    spark = docs.sparkSession
     order = np.argsort(-id_counts, kind="stable")[:NEAR]
     rank = np.full(IDS, -1, np.int64)
     rank[order] = np.arange(NEAR)
-    found = pairs_seen.mapInArrow(_neighbours(spark.sparkContext.broadcast(rank)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     near = np.zeros(IDS * 2 * NEAR, np.float32)
+    found = pairs_seen.mapInArrow(_neighbours(spark.sparkContext.broadcast((rank, shared_ids(id_counts)))), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     near[found.column("key").to_numpy()] = found.column("n").to_numpy()
     cls = group_ids(id_counts, near.reshape(IDS, 2 * NEAR))
     weight = id_counts + 0.5
@@ -390,9 +453,12 @@ def fit_model(windows: DataFrame, pairs_seen: DataFrame, id_counts: np.ndarray):
     pairs = pairs.reshape(CLASSES, CLASSES)
     pair, group = pair_table(pairs), group_classes(pairs)
     params = flat(initial())
+    shards = max(1, round(bytes_ / ROUNDS / SHARD_BYTES))
+    order = F.xxhash64("doc_id", "text")
+    dealt = docs.select("text", F.pmod(order, F.lit(ROUNDS)).alias("round"), F.pmod(F.shiftright(order, 17), F.lit(shards)).alias("shard"), order.alias("order"))
     for r in range(ROUNDS):
-        part = windows.where(F.pmod(F.xxhash64("window"), F.lit(ROUNDS)) == r).select("window")
-        got = part.mapInArrow(_train(spark.sparkContext.broadcast((params, pair, group, cls)), r), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        part = dealt.where(F.col("round") == r).repartition(min(shards, 2_000), "shard").sortWithinPartitions("shard", "order").select("shard", "text")
+        got = part.mapInArrow(_train(paths, spark.sparkContext.broadcast((params, pair, group, cls)), r), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
         if got.num_rows:
             x = np.zeros(len(params) + 1)
             x[got.column("at").to_numpy()] = got.column("x").to_numpy()
@@ -412,39 +478,49 @@ def lm_scores(docs: DataFrame, train, ranks: str | None = None, vocabulary: str
     paths = (ranks or public_path(RANKS), vocabulary or public_path(VOCABULARY))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     learn = docs.where(train)
-    counts = scratch.save(learn.select("text").mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("c")), "counts")
-    ends = learn.count()
+    seen = learn.select("text").mapInArrow(_count(paths), "kind int, word binary, key long, n long").groupBy("kind", "word", "key").agg(F.sum("n").alias("n"))
+    seen = scratch.save(seen, "counts")
+    counts, pairs = seen.where(F.col("kind") == WORDS).select("word", F.col("n").alias("c")), seen.where(F.col("kind") == PAIRS).select("key", "n")
+    bytes_ = seen.where(F.col("kind") == BYTES).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ids = pairs.groupBy((F.col("key") % IDS).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    id_counts = np.zeros(IDS)
+    id_counts[ids.column("key").to_numpy()] = ids.column("n").to_numpy()
+    ends = int(id_counts[END])  # one a text
     level = F.floor(F.log2(F.col("c").cast("double"))).cast("int")
     by_level = {r["level"]: (r["v"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()}
     total = ends + sum(n for _, n in by_level.values())
-    distinct = (ends > 0) + sum(v for v, _ in by_level.values())
+    distinct_ = (ends > 0) + sum(v for v, _ in by_level.values())
     least, room = 63, HEAD
     for x in sorted(by_level, reverse=True):
         room -= by_level[x][0]
         if room < 0:
             break
         least = x
-    base = lambda c: np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-    head = counts.where(F.col("c") >= F.lit(1 << least)).orderBy("key").toArrow() if least < 63 else None
-    keys = head.column("key").to_numpy() if head is not None else np.zeros(0, np.int64)
-    values = base(head.column("c").to_numpy()) if head is not None else np.zeros(0)
-    seen = scratch.save(learn.select("text").mapInArrow(_gather(paths), "key long, n long, window array<int>"), "gathered")
-    ids = seen.where("window IS NULL").groupBy((F.col("key") % IDS).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    id_counts = np.zeros(IDS)
-    id_counts[ids.column("key").to_numpy()] = ids.column("n").to_numpy()
-    model = fit_model(seen.where("window IS NOT NULL").select("window"), seen.where("window IS NULL").select("key", "n"), id_counts)
-    shared = spark.sparkContext.broadcast((keys, values, *model))
-    first = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_score(paths, shared), "rid long, doc_id long, n_tokens long, known long, base double, score double, rest array<long>")
+    base = lambda c: np.log10((c + 0.5) / (total + 0.5 * (distinct_ + 1)))
+    found = counts.where((F.col("c") >= F.lit(1 << least)) & (F.length("word") <= LONG)).toArrow().combine_chunks() if least < 63 else None
+    model = fit_model(learn, pairs, id_counts, bytes_, paths)
+    shared = spark.sparkContext.broadcast((_head(found, base), *model))
+    first = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_score(paths, shared), "rid long, doc_id long, n_tokens long, known long, base double, score double, rest array<binary>")
     first = scratch.save(first, "scored")
-    scratch.drop(seen)
-    rest = first.select("rid", F.explode("rest").alias("key")).groupBy("rid", "key").agg(F.count("*").alias("n")).join(counts, "key", "left")
+    rest = first.select("rid", F.explode("rest").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("n")).join(counts, "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
-    rest = rest.groupBy("rid").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1)))).alias("b"))
+    rest = rest.groupBy("rid").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct_ + 1)))).alias("b"))
     out = first.drop("rest").join(rest, "rid", "left")
     end = float(base(ends))
     return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b", F.lit(0.0)) + F.lit(end)).alias("base_score"), "score")
 
 
+def _head(found: pa.Table | None, base):
+    """Frequent words for look-ups: their bytes, where each begins, hashes in order and base scores."""
+    if found is None or not found.num_rows:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0)
+    body, bounds = utf8(found.column("word"))
+    h = Ranges(body)(bounds[:-1], bounds[1:])
+    _, order = np.unique(h, return_index=True)  # a second word of one hash is left to the join
+    body, bounds = gathered(body, bounds[:-1][order], bounds[1:][order])
+    return body, bounds, h[order], base(found.column("c").to_numpy()[order])
+
+
 def op6_lm_score(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % HELD == 1, F.lit(False))

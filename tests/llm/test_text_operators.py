@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from nocturne.llm import bytebpe, linededup, lm, lpf, minhash, mixing, tokencount, toxicity
+from nocturne.llm import bytebpe, linededup, lm, lpf, minhash, mixing, text, tokencount, toxicity
 from nocturne.llm.components import connected_components
 from nocturne.llm.scratch import Scratch
 
@@ -219,11 +219,11 @@ def test_lm_scores_do_not_see_ahead_or_other_texts():
     rng, p, pair, group = lm_model(2)
     x = rng.integers(0, lm.CLASSES, 150)
     y = np.roll(x, -1)
-    text = np.repeat([0, 1], [70, 80])
-    whole = lm.class_scores(p, pair, group, x, y, text)
-    assert lm.class_scores(p, pair, group, x[70:], y[70:], text[70:]) == pytest.approx(whole[70:], rel=1e-3)
-    assert lm.class_scores(p, pair, group, x[:50], y[:50], text[:50]) == pytest.approx(whole[:50], rel=1e-3)
-    one = np.array([lm.class_scores(p, pair, group, x[:31], np.append(y[:30], c), text[:31])[-1] for c in range(lm.CLASSES)])
+    of = np.repeat([0, 1], [70, 80])
+    whole = lm.class_scores(p, pair, group, x, y, of)
+    assert lm.class_scores(p, pair, group, x[70:], y[70:], of[70:]) == pytest.approx(whole[70:], rel=1e-3)
+    assert lm.class_scores(p, pair, group, x[:50], y[:50], of[:50]) == pytest.approx(whole[:50], rel=1e-3)
+    one = np.array([lm.class_scores(p, pair, group, x[:31], np.append(y[:30], c), of[:31])[-1] for c in range(lm.CLASSES)])
     assert np.exp(one).sum() == pytest.approx(1, rel=1e-3)
 
 
@@ -244,24 +244,108 @@ def test_lm_windows_hold_every_training_id_once():
 
     paths = lm.public_path(lm.RANKS), lm.public_path(lm.VOCABULARY)
     texts = [prose(1, 700), None, "", "one", prose(2, 31)]
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    got = [w for b in lm._gather(paths)(iter([batch])) for w in b.column("window").to_pylist() if w is not None]
+    ids, size = lm.Slice(pa.array(texts, pa.string())).streams(paths)
+    got = lm.windows_of(ids, size).tolist()
     assert all(len(w) == lm.CONTEXT + 1 for w in got)
-    ids, _ = lm.streams(lm.lowered(*lm.utf8(batch.column("text"))), len(texts), paths)
     assert [i for w in got for i in w[1:] if i >= 0] == ids.tolist()
+    whole = [lm.END, *ids.tolist()]
+    at = 0
+    for w in got:  # each begins with the id before
+        assert w[0] == whole[at]
+        at += sum(i >= 0 for i in w[1:])
+
+
+def test_lm_scores_by_force():
+    """One place after another, plain loops, no blocks: attention over the CONTEXT classes of the own text."""
+    rng, p, pair, group = lm_model(6)
+    size = [1, 50, 5, 90, 33]
+    of = np.repeat(np.arange(len(size)), size)
+    x, y = rng.integers(0, lm.CLASSES, (2, sum(size)))
+    got = lm.class_scores(p, pair, group, x, y, of)
+    for i in range(len(x)):
+        j = np.array([j for j in range(max(0, i - lm.CONTEXT + 1), i + 1) if of[j] == of[i]])
+        s = np.exp(np.array([p["emb"][x[i]] @ p["q"] @ (p["emb"][x[k]] @ p["k"]) / lm.WIDTH**0.5 + p["rel"][i - k] for k in j]))
+        h = (s / s.sum()) @ (p["emb"][x[j]] @ p["v"]) @ p["o"]
+        logits = pair[x[i]].astype(float) + (h @ p["out"])[group]
+        assert got[i] == pytest.approx(logits[y[i]] - np.log(np.exp(logits).sum()), rel=1e-3, abs=1e-3)
+
+
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lm, "SHARD_BYTES", 4_000)  # several groups
+    docs = documents(spark, [prose(i, 80) for i in range(120)] + ODD)
+    train = F.col("doc_id") % 5 != 1
+    one, many = ({r.doc_id: r for r in lm.lm_scores(docs.repartition(n), train).collect()} for n in (1, 9))
+    assert one.keys() == many.keys()
+    for i in one:
+        assert one[i].score == pytest.approx(many[i].score, rel=1e-4)
+
+
+def test_lm_training_is_the_average_of_its_groups(spark):
+    import pyarrow as pa
+
+    paths = lm.public_path(lm.RANKS), lm.public_path(lm.VOCABULARY)
+    rng, _, pair, group = lm_model(7)
+    cls = rng.integers(0, lm.CLASSES, lm.IDS).astype(np.int16)
+    texts, shard = [prose(i, 90) for i in range(20)], [0] * 7 + [3] * 13
+    shared = type("Held", (), {"value": (lm.flat(lm.initial()), pair, group, cls)})
+    batch = pa.RecordBatch.from_arrays([pa.array(shard), pa.array(texts)], ["shard", "text"])
+    (got,) = lm._train(paths, shared, 1)(iter([batch.slice(0, 9), batch.slice(9)]))
+    expected = 0
+    for g in (0, 3):
+        t = lm.Trainer(shared.value[0], lm.by_group(pair, group), group, lm.RATE * 0.7, 1)
+        ids, size = lm.Slice(pa.array([x for x, s in zip(texts, shard, strict=True) if s == g])).streams(paths)
+        w = lm.windows_of(cls[ids], size)
+        t.add(w)
+        expected = expected + t.end()
+    assert got.column("x").to_numpy() == pytest.approx(expected, rel=1e-3, abs=1e-2)
+    assert got.column("x").to_numpy()[-1] == sum(-(-int(n) // lm.CONTEXT) for n in lm.Slice(pa.array(texts)).streams(paths)[1])
+
+
+def test_lm_learns(spark):
+    """After "the" stands one of twelve words, of which a text uses three: counts of pairs give each a twelfth, attention
+    sees which kind of text it is in."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(0)
+    kinds = [["of", "and", "to"], ["in", "is", "was"], ["for", "on", "he"], ["his", "it", "as"]]
+    rows = [" ".join(f"the {kinds[i % 4][j]}" for j in rng.integers(0, 3, 60)) for i in range(2400)]
+    out = lm.lm_scores(documents(spark, rows), F.col("doc_id") % 5 != 1).where("doc_id % 5 = 1").agg(F.avg("score")).first()
+    assert out[0] > 60 * np.log10(1 / 12) * 0.85
+
 
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() & 1 else a for i in range(n))
 
-def test_lm_trains_once_over_the_windows_of_a_small_corpus(spark):
+
+def test_words_that_plain_polynomials_confuse(spark):
+    """Two words of 1024 letters that any polynomial modulo 2**64 over the letters takes for one."""
     from pyspark.sql import functions as F
 
-    rng = np.random.default_rng(4)
-    rows = [(rng.integers(0, 900, lm.CONTEXT + 1).tolist(),) for _ in range(60)]
-    windows = spark.createDataFrame(rows, "window array<int>").coalesce(1)
-    pairs = collections.Counter(a * lm.IDS + b for (w,) in rows for a, b in zip(w[:-1], w[1:], strict=True))
-    counts = np.bincount(np.concatenate([w for (w,) in rows]), minlength=lm.IDS).astype(float)
-    params, pair, group, cls, _ = lm.fit_model(windows, spark.createDataFrame([*pairs.items()], "key long, n long"), counts)
-    own = lm.initial()
-    for r in range(lm.ROUNDS):
-        part = windows.where(F.pmod(F.xxhash64("window"), F.lit(lm.ROUNDS)) == r).collect()
-        own = lm.adam(own, lm.by_group(pair, group), group, cls[np.array([x.window for x in part])], lm.RATE * (1 - 0.3 * r), r)
-    assert params == pytest.approx(lm.flat(own), rel=1e-2, abs=1e-3)
+    texts = [thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a"), "x"]
+    docs = documents(spark, texts)
+    got = {r.doc_id: r for r in bytebpe.digests(docs).collect()}
+    assert all(got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts))
+    assert {r.component_id for r in minhash.near_duplicates(docs, 3, 85).collect()} == {0, 1, 2}
+    assert all(r.kept.decode() == texts[r.doc_id] for r in lpf.remove_repeats(documents(spark, [thue_morse(400, "a", "b"), thue_morse(400, "b", "a")])).collect())
+    seen = {r.doc_id: r.n_known for r in lm.lm_scores(docs, F.col("doc_id") != 1).collect()}
+    assert seen == {0: 2, 1: 1, 2: 2}
+
+
+def test_equal_hashes_are_told_apart():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    start = rng.integers(0, 3900, 3000)
+    end = start + rng.integers(8, 20, 3000)
+    body = [data[a:b].tobytes() for a, b in zip(start, end, strict=True)]
+    sample, back = text.distinct(data, start, end, text.Ranges(data)(start, end) % np.uint64(40))
+    assert len(sample) == len(set(body)) and all(body[sample[back[i]]] == body[i] for i in range(3000))
+    spell = lambda d, a, b: (np.array([hash(d[i:j].tobytes()) % 1000 for i, j in zip(a, b, strict=True)], np.int32), np.ones(len(a), np.int64))
+    memo = bytebpe.Memo(spell, 100_000)
+    for lo in (0, 1000, 2000):
+        h = text.Ranges(data)(start, end) % np.uint64(40)
+        sample, back = text.distinct(data, start[lo : lo + 1000], end[lo : lo + 1000], h[lo : lo + 1000])
+        s = sample + lo
+        ids, n = memo.gather(memo.numbers(data, start[s], end[s], h[s])[back])
+        assert ids.tolist() == [hash(x) % 1000 for x in body[lo : lo + 1000]] and (n == 1).all()
