@@ -1,10 +1,13 @@
 """Exact top-k inner products by ball-tree branch and bound.
 
-Candidates are dealt into shards of bounded size, queries into blocks of bounded size; a task joins one shard with one
-block, so no task grows with either table. In a task a ball tree is built over the shard; nodes are visited in the order
-of their upper bound q.c + |q| r, a query follows only where the bound reaches the k-th best score it has so far, and
-that score is shared by all nodes of the tree, and over shards by a first look at one small set of candidates, whose
-k-th best score is a floor that goes with each query. Scores are integers and exact in double precision.
+Candidates are dealt by place into cells around the centres of a bounded sample, at most CELLS; each cell is a ball whose
+radius is measured over all of its vectors, and is dealt into shards of about SHARD. A first look at SEEDS candidates
+gives each query the k-th best score that it has for certain. It then goes to cells in two waves: to the FIRST whose
+balls have the greatest upper bounds q.c + |q| r, and, with the k-th score that all shards have given it by then, to
+those others whose bound reaches that score, and to no more. In a task a ball tree is built over the shard; nodes are
+visited in the order of their upper bounds, and a query follows only where the bound reaches its k-th best score so far.
+Queries of a shard are dealt over blocks of about BLOCK, so no task grows with either table. Scores are integers and
+exact in double precision.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-SHARD, BLOCK, LEAF, SEEDS = 16_384, 2_048, 128, 1_024
+SHARD, BLOCK, LEAF, SEEDS, CELLS, FIRST = 16_384, 2_048, 128, 1_024, 256, 2
 BOUND_SLACK = 1e-9
 
 
@@ -83,10 +86,12 @@ def search(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.nda
         if not len(q):
             continue
         if node.children:
+            # each query goes first where its own bound is greater
             a, b = node.children
-            # the likelier child is searched first, by the queries' mean bound
-            first, second = (a, b) if bound(a, q).mean() >= bound(b, q).mean() else (b, a)
-            stack += [(second, q), (first, q)]
+            left = bound(a, q) >= bound(b, q)
+            for near, far, own in ((a, b, q[left]), (b, a, q[~left])):
+                if len(own):
+                    stack += [(far, own), (near, own)]
         else:
             scores = queries[q] @ points[node.lo : node.hi].T
             scores[own[q][:, None] == ids[None, node.lo : node.hi]] = -np.inf
@@ -113,6 +118,59 @@ def _search(k: int):
     return run
 
 
+def nearest(table, centers: np.ndarray) -> np.ndarray:
+    """The nearest centre of every vector."""
+    x = _matrix(table.column("v"))
+    return ((centers**2).sum(axis=1)[None, :] - 2 * x @ centers.T).argmin(axis=1)
+
+
+def _place(shared):
+    """The cell of every row."""
+
+    def run(batches):
+        centers = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.append_column("cell", pa.array(nearest(batch, centers).astype(np.int32)))
+
+    return run
+
+
+def _reach(shared):
+    """For the rows of a batch, by cell: greatest distance from the cell's centre."""
+
+    def run(batches):
+        centers = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                x, cell = _matrix(batch.column("v")), batch.column("cell").to_numpy()
+                most = np.zeros(len(centers))
+                np.maximum.at(most, cell, np.sqrt(((x - centers[cell]) ** 2).sum(axis=1)))
+                met = np.unique(cell)
+                yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(most[met])], ["cell", "radius"])
+
+    return run
+
+
+def _route(shared, first: bool):
+    """Each query with every cell that it has to see in this wave."""
+
+    def run(batches):
+        centers, radius, cells = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q, floor = _matrix(batch.column("v")), batch.column("floor").to_numpy()
+            bound = q @ centers.T + np.sqrt((q**2).sum(axis=1))[:, None] * radius[None, :]
+            bound += np.abs(bound) * 1e-9 + 1e-6
+            take = min(FIRST, len(cells)) - 1
+            seen = bound >= -np.partition(-bound, take, axis=1)[:, take][:, None]
+            rows, at = np.nonzero((seen if first else ~seen) & (bound >= floor[:, None]))
+            yield batch.take(pa.array(rows)).append_column("cell", pa.array(cells[at]))
+
+    return run
+
+
 def _usable(vectors: DataFrame, scale: float) -> DataFrame:
     """vec_id and v = floor(scale * x) of the vectors that can take part."""
     ok = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -124,36 +182,62 @@ def top_k(vectors: DataFrame, queries, k: int = 5, scale: float = 256.0) -> Data
     the k rows of other vec_id with the greatest inner product of floor(scale * x), ties to the smaller vec_id; all of
     them where there are fewer than k.
 
-    Vectors that are null, empty or hold null or non-finite components take no part; vectors of another length than
-    the commonest are an error of the input and raise. vec_id is taken as a key: of repeated rows with one vec_id one
-    is used. Extra columns are ignored; an empty table gives no rows.
+    Vectors that are null, empty or hold null or non-finite components take no part; vectors of different lengths raise
+    ValueError. vec_id is taken as a key: of repeated rows with one vec_id the least vector is used. Extra columns are
+    ignored; an empty table gives no rows.
     """
-    scratch = Scratch(vectors.sparkSession, "topk")
-    rows = scratch.save(_usable(vectors, scale).dropDuplicates(["vec_id"]), "rows")
+    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "topk")
+    rows = scratch.save(_usable(vectors, scale).groupBy("vec_id").agg(F.min("v").alias("v")), "rows")
+    lengths = [r[0] for r in rows.select(F.size("v")).distinct().limit(2).collect()]
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(lengths)} and perhaps others")
     n = rows.count()
-    asked = scratch.save(rows.where(queries), "queries")
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked.count() // BLOCK))
-    # a first look: the k-th best score of each query among SEEDS candidates of least hash is a floor for all shards
     seeds = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS).toArrow()
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast((_matrix(seeds.column("v")), seeds.column("vec_id").to_numpy()))
+    sample, ids = _matrix(seeds.column("v")), seeds.column("vec_id").to_numpy()
+    cells = min(CELLS, max(1, n // SHARD))
+    centers = sample[np.random.default_rng(7).permutation(len(sample))[:cells]] if len(sample) else np.zeros((1, 0))
+    for _ in range(8 if cells > 1 else 0):  # k-means of the sample
+        of = ((centers**2).sum(axis=1)[None, :] - 2 * sample @ centers.T).argmin(axis=1)
+        some = np.flatnonzero(np.bincount(of, minlength=cells))
+        centers[some] = [sample[of == c].mean(axis=0) for c in some]
+    shared = spark.sparkContext.broadcast(centers)
+    placed = scratch.save(rows.mapInArrow(_place(shared), "vec_id long, v array<double>, cell int"), "placed")
+    each = placed.groupBy("cell").agg(F.ceil(F.count("*") / SHARD).cast("long").alias("parts"))
+    each = scratch.save(each.join(placed.mapInArrow(_reach(shared), "cell int, radius double").groupBy("cell").agg(F.max("radius").alias("radius")), "cell"), "cells")
+    balls = each.toArrow()  # at most CELLS rows, as is every broadcast of cells
+    met = balls.column("cell").to_numpy()
+    many = spark.sparkContext.broadcast((centers[met], balls.column("radius").to_numpy(), met))
+    each = F.broadcast(each.select("cell", "parts"))
+    number = lambda part: (F.col("cell").cast("long") * (1 << 32) + part).alias("shard")
+    placed = placed.join(each, "cell").select("vec_id", "v", number(F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("parts"))))
+    first = spark.sparkContext.broadcast((sample, ids))
 
     def floors(batches):
-        points, ids = shared.value
+        points, own = first.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             q = batch.column("vec_id").to_numpy()
-            best = search(points, ids, _matrix(batch.column("v")), q, k, np.full(len(q), -np.inf))
+            best = search(points, own, _matrix(batch.column("v")), q, k, np.full(len(q), -np.inf))
             yield batch.append_column("floor", pa.array(best.score[:, -1]))
 
-    asked = asked.mapInArrow(floors, "vec_id long, v array<double>, floor double")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
-    right = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(shards)).cast("int")).withColumn("block", each(blocks))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    asked = scratch.save(rows.where(queries).mapInArrow(floors, "vec_id long, v array<double>, floor double"), "queries")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = None
+    for wave in (True, False):
+        if not wave:  # the k-th score so far is shared by all shards that are left
+            kth = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth"))
+            asked = asked.join(kth, "vec_id", "left").select("vec_id", "v", F.greatest("floor", F.coalesce("kth", "floor")).alias("floor"))
+        routed = asked.mapInArrow(_route(many, wave), "vec_id long, v array<double>, floor double, cell int").join(each, "cell")
+        left = scratch.save(routed.select("vec_id", "v", "floor", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("vec_id", "v", "floor", number(F.col("part"))), "routed")
+        blocks = left.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        blocks = F.broadcast(blocks)  # one row of a few bytes for SHARD vectors
+        left = left.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+        right = placed.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        new = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+        new = new if found is None else new.unionByName(found.drop("rank"))
+        found = scratch.save(new.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "found")
+    return found
 
 
 def op3_top_k(spark, sf_dir: str) -> DataFrame:

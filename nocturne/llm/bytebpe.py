@@ -23,7 +23,7 @@ from .chars import BLANK, LETTER, OTHER, byte_starts, classes, code_points
 from .text import Ranges, distinct, gathered, lists, same_bytes, sized, utf8
 
 RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000
 
 
 def public_path(name: str) -> str:
@@ -76,34 +76,33 @@ def piece_starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """Ids of byte strings met so far. A string is taken for a known one only if their bytes are equal."""
+    """Ids of the first ``limit`` byte strings met, which hold the frequent ones; others are spelled each time. A string
+    is taken for a known one only if their bytes are equal."""
 
     def __init__(self, spell, limit: int):
-        """spell: (data, start, end) -> ids of the strings in a row, and how many each has."""
+        """spell: (data, start, end) -> ids of the strings in a row, and how many each has. Strings met: hash and number
+        in the order of the hashes; ids and bytes by number."""
         self.spell, self.limit = spell, limit
-        self.clear()
-
-    def clear(self) -> None:
-        """Strings met: hash and number in the order of the hashes; ids and bytes by number."""
         self.known, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.body, self.body_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
-    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        ids, n = self.spell(data, start, end)
-        number = len(self.ends) - 1 + np.arange(len(n))
-        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
-        body, bounds = gathered(data, start, end)
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        _, first = np.unique(h, return_index=True)
+        keep = np.zeros(len(h), bool)
+        keep[first] = ~np.isin(h[first], self.known)  # a hash stands for one string
+        body, bounds = gathered(data, start[keep], end[keep])
+        number = len(self.ends) - 1 + np.arange(keep.sum())
+        self.ids, self.ends = np.concatenate([self.ids, ids[np.repeat(keep, n)]]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(n[keep])])
         self.body, self.body_ends = np.concatenate([self.body, body]), np.concatenate([self.body_ends, self.body_ends[-1] + bounds[1:]])
-        return number
-
-    def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Numbers of the strings data[start:end], which are distinct; h: their hashes."""
-        if len(self.known) > self.limit:
-            self.clear()
-        if not len(self.known):
-            out = np.full(len(h), -1)
-        else:
+        self.known, self.where = np.concatenate([self.known, h[keep]]), np.concatenate([self.where, number])
+        order = np.argsort(self.known)
+        self.known, self.where = self.known[order], self.where[order]
+
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in a row, and how many for each, of the strings back of the distinct strings data[start:end]; h: hashes."""
+        out = np.full(len(h), -1)
+        if len(self.known):
             slot = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
             out = np.where(self.known[slot] == h, self.where[slot], -1)
         met = np.flatnonzero(out >= 0)
@@ -112,33 +111,30 @@ class Memo:
         equal &= same_bytes(data, start[met], self.body, begin, np.where(equal, size, 0))
         out[met[~equal]] = -1
         new = np.flatnonzero(out < 0)
+        ids, ends = self.ids, self.ends
         if len(new):
-            out[new] = self._learn(data, start[new], end[new])
-            _, first = np.unique(h[new], return_index=True)
-            first = new[first]
-            first = first[~np.isin(h[first], self.known)]  # a hash stands for one string, others are spelled each time
-            self.known, self.where = np.concatenate([self.known, h[first]]), np.concatenate([self.where, out[first]])
-            order = np.argsort(self.known)
-            self.known, self.where = self.known[order], self.where[order]
-        return out
-
-    def gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the strings in a row, and how many each has."""
-        n = self.ends[number + 1] - self.ends[number]
+            got, n = self.spell(data, start[new], end[new])
+            out[new] = len(ends) - 1 + np.arange(len(new))
+            ids, ends = np.concatenate([ids, got]), np.concatenate([ends, ends[-1] + np.cumsum(n)])
+            if len(self.known) < self.limit:
+                self._learn(data, start[new], end[new], h[new], got, n)
+        number = out[back]
+        n = ends[number + 1] - ends[number]
         total = np.cumsum(n)
-        return self.ids[np.repeat(self.ends[number] - (total - n), n) + np.arange(total[-1] if len(n) else 0)], n
+        return ids[np.repeat(ends[number] - (total - n), n) + np.arange(total[-1] if len(n) else 0)], n
 
 
 class Codec:
     """The vocabulary, and ids of the pieces met so far."""
 
     def __init__(self, ranks: str, vocabulary: str):
-        from tokenizers import models
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         with open(vocabulary, encoding="utf-8") as f:
             model = json.load(f)["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.model = models.BPE(vocab=model["vocab"], merges=merges)
+        self.model = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
+        self.model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")  # no byte is written as this character
         with open(ranks, "rb") as f:
             table = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
         size = max(table) + 1
@@ -151,9 +147,11 @@ class Codec:
     def _spell(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the given pieces by the library."""
         body, bounds = gathered(data, start, end)
-        text, tokenize = self.characters[body].tobytes().decode("utf-32-le"), self.model.tokenize
-        found = [[t.id for t in tokenize(text[s:e])] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
+        size = np.diff(bounds)
+        text = np.full(len(body) + len(size), ord("\n"), np.uint32)
+        text[np.arange(len(body)) + np.repeat(np.arange(len(size)), size)] = self.characters[body]
+        found = self.model.encode(text.tobytes().decode("utf-32-le"), add_special_tokens=False)
+        return np.array(found.ids, np.int32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(size))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
@@ -167,7 +165,7 @@ class Codec:
         end = np.append(start[1:], len(data))
         h = Ranges(data)(start, end)
         sample, back = distinct(data, start, end, h)
-        ids, n = self.pieces.gather(self.pieces.numbers(data, start[sample], end[sample], h[sample])[back])
+        ids, n = self.pieces.encode(data, start[sample], end[sample], h[sample], back)
         upto = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, offsets)]
         return ids, np.diff(upto)
 

@@ -33,13 +33,13 @@ from .scratch import Scratch
 from .text import LOWER, Ranges, binaries, distinct, gathered, same_bytes, sized, utf8, words
 
 END, IDS = 50_256, 50_257
-CONTEXT, BLOCK, WIDTH, CLASSES, GROUPS = 32, 16, 16, 768, 64
+CONTEXT, BLOCK, WIDTH, CLASSES, GROUPS = 16, 16, 12, 768, 48
 OWN, NEAR, LEAST = 576, 64, 20
 HEAD, LONG, MEMO = 1 << 17, 32, 300_000
-ROUNDS, SHARD_BYTES, BUFFER, BATCH, RATE, SETTLE = 3, 32 << 20, 4_096, 64, 2e-2, 150
+ROUNDS, SHARD_BYTES, BUFFER, BATCH, RATE, SETTLE = 3, 32 << 20, 8_192, 128, 3e-2, 150
 SEGMENT = 1_024
 HELD = 5
-WORDS, PAIRS, BYTES = 0, 1, 2  # kinds of counts
+DOCUMENT, WORDS, PAIRS, BYTES = range(4)  # kinds of rows of the first pass
 
 
 # --- the model --------------------------------------------------------------------------------------------------------
@@ -276,8 +276,7 @@ class Slice:
 
     def streams(self, paths) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, an end after each, and how many ids each text has."""
-        memo = speller(*paths)
-        ids, each = memo.gather(memo.numbers(self.low, self.start, self.end, self.hash)[self.back])
+        ids, each = speller(*paths).encode(self.low, self.start, self.end, self.hash, self.back)
         size = np.bincount(self.row, each, self.texts).astype(np.int64)
         return np.insert(ids, np.cumsum(size), END), size + 1
 
@@ -312,34 +311,48 @@ def _tally(keys, n):
     return keys[order][first], np.add.reduceat(n[order], first) if len(first) else n
 
 
-def _count(paths):
-    """Of the training texts: counts of words; of pairs of ids, a * IDS + b, the first of a text after an end; bytes."""
-    schema = pa.schema([("kind", pa.int32()), ("word", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
+FIRST = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("learn", pa.bool_()), ("hash", pa.int64()), ("ids", pa.binary()), ("word", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
+FIRST_DDL = "kind int, doc_id long, text string, learn boolean, hash long, ids binary, word binary, key long, n long"
 
-    def rows(kind, n, word=None, key=None):
-        m = len(n)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.nulls(m, pa.binary()) if word is None else word, pa.nulls(m, pa.int64()) if key is None else pa.array(key), pa.array(n)], schema=schema)
+
+def _rows(kind: int, m: int, **columns) -> pa.RecordBatch:
+    columns["kind"] = pa.array(np.full(m, kind, np.int32))
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(m, f.type) for f in FIRST], schema=FIRST)
+
+
+def _first_pass(paths):
+    """Each text with its ids, two bytes each; and of the texts to learn from, counts of words, of pairs of ids,
+    a * IDS + b, the first of a text after an end, and of bytes."""
 
     def run(batches):
         keys, counts, bytes_ = [], [], 0
         for batch in sized(batches, "text"):
-            part = Slice(batch.column("text"))
-            bytes_ += len(part.low)
-            yield rows(WORDS, np.bincount(part.back, minlength=len(part.start)), word=part.keys(np.arange(len(part.start))))
-            ids, _ = part.streams(paths)
-            k, n = np.unique(np.concatenate([[END], ids[:-1]]).astype(np.int64) * IDS + ids, return_counts=True)
+            column, learn = batch.column("text"), batch.column("learn").to_numpy(zero_copy_only=False)
+            part = Slice(column)
+            ids, size = part.streams(paths)
+            bounds = np.concatenate([[0], np.cumsum(size)])
+            given = {c: batch.column(c) for c in ("doc_id", "learn", "hash")}
+            yield _rows(DOCUMENT, len(learn), text=column.cast(pa.string()), ids=binaries(ids.astype("<u2").view(np.uint8), 2 * bounds), **given)
+            if not learn.any():
+                continue
+            bytes_ += int(np.diff(utf8(column)[1])[learn].sum())
+            n = np.bincount(part.back[learn[part.row]], minlength=len(part.start))
+            seen = np.flatnonzero(n)
+            yield _rows(WORDS, len(seen), word=part.keys(seen), n=pa.array(n[seen]))
+            pair = np.concatenate([[END], ids[:-1]]).astype(np.int64) * IDS + ids
+            k, n = np.unique(pair if learn.all() else pair[np.repeat(learn, size)], return_counts=True)
             keys.append(k)
             counts.append(n)
             if sum(map(len, keys)) > 2_000_000:
                 k, n = _tally(np.concatenate(keys), np.concatenate(counts))
                 keys, counts = [k], [n]
                 if len(k) > 1_000_000:
-                    yield rows(PAIRS, n, key=k)
+                    yield _rows(PAIRS, len(k), key=pa.array(k), n=pa.array(n))
                     keys, counts = [], []
         if keys:
             k, n = _tally(np.concatenate(keys), np.concatenate(counts))
-            yield rows(PAIRS, n, key=k)
-        yield rows(BYTES, np.array([bytes_]))
+            yield _rows(PAIRS, len(k), key=pa.array(k), n=pa.array(n))
+        yield _rows(BYTES, 1, n=pa.array([bytes_]))
 
     return run
 
@@ -381,14 +394,20 @@ def windows_of(c: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(place <= np.repeat(begin + size, each)[:, None], held[np.minimum(place, len(held) - 1)], c.dtype.type(-1))
 
 
-def _train(paths, shared, round_: int):
+def _stored(batch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a batch of the first pass, and how many each has."""
+    data, offsets = utf8(batch.column("ids"))
+    return np.frombuffer(data.tobytes(), "<u2").astype(np.int32), np.diff(offsets) // 2
+
+
+def _train(shared, round_: int):
     """Sum over the groups of a task of their weights times their windows; rows come sorted by group."""
 
     def run(batches):
         start, pair, group, cls = shared.value
         shares, total, now, trainer = by_group(pair, group), 0.0, None, None
-        for batch in sized(batches, "text"):
-            ids, size = Slice(batch.column("text")).streams(paths)
+        for batch in sized(batches, "ids"):
+            ids, size = _stored(batch)
             c, ends = cls[ids], np.concatenate([[0], np.cumsum(size)])
             of = batch.column("shard").to_numpy()
             cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
@@ -404,13 +423,13 @@ def _train(paths, shared, round_: int):
     return run
 
 
-def _score(paths, shared):
+def _score(shared):
     def run(batches):
         (body, bounds, head, value), params, pair, group, cls, within = shared.value
         p = unflat(params)
         for batch in sized(batches, "text"):
             part, texts = Slice(batch.column("text")), batch.num_rows
-            ids, size = part.streams(paths)
+            ids, size = _stored(batch)
             text = np.repeat(np.arange(texts, dtype=np.int32), size)
             y = cls[ids]
             x = np.concatenate([cls[[END]], y[:-1]])  # a text begins after the end of the one before
@@ -433,8 +452,8 @@ def _score(paths, shared):
     return run
 
 
-def fit_model(docs: DataFrame, pairs_seen: DataFrame, id_counts: np.ndarray, bytes_: int, paths):
-    """docs (doc_id, text) to learn from -> weights, table of pairs, groups of classes, classes of ids and log shares
+def fit_model(docs: DataFrame, pairs_seen: DataFrame, id_counts: np.ndarray, bytes_: int):
+    """docs (ids, hash) to learn from -> weights, table of pairs, groups of classes, classes of ids and log shares
     within classes."""
     spark = docs.sparkSession
     order = np.argsort(-id_counts, kind="stable")[:NEAR]
@@ -454,11 +473,10 @@ def fit_model(docs: DataFrame, pairs_seen: DataFrame, id_counts: np.ndarray, byt
     pair, group = pair_table(pairs), group_classes(pairs)
     params = flat(initial())
     shards = max(1, round(bytes_ / ROUNDS / SHARD_BYTES))
-    order = F.xxhash64("doc_id", "text")
-    dealt = docs.select("text", F.pmod(order, F.lit(ROUNDS)).alias("round"), F.pmod(F.shiftright(order, 17), F.lit(shards)).alias("shard"), order.alias("order"))
+    dealt = docs.select("ids", "hash", F.pmod("hash", F.lit(ROUNDS)).alias("round"), F.pmod(F.shiftright("hash", 17), F.lit(shards)).alias("shard"))
     for r in range(ROUNDS):
-        part = dealt.where(F.col("round") == r).repartition(min(shards, 2_000), "shard").sortWithinPartitions("shard", "order").select("shard", "text")
-        got = part.mapInArrow(_train(paths, spark.sparkContext.broadcast((params, pair, group, cls)), r), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        part = dealt.where(F.col("round") == r).repartition(min(shards, 2_000), "shard").sortWithinPartitions("shard", "hash").select("shard", "ids")
+        got = part.mapInArrow(_train(spark.sparkContext.broadcast((params, pair, group, cls)), r), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
         if got.num_rows:
             x = np.zeros(len(params) + 1)
             x[got.column("at").to_numpy()] = got.column("x").to_numpy()
@@ -476,11 +494,10 @@ def lm_scores(docs: DataFrame, train, ranks: str | None = None, vocabulary: str
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
     paths = (ranks or public_path(RANKS), vocabulary or public_path(VOCABULARY))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    learn = docs.where(train)
-    seen = learn.select("text").mapInArrow(_count(paths), "kind int, word binary, key long, n long").groupBy("kind", "word", "key").agg(F.sum("n").alias("n"))
-    seen = scratch.save(seen, "counts")
-    counts, pairs = seen.where(F.col("kind") == WORDS).select("word", F.col("n").alias("c")), seen.where(F.col("kind") == PAIRS).select("key", "n")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("learn")).withColumn("hash", F.xxhash64("doc_id", "text"))
+    seen = scratch.save(rows.mapInArrow(_first_pass(paths), FIRST_DDL), "first")
+    counts = scratch.save(seen.where(F.col("kind") == WORDS).groupBy("word").agg(F.sum("n").alias("c")), "counts")
+    pairs = scratch.save(seen.where(F.col("kind") == PAIRS).groupBy("key").agg(F.sum("n").alias("n")), "pairs")
     bytes_ = seen.where(F.col("kind") == BYTES).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ids = pairs.groupBy((F.col("key") % IDS).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     id_counts = np.zeros(IDS)
@@ -498,10 +515,11 @@ def lm_scores(docs: DataFrame, train, ranks: str | None = None, vocabulary: str
         least = x
     base = lambda c: np.log10((c + 0.5) / (total + 0.5 * (distinct_ + 1)))
     found = counts.where((F.col("c") >= F.lit(1 << least)) & (F.length("word") <= LONG)).toArrow().combine_chunks() if least < 63 else None
-    model = fit_model(learn, pairs, id_counts, bytes_, paths)
+    model = fit_model(seen.where((F.col("kind") == DOCUMENT) & F.col("learn")), pairs, id_counts, bytes_)
     shared = spark.sparkContext.broadcast((_head(found, base), *model))
-    first = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_score(paths, shared), "rid long, doc_id long, n_tokens long, known long, base double, score double, rest array<binary>")
+    first = seen.where(F.col("kind") == DOCUMENT).select("doc_id", "text", "ids", F.monotonically_increasing_id().alias("rid")).mapInArrow(_score(shared), "rid long, doc_id long, n_tokens long, known long, base double, score double, rest array<binary>")
     first = scratch.save(first, "scored")
+    scratch.drop(seen)
     rest = first.select("rid", F.explode("rest").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("n")).join(counts, "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     rest = rest.groupBy("rid").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct_ + 1)))).alias("b"))

@@ -5,14 +5,16 @@ the whole corpus. Every window is owned by one anchor, the rightmost GRAM-byte s
 windows are owned by equal anchors at equal offsets (winnowing, Schleimer et al., 2003); there is one anchor for about
 170 bytes. Then
 
-1. anchors are counted by hash of their bytes and by hash of all bytes that their windows cover (the context). An
-   anchor whose context occurs again has only repeated windows; one whose bytes occur once has none. No text moves;
-2. of the rest, one text for each distinct context goes to a block: contexts of equal anchors go to one block, whose
-   suffix order to a depth of WINDOW and LPF array tell which windows occur in it before, and by the same order after;
-3. an anchor with more than CROWD contexts is dealt over many blocks. Each sends every distinct window hash once, dealt
-   by hash, so that even a passage in a third of all documents is one hash a block, and gets back those that other
-   blocks also have;
-4. the spans of repeated windows go back to their documents.
+1. anchors are counted by hash of their bytes and by 128-bit hash of all bytes that their windows cover (the context).
+   An anchor whose context occurs again has only repeated windows; one whose bytes occur once has none. No text moves;
+2. of the rest, one text for each distinct context goes to a block: contexts of equal anchors go to one block. Its
+   windows are put in suffix order, to a depth of WINDOW, and the previous and next smaller positions in that order
+   give each window the earlier one with the longest common start: the longest previous factor reaches WINDOW, or not.
+   The same arrays of the mirrored positions tell of later copies. All comparisons in a block are of bytes;
+3. an anchor with more than CROWD contexts is dealt over many blocks. Each sends the 128-bit hash of every distinct
+   window once, dealt by hash, so that even a passage in a third of all documents is one hash a block, and gets back
+   those that other blocks also have;
+4. the spans of repeated windows go back to their documents, whose key is doc_id and a hash of the text.
 """
 
 from __future__ import annotations
@@ -82,11 +84,24 @@ def previous_smaller(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def lpf(data: np.ndarray, depth: int) -> np.ndarray:
-    """For each position, the length of the longest match of its suffix that starts earlier, ``depth`` at most.
+def previous_factors(rank: np.ndarray) -> np.ndarray:
+    """Of windows in text order with their ranks in suffix order (equal for equal windows): is there an equal one before?
+
+    In suffix order, ties by position, the longest match of a window that starts earlier is with its previous or next
+    smaller position (Crochemore and Ilie, 2008); it is whole, so the longest previous factor reaches the depth of the
+    ranks, exactly if the ranks are equal. Next smaller positions come after all ties, so they never have equal rank."""
+    sa = np.argsort(rank, kind="stable")
+    before = previous_smaller(sa)
+    at = np.flatnonzero(before >= 0)
+    at = at[rank[sa[at]] == rank[sa[before[at]]]]
+    out = np.zeros(len(rank), bool)
+    out[sa[at]] = True
+    return out
 
-    The longest match is with the previous or next smaller position in suffix order (Crochemore and Ilie, 2008); the
-    lengths of those two are found by comparing prefix ranks, halving."""
+
+def lpf(data: np.ndarray, depth: int) -> np.ndarray:
+    """For each position, the length of the longest match of its suffix that starts earlier, ``depth`` at most: the
+    greatest power-of-two sum of prefixes that agree with the previous or next smaller position in suffix order."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
@@ -112,18 +127,9 @@ def lpf(data: np.ndarray, depth: int) -> np.ndarray:
 
 
 def repeated_windows(data: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """Of the windows at ``starts``: does it equal one at an earlier start, or a later one?
-
-    Among the windows in suffix order, equals stand together by position. The one before is then the previous smaller
-    position and LPF is at least ``window`` exactly if it is equal; the next smaller position in the reversed text
-    order tells of later copies."""
+    """Of the windows at ``starts``, in order: does it equal one at an earlier start, or a later one?"""
     rank = suffix_ranks(data, window, starts)
-    order = np.argsort(rank, kind="stable")
-    equal = rank[order][1:] == rank[order][:-1]
-    out = np.zeros(len(starts), bool)
-    out[order[1:]] |= equal
-    out[order[:-1]] |= equal
-    return out
+    return previous_factors(rank) | previous_factors(rank[::-1])[::-1]
 
 
 # --- anchors ----------------------------------------------------------------------------------------------------------
@@ -131,28 +137,27 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, window: int) -> np.nd
 
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     """Of all texts in a row: row, first and last window start and place of every anchor (relative to the text), hash
-    of its bytes and of its context."""
+    of its bytes and 128-bit hash of its context."""
     n, w = len(data), window - gram + 1
     rows = np.flatnonzero(np.diff(offsets) >= window)
     if not len(rows):
-        return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, U)] * 2
+        return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, U)] * 3
     ranges = Ranges(data)
     at = np.arange(n - gram + 1)
     h = ranges(at, at + gram)
-    # order by hash, then by later place: low bits hold the place within a stretch longer than any window
-    key = (h & ~U(0xFFFF)) | (U(0xFFFF) - (at.astype(U) & U(0xFFFF)))
-    m = len(key)
-    full = -(-m // w) * w
-    padded = np.full(full, ~U(0))
-    padded[:m] = key
+    # minima of stretches of w places, from either end; low bits hold the place in the stretch, later ones first
+    bits = U((1 << (w - 1).bit_length()) - 1)
+    m = len(h)
+    padded = np.full(-(-m // w) * w, ~U(0))
+    padded[:m] = (h & ~bits) | (bits - (at % w).astype(U))
     grid = padded.reshape(-1, w)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(back[: n - window + 1], ahead[w - 1 : w - 1 + n - window + 1])
     place = np.arange(n - window + 1)
-    # the anchor's place: the one at or after the window start with these low bits
-    low = (U(0xFFFF) - (least & U(0xFFFF))).astype(np.int64)
-    anchor = place + ((low - place) & 0xFFFF)
+    first, second = back[place], ahead[place + w - 1]
+    right = (second & ~bits) <= (first & ~bits)  # of equals, the one in the later stretch
+    stretch = np.where(right, place + w - 1, place) // w * w
+    anchor = stretch + (bits - (np.where(right, second, first) & bits)).astype(np.int64)
     valid = np.zeros(n - window + 1, bool)
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, offsets[rows], 1)
@@ -167,15 +172,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     stop = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True))
     row = np.searchsorted(offsets, lo, "right") - 1
     a = anchor[lo]
-    context = ranges(lo, stop + window) ^ ((a - lo).astype(U) * U(0x9FB21C651E98DF25))
-    return [row, lo - offsets[row], stop - offsets[row], a - offsets[row], h[a], context]
+    offset = (a - lo).astype(U) * U(0x9FB21C651E98DF25)
+    context = [ranges(lo, stop + window) ^ offset, Ranges(data, 1)(lo, stop + window)]
+    return [row, lo - offsets[row], stop - offsets[row], a - offsets[row], h[a], *context]
 
 
 def _anchors(window: int, gram: int):
     def run(batches):
         for batch in sized(batches, "text"):
-            row, lo, hi, a, fp, ctx = anchors(*utf8(batch.column("text")), window, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), batch.column("uid").take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (lo, hi, a))], ["fp", "ctx", "uid", "lo", "hi", "a"])
+            row, lo, hi, a, *hashes = anchors(*utf8(batch.column("text")), window, gram)
+            own = [batch.column(c).take(pa.array(row)) for c in ("did", "tid")]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in hashes), *own, *(pa.array(x.astype(np.int32)) for x in (lo, hi, a))], ["fp", "ctx", "ctx2", "did", "tid", "lo", "hi", "a"])
 
     return run
 
@@ -184,17 +191,18 @@ def _contexts(window: int):
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
-            out = {k: [] for k in ("fp", "uid", "lo", "solo", "body", "salt")}
-            for text, uid, wanted in zip(texts, batch.column("uid").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            out = {k: [] for k in ("fp", "did", "tid", "lo", "solo", "body", "salt")}
+            for text, did, tid, wanted in zip(texts, *(batch.column(c).to_pylist() for c in ("did", "tid", "wanted")), strict=True):
                 view = memoryview(text.as_buffer())
                 for x in wanted:
                     out["fp"].append(x["fp"])
-                    out["uid"].append(uid)
+                    out["did"].append(did)
+                    out["tid"].append(tid)
                     out["lo"].append(x["lo"])
                     out["solo"].append(x["solo"])
                     out["salt"].append(x["salt"])
                     out["body"].append(bytes(view[x["lo"] : x["hi"] + window]))
-            kinds = {"fp": pa.int64(), "uid": pa.int64(), "lo": pa.int32(), "solo": pa.bool_(), "salt": pa.int32(), "body": pa.binary()}
+            kinds = {"fp": pa.int64(), "did": pa.int64(), "tid": pa.int64(), "lo": pa.int32(), "solo": pa.bool_(), "salt": pa.int32(), "body": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], list(out))
 
     return run
@@ -209,7 +217,7 @@ def _starts(bodies, window: int):
 
 
 def _spans(t: pa.Table, of: np.ndarray, starts: np.ndarray, offsets: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
-    """Runs of repeated windows of the contexts that stand for themselves: (uid, lo, hi) by window starts."""
+    """Runs of repeated windows of the contexts that stand for themselves: (did, tid, lo, hi) by window starts."""
     found = found & t.column("solo").to_numpy()[of]
     new = found.copy()
     new[1:] &= ~found[:-1] | (of[1:] != of[:-1])
@@ -217,7 +225,8 @@ def _spans(t: pa.Table, of: np.ndarray, starts: np.ndarray, offsets: np.ndarray,
     last[:-1] &= ~found[1:] | (of[1:] != of[:-1])
     i, j = np.flatnonzero(new), np.flatnonzero(last)
     base = t.column("lo").to_numpy()[of[i]]
-    return pa.RecordBatch.from_arrays([t.column("uid").combine_chunks().take(pa.array(of[i])), pa.array((base + starts[i] - offsets[of[i]]).astype(np.int32)), pa.array((base + starts[j] - offsets[of[i]]).astype(np.int32))], ["uid", "lo", "hi"])
+    ends = [pa.array((base + starts[x] - offsets[of[i]]).astype(np.int32)) for x in (i, j)]
+    return pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks().take(pa.array(of[i])) for c in ("did", "tid")), *ends], ["did", "tid", "lo", "hi"])
 
 
 def _blocks(window: int):
@@ -229,6 +238,19 @@ def _blocks(window: int):
     return run
 
 
+def _window_hashes(data: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """128-bit hashes of the windows, as two columns."""
+    return np.stack([Ranges(data, seed)(starts, starts + window) for seed in (0, 1)], axis=1)
+
+
+def _runs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of two columns, and which run of equals each of them is in, in that order."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    new = np.zeros(len(order), np.int64)
+    new[1:] = (pairs[order][1:] != pairs[order][:-1]).any(axis=1)
+    return order, np.cumsum(new)
+
+
 def _crowd_hashes(window: int, buckets: int):
     """Of a block of a crowd: its distinct window hashes, packed by bucket."""
 
@@ -237,8 +259,10 @@ def _crowd_hashes(window: int, buckets: int):
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 part = t.slice(a, b - a)
                 data, starts, _, _ = _starts(part.column("body"), window)
-                h = np.unique(Ranges(data)(starts, starts + window))
-                at = (h % U(buckets)).astype(np.int64)
+                h = _window_hashes(data, starts, window)
+                order, run_ = _runs(h)
+                h = h[order[np.append(True, run_[1:] != run_[:-1])]] if len(order) else h
+                at = (h[:, 0] % U(buckets)).astype(np.int64)
                 order = np.argsort(at, kind="stable")
                 edge = np.searchsorted(at[order], np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(edge))
@@ -252,10 +276,13 @@ def _crowd_common(batches):
     """Of a bucket: to each block those of its hashes that another block also has."""
     for t, cuts in whole_groups(batches, ["bucket"]):
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            each = [np.frombuffer(x.as_py(), U) for x in t.column("hashes").slice(a, b - a)]
-            values, n = np.unique(np.concatenate(each), return_counts=True)
-            common = values[n > 1]
-            back = [x[np.isin(x, common, assume_unique=True)].tobytes() for x in each]
+            each = [np.frombuffer(x.as_py(), U).reshape(-1, 2) for x in t.column("hashes").slice(a, b - a)]
+            every = np.concatenate(each)
+            order, run_ = _runs(every)
+            common = np.zeros(len(every), bool)
+            common[order] = np.bincount(run_)[run_] > 1
+            ends = np.cumsum([0, *map(len, each)])
+            back = [x[common[i:j]].tobytes() for x, i, j in zip(each, ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([t.column("block").slice(a, b - a).combine_chunks(), pa.array(back, pa.binary())], ["block", "hashes"])
 
 
@@ -264,27 +291,31 @@ def _crowd_spans(window: int):
         if not left.num_rows:
             return pa.Table.from_batches([_spans(left, *(np.zeros(0, np.int64),) * 3, np.zeros(0, bool))])
         data, starts, of, offsets = _starts(left.column("body"), window)
-        h = Ranges(data)(starts, starts + window)
-        common = np.frombuffer(b"".join(right.column("hashes").to_pylist()), U)
-        return pa.Table.from_batches([_spans(left, of, starts, offsets, repeated_windows(data, starts, window) | np.isin(h, common))])
+        common = np.frombuffer(b"".join(right.column("hashes").to_pylist()), U).reshape(-1, 2)
+        order, run_ = _runs(np.concatenate([_window_hashes(data, starts, window), common]))
+        elsewhere = np.zeros(run_[-1] + 1, bool)
+        elsewhere[run_[order >= len(starts)]] = True
+        found = np.zeros(len(order), bool)
+        found[order] = elsewhere[run_]
+        return pa.Table.from_batches([_spans(left, of, starts, offsets, repeated_windows(data, starts, window) | found[: len(starts)])])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs (uid, text) -> uid, lo, hi: all window starts lo..hi of a text begin repeated strings. Spans may touch."""
-    spot = scratch.save(docs.mapInArrow(_anchors(window, gram), "fp long, ctx long, uid long, lo int, hi int, a int"), "anchors")
-    kinds = scratch.save(spot.groupBy("fp", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo", "hi")).alias("one")), "kinds")
+    """docs (did, tid, text) -> did, tid, lo, hi: all window starts lo..hi of a text begin repeated strings. Spans may touch."""
+    spot = scratch.save(docs.mapInArrow(_anchors(window, gram), "fp long, ctx long, ctx2 long, did long, tid long, lo int, hi int, a int"), "anchors")
+    kinds = scratch.save(spot.groupBy("fp", "ctx", "ctx2").agg(F.count("*").alias("n"), F.min(F.struct("did", "tid", "lo", "hi")).alias("one")), "kinds")
     groups = scratch.save(kinds.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1"), "groups")
-    many = kinds.where("n > 1").select("fp", "ctx")
-    whole = scratch.save(spot.join(many, ["fp", "ctx"], "left_semi").select("uid", "lo", "hi"), "whole")
+    many = kinds.where("n > 1").select("fp", "ctx", "ctx2")
+    whole = scratch.save(spot.join(many, ["fp", "ctx", "ctx2"], "left_semi").select("did", "tid", "lo", "hi"), "whole")
     salt = F.pmod(F.col("ctx"), F.ceil(F.col("kinds") / CROWD)).cast("int")
-    wanted = kinds.join(groups, "fp").select("one.uid", F.struct("fp", "one.lo", "one.hi", (F.col("n") == 1).alias("solo"), F.when(F.col("kinds") > CROWD, salt).otherwise(-1).alias("salt")).alias("x"))
-    wanted = scratch.save(wanted.groupBy("uid").agg(F.collect_list("x").alias("wanted")), "wanted")
+    wanted = kinds.join(groups, "fp").select("one.did", "one.tid", F.struct("fp", "one.lo", "one.hi", (F.col("n") == 1).alias("solo"), F.when(F.col("kinds") > CROWD, salt).otherwise(-1).alias("salt")).alias("x"))
+    wanted = scratch.save(wanted.groupBy("did", "tid").agg(F.collect_list("x").alias("wanted")), "wanted")
     scratch.drop(spot, kinds, groups)
-    cut = docs.dropDuplicates(["uid"]).join(wanted, "uid").mapInArrow(_contexts(window), "fp long, uid long, lo int, solo boolean, body binary, salt int")
+    cut = docs.join(wanted, ["did", "tid"]).dropDuplicates(["did", "tid"]).mapInArrow(_contexts(window), "fp long, did long, tid long, lo int, solo boolean, body binary, salt int")
     cut = scratch.save(cut, "contexts")
-    spans = "uid long, lo int, hi int"
+    spans = "did long, tid long, lo int, hi int"
     small = cut.where("salt < 0").repartition("fp").sortWithinPartitions("fp").mapInArrow(_blocks(window), spans)
     crowd = cut.where("salt >= 0").withColumn("block", F.xxhash64("fp", "salt"))
     total = crowd.agg(F.sum(F.length("body") - window + 1)).first()[0]
@@ -314,10 +345,10 @@ def _cover(lists, window: int):
 
 def _with_spans(docs: DataFrame, window: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lpf")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(docs.select("uid", "text").where(F.octet_length("text") >= window), scratch, window)
-    spans = scratch.save(spans.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    return docs.join(spans, "uid", "left")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"did": F.coalesce("doc_id", F.lit(0)), "tid": F.xxhash64("text")})
+    spans = repeated_spans(docs.select("did", "tid", "text").where(F.octet_length("text") >= window), scratch, window)
+    spans = scratch.save(spans.groupBy("did", "tid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    return docs.join(spans, ["did", "tid"], "left")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -6,7 +6,8 @@
    shares most bands: one pair a document at most, whatever the bucket sizes.
 3. In buckets whose members are not yet in one component, the members outside the largest one are compared with all
    others, in blocks of about ``BLOCK`` by ``BLOCK``, on their sets of 32-bit shingle hashes; a block gives each member
-   its most similar partner of every other component within reach of the threshold. These are verified on full sets.
+   its most similar partner of every other component within reach of the threshold. These are verified on full sets of 128-bit
+   identities, two independent 64-bit hashes of the words.
    So every pair that shares a bucket is verified, inside one component, or compared in a block; no group is expanded
    into its pairs.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
-from .text import U, shingles, sized, utf8, whole_groups, word_hashes
+from .text import LOWER, Ranges, U, runs, sized, utf8, whole_groups, word_hashes
 
 BANDS, ROWS, BLOCK = 24, 6, 128
 HASHES = BANDS * ROWS
@@ -42,21 +43,44 @@ def signature(shingle_hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def identities(one: np.ndarray, two: np.ndarray, k: int) -> np.ndarray:
+    """The distinct runs of k words of one text as sorted rows of 128 bits; one, two: hashes of its words by two seeds."""
+    a, b = runs(one, k), runs(two, k)
+    order = np.argsort(a)
+    a, b = a[order], b[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # different runs of one 64-bit hash
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.stack([a[new], b[new]], axis=1)
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sets of identities()."""
+    if all(len(x) < 2 or (x[1:, 0] != x[:-1, 0]).all() for x in (a, b)):
+        _, i, j = np.intersect1d(a[:, 0], b[:, 0], assume_unique=True, return_indices=True)
+        return int((a[i, 1] == b[j, 1]).sum())
+    return len(set(map(tuple, a.tolist())) & set(map(tuple, b.tolist())))
+
+
 def _per_text(batches, words: int):
+    """Ids of a slice and the identities of each text's shingles."""
     for batch in sized(batches, "text"):
-        h, row, _, _ = word_hashes(*utf8(batch.column("text")))
+        data, offsets = utf8(batch.column("text"))
+        h, row, start, end = word_hashes(data, offsets)
+        g = Ranges(LOWER[data], 1)(start, end)
         cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        yield batch.column("doc_id"), [shingles(h[cut[i] : cut[i + 1]], words) for i in range(batch.num_rows)]
+        yield batch.column("doc_id"), [identities(h[i:j], g[i:j], words) for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _sketch(words: int):
     def run(batches):
         for ids, sets in _per_text(batches, words):
             n = np.array([len(s) for s in sets], np.int64)
-            with np.errstate(over="ignore"):
-                h1 = np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], U).view(np.int64)
-                h2 = np.array([(s * (s >> U(17) | U(1))).sum(dtype=U) if len(s) else 0 for s in sets], U).view(np.int64)
-            sig = [signature(s).tobytes() if len(s) else None for s in sets]
+            h1 = np.array([np.bitwise_xor.reduce(s[:, 0]) if len(s) else 0 for s in sets], U).view(np.int64)
+            h2 = np.array([s[:, 1].sum(dtype=U) if len(s) else 0 for s in sets], U).view(np.int64)
+            sig = [signature(s[:, 0]).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(h1), pa.array(h2), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sig"])
 
     return run
@@ -65,7 +89,20 @@ def _sketch(words: int):
 def _sets(words: int):
     def run(batches):
         for ids, sets in _per_text(batches, words):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
+
+    return run
+
+
+def _confirm(percent: int):
+    """Of pairs with their full sets, those that reach the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            sets = ([np.frombuffer(x.as_buffer(), U).reshape(-1, 2) for x in batch.column(c)] for c in ("sa", "sb"))
+            both = np.array([(common(x, y), len(x) + len(y)) for x, y in zip(*sets, strict=True)], np.int64).reshape(-1, 2)
+            linked = pa.array(100 * both[:, 0] >= percent * (both[:, 1] - both[:, 0]))
+            yield batch.select(["a", "b"]).filter(linked)
 
     return run
 
@@ -73,7 +110,7 @@ def _sets(words: int):
 def _small_sets(words: int):
     def run(batches):
         for ids, sets in _per_text(batches, words):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([np.unique((s >> U(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], ["id", "small"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([np.unique((s[:, 0] >> U(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], ["id", "small"])
 
     return run
 
@@ -93,11 +130,10 @@ def _bands(batches):
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     needed = scratch.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "needed")
-    sets = scratch.save(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets")
+    sets = scratch.save(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
     one = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    out = scratch.save(both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb") - common).alias("u")).where(f"100 * i >= {percent} * u").select("a", "b"), "links")
+    out = scratch.save(both.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "links")
     scratch.drop(needed, sets)
     return out
 

@@ -2,9 +2,12 @@
 
 1. Equal vectors of a label are one class; its least vec_id goes on with the class's size.
 2. Each of TREES trees splits the unit vectors of a label at the median of random projections; vectors within MARGIN
-   of a cut go to both sides. The first levels are fitted on a bounded sample (SAMPLE vectors of least hash) and only
-   deal rows into buckets of about BUCKET; in the bucket the tree goes on with true medians down to leaves of LEAF.
-   Every row is indexed. A cut that does not part a crowd of near copies ends there, and the crowd is compared in blocks.
+   of a cut go to both sides. Trees grow in rounds: every bucket that is counted at more than BUCKET vectors is cut on,
+   down to about BUCKET, by medians of at most SAMPLE of its own vectors, so buckets are of that size however large the
+   table or small the label. Buckets move between rounds as ids; a round reads the vectors of large buckets alone. In
+   the bucket the tree goes on with true medians down to leaves of LEAF. Every row is indexed. A crowd of near copies
+   that no cut parts stays one bucket: its vectors are first compared with one of them, and those that are not linked
+   with it, which are few or the crowd would have been cut, with all, in blocks.
 3. Within a leaf all cosines are taken in double precision; a leaf gives one row for each linked vector, its least
    partner by links in the leaf. The union over trees goes through connected components.
 4. Links exist inside components only, so exact link counts come from comparing each component with itself, in blocks
@@ -16,6 +19,8 @@ beyond the margin on both sides of a median, which happens to about 2 % of pairs
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,69 +64,146 @@ def leaves(x: np.ndarray, rows: np.ndarray, rng: np.random.Generator):
 
 
 def least_linked(x: np.ndarray, ids: np.ndarray, cosine: float) -> np.ndarray:
-    """For each row of a leaf, the least id that links within the leaf reach."""
-    low = ids.copy()
-    while True:
-        new = low.copy()
-        for i in range(0, len(x), 1024):
-            near = x[i : i + 1024] @ x.T >= cosine
-            new[i : i + 1024] = np.where(near, low[None, :], low[i : i + 1024, None]).min(axis=1)
-        if (new == low).all():
-            return low
-        low = new
-
-
-def _fit(sample: pa.Table, share: float) -> dict:
-    """(label, dim) -> for each tree a dict of node -> cut; a node is 1 at the root and has children 2n and 2n+1."""
-    out = {}
-    labels, dims = sample.column("label").to_numpy(), sample.column("dim").to_numpy()
-    for key in sorted(set(zip(labels.tolist(), dims.tolist(), strict=True))):
-        own = np.flatnonzero((labels == key[0]) & (dims == key[1]))
-        x = unit(sample.column("embedding").take(pa.array(own)))
-        trees = []
-        for t in range(TREES):
-            cuts, stack = {}, [(1, np.arange(len(x)))]
-            while stack:
-                node, rows = stack.pop()
-                if len(rows) < 64 or len(rows) / share <= BUCKET:
-                    continue
-                p = x[rows] @ direction(key[1], t, node.bit_length())
-                mid = float(np.median(p))
-                left, right = p <= mid + MARGIN, p >= mid - MARGIN
-                if max(left.sum(), right.sum()) <= 0.8 * len(rows):
-                    cuts[node] = mid
-                    stack += [(2 * node, rows[left]), (2 * node + 1, rows[right])]
-            trees.append(cuts)
-        if any(trees):
-            out[key] = trees
+    """For each row of a leaf, the least id that links within the leaf reach. Components are found one after another from
+    a row outwards, so a crowd around one row costs its size and not the square of it."""
+    low, left = ids.copy(), np.arange(len(x))
+    while len(left):
+        found, front, left = [left[:1]], left[:1], left[1:]
+        while len(front) and len(left):
+            near = np.zeros(len(left), bool)
+            for i in range(0, len(front), 1024):
+                near |= (x[front[i : i + 1024]] @ x[left].T >= cosine).any(axis=0)
+            front, left = left[near], left[~near]
+            found.append(front)
+        own = np.concatenate(found)
+        low[own] = ids[own].min()
+    return low
+
+
+def cuts_of(x: np.ndarray, tree: int, node: int, size: int) -> list[tuple[int, float]]:
+    """Cuts (node, projection) below a node of ``size`` vectors, of which x is a sample, down to BUCKET or to where the
+    sample is down to 64. Node n has children 2n and 2n + 1; the direction of a cut follows from tree and depth."""
+    out, stack = [], [(node, np.arange(len(x)))]
+    while stack:
+        node, rows = stack.pop()
+        if len(rows) < 64 or len(rows) * size <= BUCKET * len(x) or node >= 1 << 60:
+            continue
+        p = x[rows] @ direction(x.shape[1], tree, node.bit_length())
+        mid = float(np.median(p))
+        left, right = p <= mid + MARGIN, p >= mid - MARGIN
+        if max(left.sum(), right.sum()) <= 0.8 * len(rows):
+            out.append((node, mid))
+            stack += [(2 * node, rows[left]), (2 * node + 1, rows[right])]
     return out
 
 
-def _deal(shared):
+def _fit(key, table):
+    tree, node = key[0].as_py(), key[3].as_py()
+    cuts = cuts_of(unit(table.column("embedding")), tree, node, int(table.column("size")[0].as_py()))
+    names = {"tree": pa.int32(), "label": pa.int64(), "dim": pa.int32(), "node": pa.int64(), "at": pa.list_(pa.int64()), "mid": pa.list_(pa.float64())}
+    row = (tree, key[1].as_py(), key[2].as_py(), node, [n for n, _ in cuts], [m for _, m in cuts])
+    return pa.table({k: pa.array([v], t) for (k, t), v in zip(names.items(), row, strict=True)})
+
+
+def _descend(batches):
+    """Rows of a bucket with its cuts -> the buckets below in which each row is."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, node, dim = (batch.column(c).to_numpy() for c in ("tree", "node", "dim"))
+        rows, nodes = [], []
+        tag = batch.column("label").to_numpy()
+        key = np.stack([tree.astype(np.int64), tag, dim.astype(np.int64), node], axis=1)
+        _, first, of = np.unique(key, axis=0, return_index=True, return_inverse=True)
+        for i, f in enumerate(first.tolist()):
+            own = np.flatnonzero(of == i)
+            cuts = dict(zip(batch.column("at")[f].as_py(), batch.column("mid")[f].as_py(), strict=True))
+            x = unit(batch.column("embedding").take(pa.array(own)))
+            todo = [(int(node[f]), np.arange(len(own)))]
+            while todo:
+                n, at = todo.pop()
+                if n in cuts:
+                    p = x[at] @ direction(x.shape[1], int(tree[f]), n.bit_length())
+                    todo += [(2 * n, at[p <= cuts[n] + MARGIN]), (2 * n + 1, at[p >= cuts[n] - MARGIN])]
+                elif len(at):
+                    rows.append(own[at])
+                    nodes.append(np.full(len(at), n, np.int64))
+        yield batch.select(["id", "label", "dim", "tree"]).take(pa.array(np.concatenate(rows))).append_column("node", pa.array(np.concatenate(nodes)))
+
+
+BUCKET_KEY = ["tree", "label", "dim", "node"]
+
+
+def _forest(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, label, dim, tree, node) of buckets of bounded size, and of crowds that no cut parts."""
+    now = classes.select("id", "label", "dim", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), F.lit(1).cast("long").alias("node"))
+    done, crowds, tried = [], [], None
+    while True:
+        now = scratch.save(now, "nodes")
+        sizes = now.groupBy(*BUCKET_KEY).agg(F.count("*").alias("size"))
+        if tried is not None:  # a bucket that was cut has other nodes now; one that no cut parted is a crowd
+            sizes = sizes.join(tried, BUCKET_KEY, "left")
+        sizes = sizes.withColumn("crowd", F.lit(False) if tried is None else F.col("uncut").isNotNull())
+        large = scratch.save(sizes.where(F.col("size") > BUCKET).select(*BUCKET_KEY, "size", "crowd"), "large")
+        small = now.join(large, BUCKET_KEY, "left_anti")
+        done.append(small)
+        crowds.append(now.join(large.where("crowd"), BUCKET_KEY, "left_semi"))
+        large = large.where("NOT crowd").drop("crowd")
+        if large.limit(1).count() == 0:
+            break
+        inside = now.join(large, BUCKET_KEY).join(classes.select("id", "embedding"), "id")
+        share = F.pmod(F.xxhash64("id", "tree"), F.lit(1 << 30)) < F.lit(float(SAMPLE << 30)) / F.col("size")
+        cuts = scratch.save(inside.where(share).groupBy(*BUCKET_KEY).applyInArrow(_fit, "tree int, label long, dim int, node long, at array<long>, mid array<double>"), "cuts")
+        tried = cuts.where("size(at) = 0").select(*BUCKET_KEY, F.lit(True).alias("uncut"))
+        now = inside.join(cuts, BUCKET_KEY).select("id", "label", "dim", "tree", "node", "embedding", "at", "mid").mapInArrow(_descend, "id long, label long, dim int, tree int, node long")
+    join = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    return join(done), join(crowds)
+
+
+def _near_pivot(cosine: float):
     def run(batches):
-        forest = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            labels, dims = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
-            rows, trees, nodes = [], [], []
-            for key in set(zip(labels.tolist(), dims.tolist(), strict=True)):
-                own = np.flatnonzero((labels == key[0]) & (dims == key[1]))
-                cut = forest.get(key)
-                x = unit(batch.column("embedding").take(pa.array(own))) if cut else None
-                for t in range(TREES):
-                    todo = [(1, np.arange(len(own)))]
-                    while todo:
-                        node, at = todo.pop()
-                        if cut and node in cut[t]:
-                            p = x[at] @ direction(key[1], t, node.bit_length())
-                            todo += [(2 * node, at[p <= cut[t][node] + MARGIN]), (2 * node + 1, at[p >= cut[t][node] - MARGIN])]
-                        elif len(at):
-                            rows.append(own[at])
-                            trees.append(np.full(len(at), t, np.int32))
-                            nodes.append(np.full(len(at), node, np.int64))
-            out = batch.take(pa.array(np.concatenate(rows)))
-            yield out.append_column("tree", pa.array(np.concatenate(trees))).append_column("node", pa.array(np.concatenate(nodes)))
+            if batch.num_rows:
+                near = (unit(batch.column("embedding")) * unit(batch.column("pivot"))).sum(axis=1) >= cosine
+                yield batch.select(["id", "label", "dim", "tree", "node", "pivot_id"]).append_column("near", pa.array(near))
+
+    return run
+
+
+def _crowd_edges(crowds: DataFrame, classes: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
+    """Links that tie together what is linked in each crowd: with one of its vectors, and of those that are not linked
+    with that one, the least partner on every block of the crowd."""
+    whole = scratch.save(crowds.join(classes.select("id", "embedding"), "id"), "crowds")
+    pivots = whole.groupBy(*BUCKET_KEY).agg(F.min_by("embedding", "id").alias("pivot"), F.min("id").alias("pivot_id"), F.count("*").alias("size"))
+    told = scratch.save(whole.join(pivots, BUCKET_KEY).mapInArrow(_near_pivot(cosine), "id long, label long, dim int, tree int, node long, pivot_id long, near boolean"), "told")
+    ties = told.where("near AND id <> pivot_id").select(F.col("id").alias("u"), F.col("pivot_id").alias("v"))
+    rest = told.where("NOT near")
+    counts = rest.groupBy(*BUCKET_KEY).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("kl")).join(pivots.select(*BUCKET_KEY, F.ceil(F.col("size") / BLOCK).cast("int").alias("kr")), BUCKET_KEY)
+    counts = scratch.save(counts, "rest")
+    home = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
+    spread = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    cell = F.xxhash64(*BUCKET_KEY).alias("component")
+    left = whole.join(rest.select("id", *BUCKET_KEY), ["id", *BUCKET_KEY], "left_semi").join(counts, BUCKET_KEY).select(cell, "id", "embedding", F.lit(True).alias("left"), home("kl").alias("i"), spread("kr").alias("j"))
+    right = whole.join(counts, BUCKET_KEY).select(cell, "id", "embedding", F.lit(False).alias("left"), spread("kl").alias("i"), home("kr").alias("j"))
+    cells = left.unionByName(right).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return ties.unionByName(cells.mapInArrow(_block_ties(cosine), "u long, v long"))
+
+
+def _block_ties(cosine: float):
+    """Of a block, a link of each left vector to one right vector of every component of the right ones within reach."""
+
+    def run(batches):
+        for t, cuts in whole_groups(batches, ["component", "i", "j"]):
+            ids, left = t.column("id").to_numpy(), t.column("left").to_numpy()
+            u, v = [], []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                x = unit(t.column("embedding").slice(lo, hi - lo))
+                own = ids[lo:hi]
+                low = least_linked(x, own, cosine)
+                tied = low != own
+                u.append(own[tied])
+                v.append(low[tied])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
     return run
 
@@ -169,20 +251,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     0 links, a component of their own. Vectors of different lengths do not link. Rows that repeat a vec_id count as
     one vector. Extra columns are ignored; an empty table gives no rows.
     """
-    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "rptree")
+    scratch = Scratch(vectors.sparkSession, "rptree")
     everyone = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
     sound = F.size("embedding") > 0
     sound &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     usable = everyone.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & sound & F.col("vec_id").isNotNull())
     classes = scratch.save(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("n")).select("id", "n", "label", F.size("embedding").alias("dim"), "embedding"), "classes")
     member = scratch.save(usable.join(classes.select("label", "embedding", "id"), ["label", "embedding"]).select("vec_id", "id").distinct(), "member")
-    total = classes.count()
-    sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow() if total else None
-    shared = spark.sparkContext.broadcast(_fit(sample, sample.num_rows / total) if total else {})
-    rows = classes.select("id", "label", "dim", "embedding")
-    kind = f"{rows._jdf.schema().toDDL()}, tree int, node long"
-    dealt = rows.mapInArrow(_deal(shared), kind)
-    edges = dealt.groupBy("tree", "label", "dim", "node").applyInArrow(_compare(cosine), "u long, v long")
+    dealt, crowds = _forest(classes, scratch)
+    edges = dealt.join(classes.select("id", "embedding"), "id").groupBy(*BUCKET_KEY).applyInArrow(_compare(cosine), "u long, v long")
+    edges = edges.unionByName(_crowd_edges(crowds, classes, cosine, scratch))
     comps = scratch.save(connected_components(edges, scratch), "components")
     inside = scratch.save(classes.select("id", "n", "embedding").join(comps, "id"), "inside")
     blocks = scratch.save(inside.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")), "blocks")

@@ -184,11 +184,6 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out + U(n))
 
 
-def shingles(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the distinct runs of k words of one text."""
-    return np.unique(runs(h, k))
-
-
 def binaries(body: np.ndarray, bounds: np.ndarray) -> pa.BinaryArray:
     """The byte strings body[bounds[i] : bounds[i + 1]] as an Arrow column."""
     return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(body)])
