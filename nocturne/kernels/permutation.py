@@ -6,44 +6,91 @@ import math
 
 import numpy as np
 
+#: What a bound lies above its null value by, and how far the achieved error rate may be off unremarked.
+OFFSET, TOLERANCE = 1e-5, 0.01
+MASK = (1 << 64) - 1
 
-def permutation_test(a: np.ndarray, b: np.ndarray, alpha: float = 0.05, n: int = 10_000, seed: int = 0) -> dict[str, np.ndarray]:
-    """a, b: (bins, observations). diff: mean a - mean b per bin; bound: what |diff| must reach; significant.
 
-    Observations that are missing everywhere are left out. The null values of each bin are sorted downward, missing ones
-    last, and the bound moves down a rank at a time until at least ceil(alpha n) permutations reach it in some bin; then
-    it is the rank before. A bin with too few values in a group has no difference."""
-    a, b = (x[:, ~np.isnan(x).all(axis=0)] for x in (np.asarray(a, float), np.asarray(b, float)))
+class Xoshiro:
+    """The public xoshiro256++ generator, its state spread from one seed by SplitMix64 (Blackman and Vigna, 2019)."""
+
+    def __init__(self, seed: int):
+        self.s, z = [], seed & MASK
+        for _ in range(4):
+            z = (z + 0x9E3779B97F4A7C15) & MASK
+            x = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+            x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & MASK
+            self.s.append(x ^ (x >> 31))
+
+    def __next__(self) -> int:
+        a, b, c, d = self.s
+        turn = lambda x, k: ((x << k) | (x >> (64 - k))) & MASK
+        out = (turn((a + d) & MASK, 23) + a) & MASK
+        c, d = c ^ a, d ^ b
+        self.s = [a ^ d, b ^ c, c ^ ((b << 17) & MASK), turn(d, 45)]
+        return out
+
+    def below(self, n: int) -> int:
+        """Even over 0 .. n - 1: draws of the last, unfull stretch are thrown away."""
+        while (v := next(self)) >= MASK - MASK % n:
+            pass
+        return v % n
+
+    def shuffle(self, items: list) -> None:
+        for i in range(len(items) - 1, 0, -1):
+            j = self.below(i + 1)
+            items[i], items[j] = items[j], items[i]
+
+
+def permutation_test(a: np.ndarray, b: np.ndarray, alpha: float = 0.05, n: int = 10_000, seed: int = 0) -> dict:
+    """a, b: (bins, observations). diff: mean a - mean b per bin; bound: what |diff| must reach; significant; reached:
+    how many permutations reach the bound in some bin; warning: a text, or None.
+
+    Observations that are missing everywhere are left out; a group without any is an error. The null values of each bin
+    are sorted downward, missing ones first, and the bound, OFFSET above the value, moves down a rank at a time to the
+    first at which ceil(alpha n) permutations reach it in some bin. If that is all of them there is no bound (0) and a
+    warning. A bin with too few values in a group has no difference and is not significant."""
+    if not 0 < alpha <= 1:
+        raise ValueError(f"alpha must be above 0 and at most 1, not {alpha}")
+    if n < 1:
+        raise ValueError("at least one permutation is needed")
+    a, b = (np.where(np.isfinite(x), x, np.nan) for x in (np.asarray(a, float), np.asarray(b, float)))
+    if not len(a) or len(a) != len(b):
+        raise ValueError("both groups need the same bins, at least one")
+    a, b = (x[:, ~np.isnan(x).all(axis=0)] for x in (a, b))
+    if not a.shape[1] or not b.shape[1]:
+        raise ValueError("both groups need at least one observation")
     x = np.concatenate([a, b], axis=1)
-    first = np.arange(x.shape[1]) < a.shape[1]
     there, value = ~np.isnan(x), np.nan_to_num(x)
 
-    def difference(sides: np.ndarray) -> np.ndarray:
+    def difference(first: np.ndarray) -> np.ndarray:
         """(permutations, bins) for rows of group membership."""
-        s = sides.astype(float)
+        s = first.astype(float)
         with np.errstate(invalid="ignore", divide="ignore"):
-            one = (s @ value.T) / (s @ there.T)
-            two = ((1 - s) @ value.T) / ((1 - s) @ there.T)
-        return one - two
-
-    diff = difference(first[None, :])[0]
-    rng = np.random.default_rng(seed)
-    null = np.concatenate([np.abs(difference(np.stack([rng.permutation(first) for _ in range(min(500, n - i))]))) for i in range(0, n, 500)])
-    order = -np.sort(-np.where(np.isnan(null), -np.inf, null), axis=0)
-    need = math.ceil(alpha * n)
-    # a permutation reaches rank k in some bin if its best rank over the bins is at most k
-    best = np.sort(_best_ranks(null).min(axis=1))
-    k = int(best[need - 1]) if need <= n else n - 1
-    bound = order[min(max(k, 0), n - 1)] + 1e-5
-    return {"diff": diff, "bound": np.where(np.isfinite(bound), bound, np.nan), "significant": np.abs(diff) >= bound}
-
-
-def _best_ranks(null: np.ndarray) -> np.ndarray:
-    """Place of each value in its bin's downward order, equals sharing the first place; missing ones last."""
-    n = len(null)
-    out = np.empty(null.shape, np.int64)
-    for j in range(null.shape[1]):
-        v = -np.where(np.isnan(null[:, j]), -np.inf, null[:, j])
-        out[:, j] = np.searchsorted(np.sort(v), v, "left")
-        out[np.isnan(null[:, j]), j] = n
-    return out
+            return (s @ value.T) / (s @ there.T) - ((1 - s) @ value.T) / ((1 - s) @ there.T)
+
+    diff = difference((np.arange(x.shape[1]) < a.shape[1])[None, :])[0]
+    draw, order, null = Xoshiro(seed), list(range(x.shape[1])), []
+    for lo in range(0, n, 500):
+        rows = np.zeros((min(500, n - lo), x.shape[1]), bool)
+        for row in rows:
+            draw.shuffle(order)
+            row[order[: a.shape[1]]] = True
+        null.append(np.abs(difference(rows)))
+    null = np.concatenate(null)
+    need, bound, reached, warning = math.ceil(alpha * n), np.zeros(len(diff)), 0, None
+    if need >= n:
+        warning = "the bound would take in all permutations: more permutations or a smaller alpha are needed"
+    else:
+        down = np.sort(null, axis=0)[::-1]  # missing ones first
+        many = lambda k: int((null >= down[k] + OFFSET).any(axis=1).sum())
+        lo, hi = 0, n - 1
+        while lo < hi:  # the number grows with the rank
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if many(mid) >= need else (mid + 1, hi)
+        bound, reached = down[lo] + OFFSET, many(lo)
+        if abs(alpha - reached / n) > TOLERANCE:
+            warning = f"achieved alpha {reached / n:.4f} differs from {alpha:.4f}"
+    with np.errstate(invalid="ignore"):
+        significant = np.isfinite(diff) & (np.abs(diff) >= bound)
+    return {"diff": diff, "bound": bound, "significant": significant, "reached": reached, "warning": warning}

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finite, pow2db
+from .quantile import _on
 
 
 def outlier_noise(df: DataFrame, by: list[str], value: str, bad: str, name: str, sigmas: float = 10.0) -> DataFrame:
     """name: value at or beyond mean +- sigmas * standard deviation of the key's good samples."""
     good = finite(F.when(~F.col(bad), F.col(value)))
-    w = Window.partitionBy(*by)
-    df = df.withColumn("_m", F.avg(good).over(w)).withColumn("_s", F.stddev_samp(good).over(w))
+    df = _on(df, df.groupBy(*by).agg(F.avg(good).alias("_m"), F.stddev_samp(good).alias("_s")), by)
     x = finite(F.col(value))
     out = (x <= F.col("_m") - sigmas * F.col("_s")) | (x >= F.col("_m") + sigmas * F.col("_s"))
     return df.withColumn(name, F.coalesce(out, F.lit(False))).drop("_m", "_s")
@@ -94,7 +94,8 @@ def renumber(df: DataFrame, by: list[str], old: str, name: str) -> DataFrame:
 def trim_level(px: DataFrame, by: list[str], value: str, keep: float) -> DataFrame:
     """(by, level): the value at which the ascending running volume above the region's minimum first exceeds
     (1 - keep) of all; constant regions have no level."""
-    w = Window.partitionBy(*by)
-    px = px.withColumn("_v", F.col(value) - F.min(value).over(w)).withColumn("_all", F.sum("_v").over(w))
-    run = F.sum("_v").over(w.orderBy("_v").rangeBetween(Window.unboundedPreceding, 0))
-    return px.withColumn("_run", run).where((F.col("_all") > 0) & (F.col("_run") > (1 - keep) * F.col("_all"))).groupBy(*by).agg(F.min(value).alias("level"))
+    px = _on(px, px.groupBy(*by).agg(F.min(value).alias("_least")), by).withColumn("_v", F.col(value) - F.col("_least"))
+    each = px.groupBy(*by, value, "_v").agg(F.sum("_v").alias("_part"))
+    each = _on(each, px.groupBy(*by).agg(F.sum("_v").alias("_all")), by)
+    run = F.sum("_part").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    return each.withColumn("_run", run).where((F.col("_all") > 0) & (F.col("_run") > (1 - keep) * F.col("_all"))).groupBy(*by).agg(F.min(value).alias("level"))

@@ -1,14 +1,15 @@
-"""Slow-oscillation power: band power in decibels, outliers removed, normalised."""
+"""Slow-oscillation power: band power in decibels, outliers removed, normalised. Means, spreads and percentiles are
+aggregates with partial sums, joined back as tables of one row a key; no key is gathered."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import finite, pow2db
-from .quantile import hazen
+from .quantile import _on, hazen
 
 
 def parse_method(text: str) -> tuple[str, float, tuple[int, ...]]:
@@ -30,10 +31,9 @@ def so_power(series: DataFrame, by: list[str], power: str, stage: str, method: s
     """series with so_power: decibels of power, NULL where |z| >= outlier_z (one pass), then less a percentile of the
     given stages (shift), or scaled from the 1st to the 99th percentile to 0..1 (percent), or as it is."""
     kind, q, stages = parse_method(method)
-    w = Window.partitionBy(*by)
     df = series.withColumn("_db", finite(pow2db(F.col(power))))
-    z = (F.col("_db") - F.avg("_db").over(w)) / F.stddev_samp("_db").over(w)
-    df = df.withColumn("_z", z).withColumn("so_power", F.when(F.abs("_z") >= outlier_z, None).otherwise(F.col("_db"))).drop("_db", "_z")
+    spread = df.groupBy(*by).agg(F.avg("_db").alias("_m"), F.stddev_samp("_db").alias("_s"))
+    df = _on(df, spread, by, "left").withColumn("so_power", F.when(F.abs((F.col("_db") - F.col("_m")) / F.col("_s")) >= outlier_z, None).otherwise(F.col("_db"))).drop("_db", "_m", "_s")
     if kind == "none":
         return df
     if kind == "shift":
