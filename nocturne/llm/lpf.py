@@ -30,7 +30,7 @@ from .scratch import Scratch
 from .text import Ranges, U, sized, utf8, whole_groups
 
 WINDOW, GRAM, CROWD = 400, 64, 2_000
-BLOCK_BYTES, HASHES_A_TASK = 1 << 20, 1_000_000
+BLOCK_BYTES, HASHES_A_TASK, ANCHOR_BYTES = 1 << 20, 1_000_000, 1 << 19
 
 
 # --- suffix order and LPF of one block --------------------------------------------------------------------------------
@@ -38,7 +38,7 @@ BLOCK_BYTES, HASHES_A_TASK = 1 << 20, 1_000_000
 
 def dense(keys: np.ndarray) -> np.ndarray:
     """Rank of each key among the distinct keys."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     new = np.ones(len(keys), np.int64)
     new[:1] = 0
     sorted_keys = keys[order]
@@ -90,7 +90,7 @@ def previous_factors(rank: np.ndarray) -> np.ndarray:
     In suffix order, ties by position, the longest match of a window that starts earlier is with its previous or next
     smaller position (Crochemore and Ilie, 2008); it is whole, so the longest previous factor reaches the depth of the
     ranks, exactly if the ranks are equal. Next smaller positions come after all ties, so they never have equal rank."""
-    sa = np.argsort(rank, kind="stable")
+    sa = np.argsort(rank * len(rank) + np.arange(len(rank)))
     before = previous_smaller(sa)
     at = np.flatnonzero(before >= 0)
     at = at[rank[sa[at]] == rank[sa[before[at]]]]
@@ -179,7 +179,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
 
 def _anchors(window: int, gram: int):
     def run(batches):
-        for batch in sized(batches, "text"):
+        for batch in sized(batches, "text", ANCHOR_BYTES):
             row, lo, hi, a, *hashes = anchors(*utf8(batch.column("text")), window, gram)
             own = [batch.column(c).take(pa.array(row)) for c in ("did", "tid")]
             yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in hashes), *own, *(pa.array(x.astype(np.int32)) for x in (lo, hi, a))], ["fp", "ctx", "ctx2", "did", "tid", "lo", "hi", "a"])
