@@ -99,8 +99,8 @@ class Memo:
         order = np.argsort(self.known)
         self.known, self.where = self.known[order], self.where[order]
 
-    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids in a row, and how many for each, of the strings back of the distinct strings data[start:end]; h: hashes."""
+    def find(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Numbers of the distinct strings data[start:end] with hashes h, -1 for those that are not held."""
         out = np.full(len(h), -1)
         if len(self.known):
             slot = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
@@ -110,6 +110,12 @@ class Memo:
         equal = size == self.body_ends[out[met] + 1] - begin
         equal &= same_bytes(data, start[met], self.body, begin, np.where(equal, size, 0))
         out[met[~equal]] = -1
+        return out
+
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, back: np.ndarray, found: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in a row, and how many for each, of the strings back of the distinct strings data[start:end]; h: hashes;
+        found: what find() gives, where the caller has it."""
+        out = self.find(data, start, end, h) if found is None else found.copy()
         new = np.flatnonzero(out < 0)
         ids, ends = self.ids, self.ends
         if len(new):

@@ -255,6 +255,14 @@ def group_classes(pairs: np.ndarray) -> np.ndarray:
 # --- texts ------------------------------------------------------------------------------------------------------------
 
 
+def word_keys(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.BinaryArray:
+    """The bytes of words; of those over LONG bytes, a zero and their SHA-256."""
+    if (end - start > LONG).any():
+        each = [low[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        return pa.array([x if len(x) <= LONG else b"\0" + hashlib.sha256(x).digest() for x in each], pa.binary())
+    return binaries(*gathered(low, start, end))
+
+
 class Slice:
     """The words of a slice of texts: lower-cased bytes; row of every word; distinct words and which each word is."""
 
@@ -267,16 +275,11 @@ class Slice:
         self.start, self.end, self.hash = start[sample], end[sample], h[sample]
 
     def keys(self, chosen: np.ndarray) -> pa.BinaryArray:
-        """The bytes of distinct words; of those over LONG bytes, a zero and their SHA-256."""
-        start, end = self.start[chosen], self.end[chosen]
-        if (end - start > LONG).any():
-            each = [self.low[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-            return pa.array([x if len(x) <= LONG else b"\0" + hashlib.sha256(x).digest() for x in each], pa.binary())
-        return binaries(*gathered(self.low, start, end))
-
-    def streams(self, paths) -> tuple[np.ndarray, np.ndarray]:
+        return word_keys(self.low, self.start[chosen], self.end[chosen])
+
+    def streams(self, paths, found: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, an end after each, and how many ids each text has."""
-        ids, each = speller(*paths).encode(self.low, self.start, self.end, self.hash, self.back)
+        ids, each = speller(*paths).encode(self.low, self.start, self.end, self.hash, self.back, found)
         size = np.bincount(self.row, each, self.texts).astype(np.int64)
         return np.insert(ids, np.cumsum(size), END), size + 1
 
@@ -325,11 +328,13 @@ def _first_pass(paths):
     a * IDS + b, the first of a text after an end, and of bytes."""
 
     def run(batches):
-        keys, counts, bytes_ = [], [], 0
+        keys, counts, bytes_, memo = [], [], 0, speller(*paths)
+        held = np.zeros(0, np.int64)  # counts of the words that the worker knows by number
         for batch in sized(batches, "text"):
             column, learn = batch.column("text"), batch.column("learn").to_numpy(zero_copy_only=False)
             part = Slice(column)
-            ids, size = part.streams(paths)
+            found = memo.find(part.low, part.start, part.end, part.hash)
+            ids, size = part.streams(paths, found)
             bounds = np.concatenate([[0], np.cumsum(size)])
             given = {c: batch.column(c) for c in ("doc_id", "learn", "hash")}
             yield _rows(DOCUMENT, len(learn), text=column.cast(pa.string()), ids=binaries(ids.astype("<u2").view(np.uint8), 2 * bounds), **given)
@@ -337,21 +342,25 @@ def _first_pass(paths):
                 continue
             bytes_ += int(np.diff(utf8(column)[1])[learn].sum())
             n = np.bincount(part.back[learn[part.row]], minlength=len(part.start))
-            seen = np.flatnonzero(n)
-            yield _rows(WORDS, len(seen), word=part.keys(seen), n=pa.array(n[seen]))
+            held = np.concatenate([held, np.zeros(max(0, len(memo.ends) - 1 - len(held)), np.int64)])
+            held[found[found >= 0]] += n[found >= 0]
+            new = np.flatnonzero((n > 0) & (found < 0))
+            yield _rows(WORDS, len(new), word=part.keys(new), n=pa.array(n[new]))
             pair = np.concatenate([[END], ids[:-1]]).astype(np.int64) * IDS + ids
             k, n = np.unique(pair if learn.all() else pair[np.repeat(learn, size)], return_counts=True)
             keys.append(k)
             counts.append(n)
-            if sum(map(len, keys)) > 2_000_000:
+            if sum(map(len, keys)) > 3_000_000:
                 k, n = _tally(np.concatenate(keys), np.concatenate(counts))
                 keys, counts = [k], [n]
-                if len(k) > 1_000_000:
+                if len(k) > 1_500_000:
                     yield _rows(PAIRS, len(k), key=pa.array(k), n=pa.array(n))
                     keys, counts = [], []
         if keys:
             k, n = _tally(np.concatenate(keys), np.concatenate(counts))
             yield _rows(PAIRS, len(k), key=pa.array(k), n=pa.array(n))
+        seen = np.flatnonzero(held)
+        yield _rows(WORDS, len(seen), word=word_keys(memo.body, memo.body_ends[seen], memo.body_ends[seen + 1]), n=pa.array(held[seen]))
         yield _rows(BYTES, 1, n=pa.array([bytes_]))
 
     return run
