@@ -89,9 +89,9 @@ def search(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.nda
             # each query goes first where its own bound is greater
             a, b = node.children
             left = bound(a, q) >= bound(b, q)
-            for near, far, own in ((a, b, q[left]), (b, a, q[~left])):
-                if len(own):
-                    stack += [(far, own), (near, own)]
+            for near, far, some in ((a, b, q[left]), (b, a, q[~left])):
+                if len(some):
+                    stack += [(far, some), (near, some)]
         else:
             scores = queries[q] @ points[node.lo : node.hi].T
             scores[own[q][:, None] == ids[None, node.lo : node.hi]] = -np.inf

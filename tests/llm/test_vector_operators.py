@@ -110,7 +110,8 @@ def test_crowds_are_compared_in_blocks(spark):
 
     rng = np.random.default_rng(6)
     center = rng.standard_normal(16)
-    x = center + rng.standard_normal((700, 16)) * 0.16
+    far = rng.standard_normal((50, 16)) * 2
+    x = np.concatenate([center + rng.standard_normal((600, 16)) * 0.16, far, far + rng.standard_normal((50, 16)) * 0.1])
     df = spark.createDataFrame([(i, v.tolist(), 1, 16) for i, v in enumerate(x)], "id long, embedding array<double>, label long, dim int")
     crowd = df.select("id", "label", "dim", F.lit(0).alias("tree"), F.lit(1).cast("long").alias("node"))
     scratch = Scratch(spark, "t")
