@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finite, pow2db
@@ -79,6 +79,11 @@ def regions(px: DataFrame, by: list[str], t: str, f: str, value: str, dt: float,
     )
 
 
+def in_stages(stage: str, wanted) -> Column:
+    """Is the stage one of those? A missing stage is none."""
+    return F.coalesce(F.col(stage).isin(*wanted), F.lit(False))
+
+
 def filter_peaks(peaks: DataFrame, duration=(0.0, float("inf")), bandwidth=(0.0, float("inf")), frequency=(0.0, float("inf")), least_db: float = float("-inf")) -> DataFrame:
     """Peaks strictly inside all ranges whose height is above 0 and above least_db decibels."""
     inside = lambda c, r: (F.col(c) > r[0]) & (F.col(c) < r[1])

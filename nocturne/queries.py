@@ -349,12 +349,6 @@ QUERIES["fdr_independent"], SQL["fdr_independent"] = _fdr(False), FDR.format("1.
 QUERIES["fdr_dependent"], SQL["fdr_dependent"] = _fdr(True), FDR.format("(SELECT sum(1.0::DOUBLE / k) FROM k)")
 
 
-@query()
-def ranksum_p(spark, sf):
-    z = stats.rank_sums(cells(spark, sf), ["bin"], "grp", "v")
-    return z.select("bin", stats.two_sided_p("z").alias("p"))
-
-
 # --- the flagship -----------------------------------------------------------------------------------------------------
 
 RATE_C, RATE_F = bins.Bins(0.0, 1.0, 2.0, 41), bins.Bins(5.0, 5.0, 10.0, 6)
@@ -402,3 +396,6 @@ def band_envelope(spark, sf):
         return table.append_column("amplitude", pa.array(np.abs(z))).append_column("phase", pa.array(np.angle(z)))
 
     return samples(spark, sf).select("user_id", "t", "v").groupBy("user_id").applyInArrow(run, "user_id long, t double, v double, amplitude double, phase double")
+
+
+from . import queries_groups  # noqa: E402, F401
