@@ -7,6 +7,7 @@ Images are flattened column by column, because ties are decided by the order in
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
@@ -107,32 +108,33 @@ def basins(x: np.ndarray) -> np.ndarray:
 
 
 class Region:
-    """Pixels of one basin: its inside, its border on the lines around it, and all it has taken in."""
+    """Pixels of one basin: its inside, the pixels of other labels around it, both and what they were at every merge,
+    and the labels of the regions near it."""
 
-    __slots__ = ("inside", "border", "near")
+    __slots__ = ("inside", "border", "every", "near")
 
     def __init__(self, inside: set[int], border: set[int]):
-        self.inside, self.border, self.near = inside, border, set()
+        self.inside, self.border, self.every, self.near = inside, border, inside | border, set()
+
+    def take(self, other: Region) -> None:
+        """What both borders hold is on no border any more, and inside neither."""
+        self.inside |= other.inside
+        self.border ^= other.border
+        self.every |= other.every
 
 
 def graph(label: np.ndarray) -> dict[int, Region]:
-    """Regions by label. A border pixel has a neighbour of another label; regions are neighbours if they lie within a
-    5 by 5 square of each other's pixels."""
+    """Regions by label. A border pixel touches the region, also across a corner; regions are near each other if they
+    lie within a 5 by 5 square of each other's pixels."""
     r, c = label.shape
-    flat = label.ravel(order="F")
     regions = {}
     place = np.arange(label.size).reshape((c, r)).T
-    edge = np.zeros(label.shape, bool)
-    for di, dj in EIGHT:
-        inside = _shifted(np.ones(label.shape, bool), di, dj, False)
-        edge |= inside & (_shifted(label, di, dj, 0) != label)
-    lines = label == 0
-    for k in np.unique(flat[flat > 0]).tolist():
+    for k in np.unique(label[label > 0]).tolist():
         own = label == k
         touch = np.zeros(label.shape, bool)
         for di, dj in EIGHT:
             touch |= _shifted(own, di, dj, False)
-        regions[k] = Region(set(place[own].tolist()), set(place[touch & lines].tolist()) | set())
+        regions[k] = Region(set(place[own].tolist()), set(place[touch & ~own].tolist()))
     for di in range(-2, 3):
         for dj in range(-2, 3):
             other = _shifted(label, di, dj, 0)
@@ -143,75 +145,101 @@ def graph(label: np.ndarray) -> dict[int, Region]:
     return regions
 
 
-def merge(label: np.ndarray, height: np.ndarray, threshold: float = 8.0) -> np.ndarray:
-    """Labels after merging neighbours while the best edge weighs more than the threshold.
+def weight(a: Region, b: Region, value: np.ndarray) -> float | None:
+    """Twice the highest pixel that both borders hold, less what the regions rise above their own borders:
+    2 max(shared) + max(-min(border a) - max(b), -min(border b) - max(a)); none without such a pixel."""
+    shared = a.border & b.border
+    if not shared:
+        return None
+    low = lambda x: np.nanmin(value[list(x.border)])
+    top = lambda x: np.nanmax(value[list(x.inside | x.border)])
+    return float(2 * np.nanmax(value[list(shared)]) + max(-low(a) - top(b), -low(b) - top(a)))
 
-    An edge's weight is twice the highest shared line pixel less what the two regions rise above their own borders:
-    2 max(shared) + max(-min(border a) - max(b), -min(border b) - max(a)). The heavier edge goes first, of equals the
-    earlier; a region whose only neighbour is the survivor is taken in. A threshold of NaN is the 95th percentile of the
-    first weights."""
-    value = height.ravel(order="F")
-    regions = graph(label)
 
-    def top(k):
-        return max(value[list(regions[k].inside | regions[k].border)])
+def merged(label: np.ndarray, height: np.ndarray, threshold: float = 8.0, most: float = math.inf, absorb: bool = True) -> dict[int, Region]:
+    """Regions by label after merging along edges, the heaviest first, of equals the first of the table.
 
-    def weight(a, b):
-        shared = regions[a].border & regions[b].border
-        if not shared:
-            return None
-        low = lambda k: min(value[list(regions[k].border)])
-        return 2 * max(value[list(shared)]) + max(-low(a) - top(b), -low(b) - top(a))
+    absorb: peaks of spectrograms. Edges above the threshold merge, the second region of the edge's row into the first;
+    rows of a survivor move to the end of the table, and of two rows that come to name the same pair the earlier keeps
+    its direction. Former neighbours whose only neighbour is now the survivor are taken in. Otherwise, modes of
+    histograms: edges at the threshold merge too, the higher label into the lower, rows stay in place and nothing else
+    is taken in. A threshold of NaN is the 95th percentile of the first weights; most: merges at most."""
+    value, regions = height.ravel(order="F"), graph(label)
+    rows: dict[tuple[int, int], tuple[float, int, tuple[int, int]]] = {}  # weight, place in the table, direction
+    heap: list = []
+    pair = lambda a, b: (min(a, b), max(a, b))
 
-    heap, live, order = [], {}, 0
-
-    def push(a, b):
-        nonlocal order
-        w = weight(a, b)
-        key = (min(a, b), max(a, b))
-        if w is None or w != w:
-            live.pop(key, None)
-            return
-        order += 1
-        live[key] = order
-        heapq.heappush(heap, (-w, order, key))
+    def put(key, w, place, way):
+        rows[key] = (w, place, way)
+        heapq.heappush(heap, (-w, place, key))
 
+    places = 0
     for a in sorted(regions):
         for b in sorted(regions[a].near):
-            if a < b:
-                push(a, b)
+            if a < b and (w := weight(regions[a], regions[b], value)) is not None:
+                put((a, b), w, places, (a, b))
+                places += 1
     if threshold != threshold:
-        w = np.sort([-x[0] for x in heap])
+        w = np.sort([x[0] for x in rows.values()])
         h = min(max(0.95 * len(w) + 0.5, 1), len(w)) if len(w) else 1
         threshold = float(w[int(h) - 1] + (h % 1) * (w[min(int(h), len(w) - 1)] - w[int(h) - 1])) if len(w) else 0.0
-    while heap:
-        w, stamp, (a, b) = heapq.heappop(heap)
-        if live.get((a, b)) != stamp:
+    old_place = {}
+    merges = 0
+    while heap and merges < most:
+        w, place, key = heapq.heappop(heap)
+        if rows.get(key, (None, None))[:2] != (-w, place):
             continue
-        if -w <= threshold:
+        if -w < threshold or absorb and -w == threshold:
             break
-        taken = [b]
-        while taken:
-            k = taken.pop()
-            gone = regions.pop(k)
-            keep = regions[a]
-            shared = keep.border & gone.border
-            keep.inside |= gone.inside | shared
-            keep.border = (keep.border ^ gone.border) - keep.inside
-            for n in gone.near:
-                live.pop((min(k, n), max(k, n)), None)
-                if n != a and n in regions:
-                    regions[n].near.discard(k)
-                    regions[n].near.add(a)
-                    keep.near.add(n)
-            keep.near.discard(k)
-            taken += [n for n in sorted(gone.near) if n in regions and n != a and regions[n].near == {a}]
-        regions[a].near = {n for n in regions[a].near if n in regions}
-        for n in sorted(regions[a].near):
-            push(a, n)
+        keep, gone = rows[key][2] if absorb else key
+        lost = regions.pop(gone)
+        moved = {}
+        for n in lost.near:
+            row = rows.pop(pair(gone, n), None)
+            if row and n != keep:
+                moved[n] = (row[1], tuple(keep if x == gone else x for x in row[2]))
+        whole = regions[keep]
+        whole.take(lost)
+        whole.near = (whole.near | lost.near) - {keep, gone}
+        for n in lost.near - {keep}:
+            if n in regions:
+                regions[n].near.discard(gone)
+                regions[n].near.add(keep)
+        for n in sorted(lost.near - {keep}) if absorb else ():
+            if n in regions and regions[n].near == {keep}:
+                whole.take(regions.pop(n))
+                whole.near.discard(n)
+                rows.pop(pair(keep, n), None)
+        for n in sorted(whole.near & regions.keys()):
+            at = pair(keep, n)
+            w = weight(whole, regions[n], value)
+            before = rows.pop(at, None)
+            if w is None:
+                whole.near.discard(n)
+                regions[n].near.discard(keep)
+                continue
+            known = [x for x in (before and before[1:], moved.get(n)) if x]
+            way = min(known)[1] if known else at
+            if before and not absorb:
+                place = before[1]
+            elif not absorb and at in old_place:
+                place = old_place[at]
+            else:
+                place, places = places, places + 1
+            old_place[at] = place
+            put(at, w, place, way)
+        whole.near &= regions.keys()
+        merges += 1
+    return regions
+
+
+def merge(label: np.ndarray, height: np.ndarray, threshold: float = 8.0, most: float = math.inf, view: str = "inside") -> np.ndarray:
+    """Label image after merged(). view: "inside", without borders; "border", insides and borders, later labels over
+    earlier ones; "every", by the rules of modes, all pixels that a region has held, later labels over earlier ones."""
     out = np.zeros(label.size, np.int64)
-    for k, region in regions.items():
-        out[list(region.inside)] = k
+    for k, region in sorted(merged(label, height, threshold, most, view != "every").items()):
+        pixels = {"inside": region.inside, "border": region.inside | region.border, "every": region.every}[view]
+        out[list(pixels)] = k
     return out.reshape(label.shape, order="F")
 
 

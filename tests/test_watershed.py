@@ -93,3 +93,68 @@ def test_so_phase():
     phase = regions.so_phase(np.cos(2 * np.pi * 0.8 * t), filters.cheby1_sos(4, 0.2, (0.3, 1.5), 100.0, "bandpass"))
     middle = phase[15_000:-15_000]  # away from the ends, where each section reflects anew
     assert abs(np.diff(middle).mean() - 2 * np.pi * 0.008) < 1e-4
+
+
+def ring(columns=13):
+    """Two halves of a ring, 1 and 2, around 3; 4 borders the ring, 5 borders 4 alone."""
+    rows = ["1110222044055", "1100022044055", "1003002044055", "1100022044055", "1110222044055"]
+    label = np.array([[int(x) for x in r] for r in rows])
+    value = np.where(label > 0, 10.0, 0.5)
+    value[:, 7] = value[:, 10] = 0.2
+    value[[0, 4], 3] = 9.0
+    value[2, 3] = 1.0
+    return label[:, :columns], value[:, :columns]
+
+
+def test_a_merge_takes_in_what_has_no_other_neighbour():
+    label, value = ring()
+    one = ws.merged(label, value, 0.0, 1)
+    assert sorted(one) == [1, 4, 5] and 2 + 3 * 5 in one[1].inside
+    assert sorted(ws.merged(*ring(10), 0.0, 1)) == [1]  # at the edge, 4 has no other neighbour either
+    assert sorted(ws.merged(label, value, 0.0, 1, absorb=False)) == [1, 3, 4, 5]
+
+
+def test_an_edge_at_the_threshold():
+    label = np.array([[1, 1, 0, 2, 2]] * 2)
+    value = np.array([[10.0, 10, 5, 10, 10]] * 2)
+    assert len(ws.merged(label, value, -5.0)) == 2
+    assert len(ws.merged(label, value, -5.0, absorb=False)) == 1
+    assert ws.merge(label, value, 100.0, view="border").tolist() == [[1, 1, 2, 2, 2]] * 2
+    assert ws.merge(label, value, -6.0, view="every").tolist() == [[1, 1, 1, 1, 1]] * 2
+    assert ws.merge(label, value, -6.0).tolist() == [[1, 1, 0, 1, 1]] * 2
+
+
+def test_regions_of_a_segment():
+    from nocturne.operators.peaks import regions_of, wide_enough
+
+    image = hill((20, 60), (10, 12, 4, 10.0), (10, 45, 4, 10.0))
+    label = regions_of(image)
+    assert set(np.unique(label)) == {0, 1, 2} and label[10, 12] != label[10, 45]
+    small = regions_of(image, stride=(2, 2), reach=3)
+    assert small.shape == image.shape and len(np.unique(small)) == 3
+    assert regions_of(image, least=(1000.0, 0.0)).max() == 0
+    assert regions_of(image[:1]).max() == 0
+    assert wide_enough(np.array([[1, 1, 0, 2]]), (1.5, 0.5), (1.0, 1.0)) == [1]
+
+
+def test_extraction(spark):
+    from nocturne.operators.peaks import extract, mask_second_pass
+    from pyspark.sql import functions as F
+
+    image = hill((16, 90), (8, 12, 3, 10.0), (8, 40, 3, 8.0), (8, 70, 3, 6.0)) + 0.01
+    rows = [("a", int(t), int(f), float(2 * image[f, t])) for f in range(16) for t in range(90)]
+    px = spark.createDataFrame(rows, "rec string, t_idx long, f_idx long, power double")
+    base = spark.createDataFrame([("a", f, 2.0) for f in range(16)], "rec string, f_idx long, pct double")
+    out = extract(px, 0.5, 0.25, t0=100.0, baseline=base, longest=30, duration=(0.6, 100.0), bandwidth=(0.3, 10.0))
+    peaks = out.peaks.orderBy("peak_id").collect()
+    assert [r.peak_id for r in peaks] == list(range(1, len(peaks) + 1)) and {r.segment for r in peaks} == {1, 2, 3}
+    tall = sorted((r for r in peaks if r.height > 2), key=lambda r: r.peak_time)
+    assert [round(r.peak_time) for r in tall][0] == 106 and abs(tall[0].peak_freq - 2.0) < 0.2
+    assert out.labels.select("peak_id").distinct().count() == len(peaks)
+    labels = px.join(out.labels.select("rec", "t_idx", "f_idx", "segment", "label"), ["rec", "t_idx", "f_idx"], "left")
+    labels = labels.select("rec", (F.col("t_idx") * 0.5).alias("t"), "t_idx", "f_idx", F.coalesce("segment", (F.floor(F.col("t_idx") / 30) + 1).cast("int")).alias("segment"), F.coalesce("label", F.lit(0)).alias("label"))
+    second = px.select("rec", (F.col("t_idx") * 0.5 + 0.1).alias("t"), "f_idx", "power")
+    kept = mask_second_pass(second, labels)
+    assert kept.count() == 16 * 90
+    inside = kept.where("power > 0").count()
+    assert 0 < inside < out.labels.count()
