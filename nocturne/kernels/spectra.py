@@ -52,16 +52,21 @@ def multitaper(x: np.ndarray, fs: float, window: float, step: float, bandwidth:
 
 def event_spectra(x: np.ndarray, fs: float, events: np.ndarray, window: float = 4.0, ds: float = 0.05, band=(0.0, 30.0), how: str = "constant", t0: float = 0.0):
     """(freqs, (events, freqs)): Hann spectra of windows around events; samples outside the recording are 0."""
-    n = round(window * fs)
     start = np.floor((np.asarray(events, float) - t0 - window / 2) * fs).astype(np.int64)
+    return event_spectra_at(x, fs, start, round(window * fs), ds, band, how)
+
+
+def event_spectra_at(x: np.ndarray, fs: float, start: np.ndarray, n: int, ds: float = 0.05, band=(0.0, 30.0), how: str = "constant"):
+    """event_spectra() of the windows of n samples that begin at the samples ``start``."""
     at = start[:, None] + np.arange(n)[None, :]
-    rows = np.where((at >= 0) & (at < len(x)), np.asarray(x, float)[np.clip(at, 0, len(x) - 1)], 0.0)
+    x = np.asarray(x, float) if len(x) else np.zeros(1)
+    rows = np.where((at >= 0) & (at < len(x)), x[np.clip(at, 0, len(x) - 1)], 0.0)
     taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
     taper /= np.sqrt((taper**2).sum())
-    nfft = 1 << max(0, int(np.ceil(np.log2(max(fs / ds, 1)))))
-    p = np.abs(np.fft.rfft(detrend(rows, how) * taper, max(nfft, n)))[:, :] ** 2 / fs
-    p[:, 1 : (max(nfft, n) + 1) // 2] *= 2
-    f = np.fft.rfftfreq(max(nfft, n), 1 / fs)
+    nfft = max(n, 1 << max(0, int(np.ceil(np.log2(max(fs / ds, 1))))))
+    p = np.abs(np.fft.rfft(detrend(rows, how) * taper, nfft)) ** 2 / fs
+    p[:, 1 : (nfft + 1) // 2] *= 2
+    f = np.fft.rfftfreq(nfft, 1 / fs)
     keep = (f >= band[0]) & (f <= band[1])
     return f[keep], p[:, keep]
 
