@@ -35,9 +35,9 @@ from .text import LOWER, Ranges, binaries, distinct, gathered, same_bytes, sized
 END, IDS = 50_256, 50_257
 CONTEXT, BLOCK, WIDTH, CLASSES, GROUPS = 16, 16, 12, 768, 48
 OWN, NEAR, LEAST = 576, 64, 20
-HEAD, LONG, MEMO = 1 << 17, 32, 300_000
+HEAD, LONG, MEMO = 1 << 18, 32, 300_000
 ROUNDS, SHARD_BYTES, BUFFER, BATCH, RATE, SETTLE = 3, 32 << 20, 8_192, 128, 3e-2, 150
-SEGMENT = 1_024
+SEGMENT = 4_096
 HELD = 5
 DOCUMENT, WORDS, PAIRS, BYTES = range(4)  # kinds of rows of the first pass
 
@@ -257,10 +257,13 @@ def group_classes(pairs: np.ndarray) -> np.ndarray:
 
 def word_keys(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.BinaryArray:
     """The bytes of words; of those over LONG bytes, a zero and their SHA-256."""
-    if (end - start > LONG).any():
-        each = [low[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        return pa.array([x if len(x) <= LONG else b"\0" + hashlib.sha256(x).digest() for x in each], pa.binary())
-    return binaries(*gathered(low, start, end))
+    long = np.flatnonzero(end - start > LONG)
+    if not len(long):
+        return binaries(*gathered(low, start, end))
+    digests = [b"\0" + hashlib.sha256(low[a:b].tobytes()).digest() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    start, size = start.copy(), end - start
+    start[long], size[long] = len(low) + 33 * np.arange(len(long)), 33
+    return binaries(*gathered(np.concatenate([low, np.frombuffer(b"".join(digests), np.uint8)]), start, start + size))
 
 
 class Slice:
