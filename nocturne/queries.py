@@ -398,4 +398,4 @@ def band_envelope(spark, sf):
     return samples(spark, sf).select("user_id", "t", "v").groupBy("user_id").applyInArrow(run, "user_id long, t double, v double, amplitude double, phase double")
 
 
-from . import queries_groups  # noqa: E402, F401
+from . import queries_groups, queries_sources  # noqa: E402, F401
