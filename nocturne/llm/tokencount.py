@@ -9,7 +9,8 @@ Counter: BPE of a prefix is BPE of the prefix up to its last token, plus that to
 exactly if BPE of their joined bytes gives the two. So the machine's state is, for every cut from which a longer token
 may still come, the place in the vocabulary's trie and the last token before the cut; a byte's transition is annotated
 with the change in emitted tokens. Transitions are compiled from the merges when first met, and kept. All pieces of a
-batch step through the table at once, one byte each.
+batch step through the table at once, one byte each; a piece over LONG bytes is cut into chunks that step at once too,
+whose maps are composed from left to right.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .text import sized, utf8
 
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
 END = "</w>"
-MAX_STATES, CHUNK = 250_000, 512
+MAX_STATES, CHUNK, LONG, WARM = 250_000, 512, 2_048, 256
 
 # character classes and states of the splitter
 _BLANK, _NUM, _OTHER, _APOS, _LET, _ONE, _R, _V, _L, _E = range(10)
@@ -210,27 +211,61 @@ class Counter:
             wide = lambda a, fill: np.concatenate([a, np.full_like(a, fill)], axis=1)
             self.next, self.step, self.last = wide(self.next, -1), wide(self.step, 0), wide(self.last, -(1 << 14))
         size = end - start
+        long = np.flatnonzero(size > LONG)
+        n = np.zeros(len(size), np.int64)
+        short = size <= LONG
+        state, n[short] = self._walk(data, start[short], end[short] - 1, np.zeros(short.sum(), np.int32))
+        last = np.zeros(len(size), np.int32)
+        last[short] = state
+        for i in long.tolist():
+            last[i], n[i] = self._scan(data, int(start[i]), int(end[i]) - 1)
+        byte = data[end - 1].astype(np.int64)
+        letter = self.letter[byte]
+        self._fill(self.last, -(1 << 14), last, letter, byte, self.finish)
+        return n + self.last[last, letter]
+
+    def _walk(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, state: np.ndarray, count_from: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """State after data[start:end] from a state, and tokens emitted; from the place count_from on, where given, and
+        then the state there too. All ranges step side by side."""
+        size = end - start
         order = np.argsort(-size, kind="stable")
-        at, size = start[order], size[order]
-        state, n = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
-        for j in range(int(size[0]) - 1 if len(size) else 0):
-            m = int(np.searchsorted(-size, -(j + 1)))  # pieces longer than j + 1
+        at, size, state = start[order], size[order], state[order].astype(np.int32)
+        n, there = np.zeros(len(at), np.int64), state.copy()
+        begin = count_from[order] if count_from is not None else None
+        for j in range(int(size[0]) if len(size) else 0):
+            m = int(np.searchsorted(-size, -j))  # ranges longer than j
             byte = data[at[:m] + j].astype(np.int64)
-            letter = self.letter[byte]
-            now = state[:m]
+            letter, now = self.letter[byte], state[:m]
+            if begin is not None:
+                here = begin[:m] == at[:m] + j
+                there[:m][here], n[:m][here] = now[here], 0
             to = self.next[now, letter]
             if (to < 0).any():
                 self._fill(self.next, -1, now, letter, byte, self.compile)
                 to = self.next[now, letter]
             n[:m] += self.step[now, letter]
             state[:m] = to
-        byte = data[at + size - 1].astype(np.int64)
-        letter = self.letter[byte]
-        self._fill(self.last, -(1 << 14), state, letter, byte, self.finish)
-        n += self.last[state, letter]
-        out = np.empty(len(n), np.int64)
-        out[order] = n
-        return out
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return (state[back], n[back]) if begin is None else (state[back], n[back], there[back])
+
+    def _scan(self, data: np.ndarray, start: int, end: int) -> tuple[int, int]:
+        """State after one long range from the first state, and tokens emitted, by chunks side by side.
+
+        A chunk's map is needed for one state only, that in which it is entered. It is guessed by stepping through the
+        WARM bytes before the chunk; composing the chunks' maps from left to right checks every guess against the state
+        that the chunk before ends in, and a chunk that was entered in another state is stepped through again."""
+        cuts = np.append(np.arange(start, end, LONG), end)
+        first, last = cuts[:-1], cuts[1:]
+        warm = np.maximum(first - WARM, start)
+        state, n, entered = self._walk(data, warm, last, np.zeros(len(first), np.int32), first)
+        now, total = 0, 0
+        for i in range(len(first)):
+            if entered[i] != now:
+                one, more = self._walk(data, first[i : i + 1], last[i : i + 1], np.array([now], np.int32))
+                state[i], n[i] = one[0], more[0]
+            now, total = int(state[i]), total + int(n[i])
+        return now, total
 
 
 @functools.cache
