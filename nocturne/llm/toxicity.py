@@ -85,7 +85,8 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarray
 def fit(docs: DataFrame, labels: DataFrame, where=None) -> np.ndarray:
     """docs (doc_id, text), labels (doc_id, toxic) -> DIM weights and the bias. where: which doc_id may be learned from.
 
-    Labels other than 0 and 1 (null too) are left out; a doc_id labelled more than once is toxic if any row says so.
+    Labels other than 0 and 1 (null too) are left out; a doc_id labelled more than once is toxic if any row says so, and of
+    different texts of one doc_id the least is learned from.
     Without labels all weights are 0."""
     labels = labels.where(F.col("toxic").isin(0, 1))
     if where is not None:
@@ -98,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, where=None) -> np.ndarray:
         at = np.flatnonzero(w)
         return pa.table({"at": pa.array(np.append(at, DIM)), "w": pa.array(np.append(w[at], b) / shards)})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     rows = rows.select(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(shards)).alias("shard"), "text", "toxic")
     got = rows.groupBy("shard").applyInArrow(run, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toArrow()
     out = np.zeros(DIM + 1, np.float64)
