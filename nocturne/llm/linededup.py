@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, fresh
 
 RATIO, MIN_PAGES = 0.1, 5
 BROADCAST_BYTES = 16 << 20
@@ -38,13 +38,14 @@ def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio:
     found = Scratch(spark, "lines").save(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
     size = found.agg(F.coalesce(F.sum(F.size("lines") * 8 + F.length(F.col("host").cast("string")) + 32), F.lit(0))).first()[0]
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    side = found.select(F.col("host").alias("_bp_host"), F.col("lines").alias("_bp_lines"))
-    out = docs.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, docs[host] == side["_bp_host"], "left")
-    out = out.withColumn("_bp_all", F.split(docs[text], "\n", -1))
-    out = out.withColumn("_bp_kept", F.when(F.col("_bp_lines").isNull(), F.col("_bp_all")).otherwise(F.filter("_bp_all", lambda x: (F.trim(x) == "") | ~F.array_contains("_bp_lines", F.xxhash64(x)))))
+    at, lines, all_, left = fresh(docs.columns, "_host", "_lines", "_all", "_left")
+    side = found.select(F.col("host").alias(at), F.col("lines").alias(lines))
+    out = docs.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, docs[host] == side[at], "left")
+    out = out.withColumn(all_, F.split(docs[text], "\n", -1))
+    out = out.withColumn(left, F.when(F.col(lines).isNull(), F.col(all_)).otherwise(F.filter(all_, lambda x: (F.trim(x) == "") | ~F.array_contains(lines, F.xxhash64(x)))))
     size_of = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
-    kept = F.when(size_of("_bp_kept") == size_of("_bp_all"), docs[text]).otherwise(F.array_join("_bp_kept", "\n"))
-    return out.select(*[kept.alias(c) if c == text else docs[c] for c in names], F.greatest(size_of("_bp_all"), F.lit(0)).alias("n_lines"), F.greatest(size_of("_bp_all") - size_of("_bp_kept"), F.lit(0)).alias("n_dropped"))
+    kept = F.when(size_of(left) == size_of(all_), docs[text]).otherwise(F.array_join(left, "\n"))
+    return out.select(*[kept.alias(c) if c == text else docs[c] for c in names], F.greatest(size_of(all_), F.lit(0)).alias("n_lines"), F.greatest(size_of(all_) - size_of(left), F.lit(0)).alias("n_dropped"))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

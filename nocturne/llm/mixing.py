@@ -8,10 +8,12 @@ Nothing is collected: cells and marginals are DataFrames of any size, aggregated
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, fresh
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Shares of tokens. A category that is not named shares, with the others not named, what the named ones leave, in
@@ -66,15 +68,16 @@ def rake(cells: DataFrame, targets: dict, sweeps: int, scratch: Scratch) -> Data
     return out.crossJoin(F.broadcast(out.agg(F.sum("raw").alias("all"), F.sum("t").alias("tokens")))).select(*targets, "t", (F.col("raw") / F.col("all")).alias("w"), "tokens")
 
 
-def _placed(docs: DataFrame, topic: str) -> DataFrame:
-    dims = [F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(f"_{c}") for c in ("source", "lang")]
-    return docs.select("*", *dims, F.expr(topic).alias("_topic"), tokens(F.col("text")).alias("_tokens"))
+def _placed(docs: DataFrame, topic: str, names: list[str]) -> DataFrame:
+    """docs with source, language, topic and tokens as columns of the given names."""
+    dims = [F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for c in ("source", "lang")]
+    return docs.select("*", *(x.alias(n) for x, n in zip((*dims, F.expr(topic), tokens(F.col("text"))), names, strict=True)))
 
 
-def calibrated(docs: DataFrame, targets: dict, rate: float, sweeps: int, topic: str, meet: bool = False) -> DataFrame:
-    """(_source, _lang, _topic, _p): the probability of each cell, rounded to 9 digits."""
+def calibrated(docs: DataFrame, targets: dict, rate: float, sweeps: int, topic: str, meet: bool = True) -> DataFrame:
+    """(source, lang, topic, p): the probability of each cell, rounded to 9 digits."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = _placed(docs.select("text", "source", "lang"), topic).where("_tokens > 0")
+    rows = _placed(docs.select("text", "source", "lang"), topic, ["_source", "_lang", "_topic", "_tokens"]).where("_tokens > 0")
     cells = scratch.save(rows.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("_tokens").alias("t")), "cells")
     raked, at = rake(cells, targets, sweeps, scratch), F.lit(float(rate))
     if meet:
@@ -82,34 +85,53 @@ def calibrated(docs: DataFrame, targets: dict, rate: float, sweeps: int, topic:
         most = raked.agg(F.max(F.col("tokens") * F.col("w") / F.col("t")).alias("most"))
         raked, at = raked.crossJoin(F.broadcast(most)), F.least(at, F.lit(1.0) / F.col("most"))
     p = F.round(F.least(F.lit(1.0), at * F.col("tokens") * F.col("w") / F.col("t")), 9)
-    return scratch.save(raked.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), p.alias("_p")), "p")
+    return scratch.save(raked.select(*DIMENSIONS, "t", p.alias("p")), "p")
 
 
-def _decided(docs: DataFrame, targets: dict | None, rate: float, sweeps: int, topic: str, meet: bool = False) -> DataFrame:
-    found = calibrated(docs, TARGETS if targets is None else targets, rate, sweeps, topic, meet)
+def _decided(docs: DataFrame, targets: dict | None, rate: float, sweeps: int, topic: str, meet: bool) -> tuple[DataFrame, list[str]]:
+    """docs with tokens, probability and decision, and the names of these columns, which none of docs has."""
+    found = calibrated(docs, TARGETS if targets is None else targets, rate, sweeps, topic, meet).drop("t")
+    names = fresh(docs.columns, "_source", "_lang", "_topic", "_tokens", "_p", "_prob", "_kept")
+    tokens_, p, prob, kept = names[3:]
+    found = found.toDF(*names[:3], p)
     chance = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    out = _placed(docs, topic).join(found, [f"_{d}" for d in DIMENSIONS], "left").withColumn("_prob", F.when(F.col("_tokens") > 0, F.col("_p")).otherwise(F.lit(float(rate))))
-    return out.withColumn("_kept", F.coalesce(chance < F.col("_prob"), F.lit(False)))
+    out = _placed(docs, topic, names[:4]).join(found, names[:3], "left").withColumn(prob, F.when(F.col(tokens_) > 0, F.col(p)).otherwise(F.lit(float(rate))))
+    return out.withColumn(kept, F.coalesce(chance < F.col(prob), F.lit(False))), [tokens_, prob, kept]
 
 
-def mix(docs: DataFrame, targets: dict | None = None, rate: float = RATE, sweeps: int = SWEEPS, topic: str = TOPIC_SQL, meet: bool = False) -> DataFrame:
+def mix(docs: DataFrame, targets: dict | None = None, rate: float = RATE, sweeps: int = SWEEPS, topic: str = TOPIC_SQL, meet: bool = True) -> DataFrame:
     """docs (doc_id, text, source, lang) -> doc_id, tokens, prob, kept.
 
     A cell's tokens are to be ``rate`` of all tokens times the cell's raked share; its documents are kept with
-    probability ``prob`` = that over the cell's tokens, 1 at most, rounded to 9 digits. What is cut off at 1 misses the targets; with ``meet``
-    the rate is lowered to the largest at which no cell is cut off, so that the targets hold. A null category is a category.
-    A document without tokens adds nothing to a mixture and is kept with probability ``rate``. The decision depends on
-    doc_id alone, so repeated rows are kept or dropped together; a null doc_id is dropped. An empty table gives none;
-    extra columns are ignored.
+    probability ``prob`` = that over the cell's tokens, rounded to 9 digits. The rate is lowered to the largest at which
+    no cell needs more than it has, so that the targets hold; without ``meet`` it stays, probabilities are cut at 1 and
+    what is cut off misses the targets: see missed(). A null category is a category. A document without tokens adds
+    nothing to a mixture and is kept with probability ``rate``. The decision depends on doc_id alone, so repeated rows
+    are kept or dropped together; a null doc_id is dropped. An empty table gives none; extra columns are ignored.
     """
-    out = _decided(docs.select("doc_id", "text", "source", "lang"), targets, rate, sweeps, topic, meet)
-    return out.select("doc_id", F.col("_tokens").alias("tokens"), F.col("_prob").alias("prob"), F.col("_kept").alias("kept"))
+    out, (tokens_, prob, kept) = _decided(docs.select("doc_id", "text", "source", "lang"), targets, rate, sweeps, topic, meet)
+    return out.select("doc_id", F.col(tokens_).alias("tokens"), F.col(prob).alias("prob"), F.col(kept).alias("kept"))
 
 
-def sample(docs: DataFrame, targets: dict | None = None, rate: float = RATE, sweeps: int = SWEEPS, topic: str = TOPIC_SQL, meet: bool = False) -> DataFrame:
+def sample(docs: DataFrame, targets: dict | None = None, rate: float = RATE, sweeps: int = SWEEPS, topic: str = TOPIC_SQL, meet: bool = True) -> DataFrame:
     """The rows of docs that mix() keeps, with all their columns. Cells are joined to the rows; texts are not moved
     where the table of cells is small enough for the optimiser to send it round."""
-    return _decided(docs, targets, rate, sweeps, topic, meet).where("_kept").select(*docs.columns)
+    out, names = _decided(docs, targets, rate, sweeps, topic, meet)
+    return out.where(F.col(names[-1])).select(*(docs[c] if docs.columns.count(c) == 1 else c for c in docs.columns))
+
+
+def missed(docs: DataFrame, targets: dict | None = None, rate: float = RATE, sweeps: int = SWEEPS, topic: str = TOPIC_SQL, meet: bool = True) -> DataFrame:
+    """(dimension, category, goal, share, residual): the share of tokens that each category of each dimension is expected
+    to have in the sample, and by how much its target is missed, be it for want of sweeps or of tokens."""
+    targets = TARGETS if targets is None else targets
+    found = calibrated(docs, targets, rate, sweeps, topic, meet)
+    kept = F.col("t") * F.col("p")
+    total = found.agg(F.sum(kept).alias("all"))
+    parts = []
+    for d in targets:
+        share = found.groupBy(d).agg(F.sum(kept).alias("k")).crossJoin(F.broadcast(total)).select(d, (F.col("k") / F.col("all")).alias("share"))
+        parts.append(_goal(found, d, targets[d]).join(share, d).select(F.lit(d).alias("dimension"), F.col(d).alias("category"), "goal", "share", (F.col("share") - F.col("goal")).alias("residual")))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
@@ -141,7 +163,8 @@ def _sql() -> str:
             now[d] = f"f_{d}_{i}"
     s, l, t = (now[d] for d in DIMENSIONS)
     parts.append(f"raked AS MATERIALIZED (SELECT source, lang, topic, t, t::DOUBLE * a.f * b.f * c.f AS raw FROM cells JOIN {s} a USING (source) JOIN {l} b USING (lang) JOIN {t} c USING (topic))")
-    parts.append(f"p AS (SELECT source, lang, topic, round(least(1.0::DOUBLE, {RATE}::DOUBLE * (SELECT sum(t) FROM raked) * (raw / (SELECT sum(raw) FROM raked)) / t), 9) AS p FROM raked)")
+    parts.append("need AS MATERIALIZED (SELECT *, (SELECT sum(t) FROM raked) * (raw / (SELECT sum(raw) FROM raked)) / t AS need FROM raked)")
+    parts.append(f"p AS (SELECT source, lang, topic, round(least(1.0::DOUBLE, least({RATE}::DOUBLE, 1.0::DOUBLE / (SELECT max(need) FROM need)) * need), 9) AS p FROM need)")
     body = ",\n ".join(parts)
     return f"""WITH {body}
 SELECT doc_id, tokens, prob, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE < prob AS kept

@@ -13,16 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; where none is set (tests on one machine), a temporary folder."""
+    """The checkpoint folder of the session; where none is set, a temporary folder on one machine, an error on a cluster,
+    whose executors do not see each other's disks."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="nocturne-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to be none of the columns, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 class Scratch:
     """Named tables of one run of one operator."""
 

@@ -72,6 +72,19 @@ def test_token_counts_equal_the_library(spark):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 30), t
 
 
+def test_token_counts_of_words_longer_than_a_chunk(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9000)), "theand" * 2000, "x" * 5001, "ab", "é" * 3000 + " " + "ing" * 1500, thue_morse(6000, "a", "b")]
+    for long, warm in ((2048, 256), (100, 30), (64, 1)):  # with little warm-up, chunks are entered in other states
+        monkeypatch.setattr(tokencount, "LONG", long)
+        monkeypatch.setattr(tokencount, "WARM", warm)
+        got = tokencount.count_texts(tokencount.counter(public_tokenizers.path("word_bpe_49k.json")), texts)
+        assert got.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def near_by_force(texts, k, percent):
     sets = [frozenset(tuple(w[i : i + min(k, len(w))]) for i in range(len(w) - min(k, len(w)) + 1)) if w else frozenset() for w in map(words, texts)]
     low = list(range(len(texts)))
@@ -162,6 +175,64 @@ def test_toxicity_holds_out(spark):
     assert got[900].score == got[901].score
 
 
+def naive_features(t):
+    """Words, pairs and pairs one word apart of a text, as a set of names."""
+    w = re.findall("[0-9A-Za-z\x80-\U0010ffff]+", t or "")
+    w = [x.translate(LOW) for x in w]
+    return {(x,) for x in w} | {(1, *p) for p in zip(w, w[1:])} | {(2, *p) for p in zip(w, w[2:])}
+
+
+def test_toxicity_features_by_force():
+    import pyarrow as pa
+
+    texts = [*ODD, "A b c a b", "one. two! THREE, one", "b", None, "a b a b a b"]
+    x, cut = toxicity.features(*text.utf8(pa.array(texts, pa.string())))
+    sets = [set(x[i:j].tolist()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    names = {}
+    for t, s in zip(texts, sets, strict=True):
+        own = naive_features(t)
+        assert len(s) == len(own)  # no two of these share a bucket
+        for f in own:
+            names.setdefault(f, set(s)).intersection_update(s)
+    assert all(names.values())
+    for t, s in zip(texts, sets, strict=True):  # what has a feature holds its bucket, and what has not does not
+        for f, b in names.items():
+            if len(b) == 1:
+                assert (f in naive_features(t)) == (next(iter(b)) in s)
+
+
+def test_toxicity_training_by_force():
+    """FTRL-proximal, one coordinate at a time."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["vile", "good", "day", "rot", "tea"]) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    toxic = np.array([int("vile" in t) for t in texts])
+    w, bias = toxicity.train(pa.array(texts), toxic)
+    x, cut = toxicity.features(*text.utf8(pa.array(texts)))
+    seen = collections.Counter(x.tolist())
+    z, n, zb, nb = collections.defaultdict(float), collections.defaultdict(float), 0.0, 0.0
+    l1 = max(1.0, len(texts) * toxicity.L1_PER_DOCUMENT)
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+    order = np.random.default_rng(7)
+    for _ in range(toxicity.EPOCHS):
+        for d in order.permutation(len(texts)):
+            own = [i for i in x[cut[d] : cut[d + 1]].tolist() if seen[i] >= toxicity.LEAST_DOCUMENTS]
+            b = -zb / ((toxicity.BETA + nb**0.5) / toxicity.ALPHA)
+            g = 1 / (1 + np.exp(-(sum(map(weight, own)) + b))) - toxic[d]
+            if abs(g) < toxicity.SETTLED:
+                continue
+            for i, wi in [(i, weight(i)) for i in own]:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * wi
+                n[i] += g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / toxicity.ALPHA * b
+            nb += g * g
+    expected = np.zeros(toxicity.DIM)
+    for i in z:
+        expected[i] = weight(i)
+    assert np.count_nonzero(expected) > 3 and np.allclose(w, expected) and bias == pytest.approx(-zb / ((toxicity.BETA + nb**0.5) / toxicity.ALPHA))
+
+
 def test_mixing_meets_the_targets(spark):
     rows = [(i, "w " * (1 + i % 7), f"s{i % 3}", ("en", "fr")[i % 2], "x") for i in range(3000)] + [(9001, None, None, None, "x"), (9002, "", "s1", "en", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, prob string")
@@ -171,7 +242,19 @@ def test_mixing_meets_the_targets(spark):
     for s in ("s0", "s1", "s2"):
         assert sum(r.tokens * r.prob for r in out if source[r.doc_id] == s) == pytest.approx(0.1 * total, rel=0.02)
     assert sum(r.kept for r in out) / len(out) == pytest.approx(0.3, abs=0.05)
-    assert set(mixing.sample(docs).columns) == set(docs.columns)
+    clash = docs.selectExpr("*", *(f"'x' AS {c}" for c in ("_p", "_topic", "_tokens", "_prob", "_kept", "_source", "_lang")))
+    assert mixing.sample(clash).columns == clash.columns
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_mixing_tells_what_it_misses(spark):
+    rows = [(i, "w " * 30, "s0", "en") for i in range(95)] + [(100 + i, "License " * 30, "s0", "en") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": None, "lang": None, "topic": {"prose": 0.8, "licence": 0.2}}
+    cut = {r.category: r for r in mixing.missed(docs, targets, meet=False).where("dimension = 'topic'").collect()}
+    assert cut["licence"].goal == pytest.approx(0.2) and cut["licence"].residual < -0.05
+    met = mixing.missed(docs, targets).collect()
+    assert {r.dimension for r in met} == {"source", "lang", "topic"} and all(abs(r.residual) < 1e-6 for r in met)
 
 
 def test_mixing_of_the_pipeline_meets_targets_that_the_rate_does_not_allow(spark):
