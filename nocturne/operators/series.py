@@ -96,6 +96,14 @@ def renumber(df: DataFrame, by: list[str], old: str, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(old)))
 
 
+def extent_cut(px: DataFrame, by: list[str], t: str, f: str, steps: tuple[float, float], least: tuple[float, float]) -> DataFrame:
+    """(by, wide, apart): is a region's box more than the least extents, counted in whole pixels (wide), or from its first
+    to its last pixel (apart)?"""
+    out = px.groupBy(*by).agg((F.max(t) - F.min(t)).alias("_t"), (F.max(f) - F.min(f)).alias("_f"))
+    more = lambda k: ((F.col("_t") + k) * steps[0] > least[0]) & ((F.col("_f") + k) * steps[1] > least[1])
+    return out.select(*by, more(1).alias("wide"), more(0).alias("apart"))
+
+
 def trim_level(px: DataFrame, by: list[str], value: str, keep: float) -> DataFrame:
     """(by, level): the value at which the ascending running volume above the region's minimum first exceeds
     (1 - keep) of all; constant regions have no level."""

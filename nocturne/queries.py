@@ -109,7 +109,7 @@ def baseline_image(spark, sf):
     return quantile.hazen(image(spark, sf).where("t_idx % 5 <> 0 AND power <> 0"), ["f_idx"], "power", 0.02).select("f_idx", R(F.col("pct")).alias("pct"), "n")
 
 
-@query(f"WITH i AS ({IMAGE_SQL}), h AS ({hazen_sql('i', 'f_idx', 'power', 0.02)}) SELECT t_idx, f_idx, round(power / pct, 6) + 0.0 AS ratio FROM i JOIN h USING (f_idx)")
+@query(f"WITH i AS MATERIALIZED ({IMAGE_SQL}), h AS MATERIALIZED ({hazen_sql('i', 'f_idx', 'power', 0.02)}) SELECT t_idx, f_idx, round(power / pct, 6) + 0.0 AS ratio FROM i JOIN h USING (f_idx)")
 def baseline_divide(spark, sf):
     px = image(spark, sf)
     return quantile.divide_by(px, quantile.hazen(px, ["f_idx"], "power", 0.02), ["f_idx"], "power", "ratio", True).select("t_idx", "f_idx", R(F.col("ratio")).alias("ratio"))
@@ -398,4 +398,4 @@ def band_envelope(spark, sf):
     return samples(spark, sf).select("user_id", "t", "v").groupBy("user_id").applyInArrow(run, "user_id long, t double, v double, amplitude double, phase double")
 
 
-from . import queries_groups, queries_sources  # noqa: E402, F401
+from . import queries_groups, queries_images, queries_sources  # noqa: E402, F401
