@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chars import BLANK, LETTER, OTHER, byte_starts, classes, code_points
+from .scratch import small_batches
 from .text import Ranges, distinct, gathered, lists, same_bytes, sized, utf8
 
 RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -196,6 +197,7 @@ def encode(docs: DataFrame, ranks: str | None = None, vocabulary: str | None = N
     tokens that share one character have the same start. Null and empty texts have no ids. Rows stay as they come,
     repeated ones too; extra columns are left out; an empty table gives none."""
     paths = _paths(ranks, vocabulary)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         c = codec(*paths)
@@ -228,6 +230,7 @@ def decode(tokens: DataFrame, ranks: str | None = None, vocabulary: str | None =
 def digests(docs: DataFrame, ranks: str | None = None, vocabulary: str | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256, with the rules of encode() and decode()."""
     paths = _paths(ranks, vocabulary)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         c = codec(*paths)

@@ -37,10 +37,22 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of the session hold at most BATCH_ROWS rows. A batch is so many rows whatever their size, and is
+    held several times over outside the heap; with 10 000 rows of text, two tasks at a time fill a small executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Named tables of one run of one operator."""
 
     def __init__(self, spark: SparkSession, what: str):
+        small_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", 0
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:

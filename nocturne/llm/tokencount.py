@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .bytebpe import byte_characters, public_path
 from .chars import BLANK, LETTER, NUMBER, byte_starts, classes
+from .scratch import small_batches
 from .text import sized, utf8
 
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
@@ -310,6 +311,7 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str | None = N
     out; an empty table gives none. A long text is one batch of its own.
     """
     path = vocabulary or public_path(VOCABULARY)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         c = counter(path)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .scratch import small_batches
 from .text import LOWER, U, Ranges, mix, sized, utf8
 
 #: MAX_TRAIN bounds the sample of labelled rows that the classifier is fitted on; everything is scored.
@@ -110,6 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, where=None) -> np.ndarray:
 def with_score(docs: DataFrame, model: np.ndarray, name: str = "score") -> DataFrame:
     """All rows and columns of docs, in their order, and the score (0 to 1) as column ``name``, which docs must not
     have. Null and empty texts have the score of the bias alone."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
