@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
 
@@ -65,8 +67,18 @@ def band_artifacts(x: np.ndarray, bad: np.ndarray, fs: float, cutoff: float, cri
     return robust_outliers(y - moving(y, max(1, round(trend * fs)), "median"), ~bad, crit)
 
 
-def detect(x: np.ndarray, fs: float, known: np.ndarray | None = None, high: float = 35.0, high_crit: float = 5.5, broad: float = 0.1, broad_crit: float = 5.5, flat_seconds: float = 1.0, flat_share: float = 0.02, buffer_seconds: float = 0.0) -> np.ndarray:
-    """Mask of artifacts: what is missing, flat or known, extreme noise, and both bands; widened by the buffer."""
+def flat_tolerance_share() -> float:
+    try:
+        found = float(os.environ.get("NOCTURNE_FLAT_SHARE", ""))
+    except ValueError:
+        return 0.02
+    return found if np.isfinite(found) and found >= 0 else 0.02
+
+
+def detect(x: np.ndarray, fs: float, known: np.ndarray | None = None, high: float = 35.0, high_crit: float = 5.5, broad: float = 0.1, broad_crit: float = 5.5, flat_seconds: float = 1.0, flat_share: float | None = None, buffer_seconds: float = 0.0) -> np.ndarray:
+    """Mask of artifacts: what is missing, flat or known, extreme noise, and both bands; widened by the buffer. flat_share: of
+    the standard deviation, within which a stretch is flat; NOCTURNE_FLAT_SHARE in the environment, or 0.02."""
+    flat_share = flat_tolerance_share() if flat_share is None else flat_share
     x = np.asarray(x, float)
     bad = ~np.isfinite(x)
     if bad.all():

@@ -129,8 +129,9 @@ def _key(label: str) -> str:
     return label.strip().lower()
 
 
-def flatten(expr: Linear, available: Iterable[str], named: dict[str, Linear] | None = None) -> dict[str, float]:
-    """Weight of each available label, names put in and means taken over what is there; weights of 0 go."""
+def flatten(expr: Linear, available: Iterable[str], named: dict[str, Linear | str] | None = None) -> dict[str, float]:
+    """Weight of each available label, names put in and means taken over what is there; weights of 0 go. A name's text is
+    parsed when it is met, so a bad one that is not used is no error."""
     have = {}
     for label in available:
         have.setdefault(_key(label), label)
@@ -152,7 +153,8 @@ def flatten(expr: Linear, available: Iterable[str], named: dict[str, Linear] | N
             elif _key(what) in named:
                 if _key(what) in open_:
                     raise ExpressionError("references form a cycle: " + " -> ".join((*open_, _key(what))))
-                found = solve(named[_key(what)], (*open_, _key(what))).items()
+                value = named[_key(what)]
+                found = solve(parse(value) if isinstance(value, str) else value, (*open_, _key(what))).items()
             elif _key(what) in have:
                 found = [(have[_key(what)], 1.0)]
             else:
@@ -175,7 +177,56 @@ def select(text: str, available: Iterable[str], named: dict[str, str] | None = N
         a, b = _key(text[: m.start()]), _key(text[m.end() :])
         if a in have and b in have:
             return {have[a]: 1.0, have[b]: -1.0}
-    return flatten(parse(text), available, {k: parse(v) for k, v in (named or {}).items()})
+    return flatten(parse(text), available, named)
+
+
+def references(lines: Iterable[str]) -> dict[str, str]:
+    """NAME = expression, one a line; blank lines and what follows # are left out. A name twice is an error."""
+    out: dict[str, str] = {}
+    for line in lines:
+        text = line.split("#", 1)[0].strip()
+        if not text:
+            continue
+        name, mark, value = text.partition("=")
+        if not mark or not name.strip() or not value.strip():
+            raise ExpressionError(f"not NAME = expression: {line!r}")
+        if _key(name) in map(_key, out):
+            raise ExpressionError(f"{name.strip()!r} is given twice")
+        out[name.strip()] = value.strip()
+    return out
+
+
+def satisfied(text: str, available: Iterable[str], named: dict[str, str] | None = None) -> bool:
+    """Can the expression be taken from these labels? Bad syntax is an error, a missing signal is not."""
+    try:
+        select(text, available, named)
+    except LookupError:
+        return False
+    return True
+
+
+def needed(texts: Iterable[str], available: Iterable[str], named: dict[str, str] | None = None) -> list[str]:
+    """The labels that the expressions read, each once, for a reader that can leave out the others."""
+    available = list(available)
+    return list(dict.fromkeys(label for t in texts for label in select(t, available, named)))
+
+
+def read_channel(spark, path, text: str, named: dict[str, str] | None = None, chunk_seconds: float = 300.0) -> DataFrame:
+    """(path, t0, fs, x): the expression over each recording of EDF files, of which only the needed channels are decoded.
+    Recordings that lack a signal of it have no rows."""
+    from ..sources.edf import read_edf, read_headers
+
+    heads = read_headers(spark, path).where("error IS NULL").groupBy("path").agg(F.collect_list("ch").alias("have")).collect()  # one row a file
+    plans = {r["path"]: select(text, r["have"], named) for r in heads if satisfied(text, r["have"], named)}
+    parts = [(p, label, w) for p, plan in plans.items() for label, w in plan.items()]
+    weights = spark.createDataFrame(parts, "path string, ch string, w double")
+    count = weights.groupBy("path").agg(F.count("*").alias("_k"))
+    chunks = read_edf(spark, path, sorted({label for _, label, _ in parts}), chunk_seconds, skip_bad=True)
+    scaled = chunks.join(F.broadcast(weights), ["path", "ch"]).select("path", "t0", "fs", F.transform("x", lambda v: v * F.col("w")).alias("x"))
+    rows = scaled.select("path", "t0", "fs", F.posexplode("x").alias("i", "v")).groupBy("path", "t0", "fs", "i").agg(F.sum("v").alias("v"), F.count("*").alias("_n"))
+    rows = rows.join(F.broadcast(count), "path").where("_n = _k")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda z: z["v"])
+    return rows.groupBy("path", "t0", "fs").agg(ordered.alias("x"))
 
 
 def evaluate(samples: DataFrame, weights: dict[str, float], by: list[str], channel: str = "ch", value: str = "x", name: str = "x") -> DataFrame:
