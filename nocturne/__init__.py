@@ -1 +1,3 @@
-"""Analytics engine for long physiological recordings, expressed as Spark DataFrames."""
+"""An analytics engine for long physiological recordings on Spark."""
+
+__version__ = "0.2.0"
