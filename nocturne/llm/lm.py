@@ -33,7 +33,7 @@ from .scratch import Scratch
 from .text import LOWER, Ranges, binaries, distinct, gathered, same_bytes, sized, utf8, words
 
 END, IDS = 50_256, 50_257
-CONTEXT, BLOCK, WIDTH, CLASSES, GROUPS = 16, 16, 12, 768, 48
+CONTEXT, BLOCK, WIDTH, CLASSES, GROUPS = 16, 16, 12, 768, 32
 OWN, NEAR, LEAST = 576, 64, 20
 HEAD, LONG, MEMO = 1 << 18, 32, 300_000
 ROUNDS, SHARD_BYTES, BUFFER, BATCH, RATE, SETTLE = 3, 32 << 20, 8_192, 128, 3e-2, 150
@@ -398,12 +398,16 @@ def _class_pairs(shared):
 def windows_of(c: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Windows of CONTEXT + 1 from the classes of texts in a row: each begins with the class before (at a text, the
     end's) and they lie end to end, so that every class but it is in one window; -1 pads the last of a text."""
-    begin = np.cumsum(size) - size
     each = -(-size // CONTEXT)
-    at = np.repeat(begin, each) + (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)) * CONTEXT
-    place = at[:, None] + np.arange(CONTEXT + 1)[None, :]
-    held = np.concatenate([c[-1:], c, np.full(CONTEXT + 1, -1, c.dtype)])  # a text ends with an end, so one is before each
-    return np.where(place <= np.repeat(begin + size, each)[:, None], held[np.minimum(place, len(held) - 1)], c.dtype.type(-1))
+    out = np.full((int(each.sum()), CONTEXT + 1), -1, c.dtype)
+    if not len(out):
+        return out
+    skipped = (np.cumsum(each) - each) * CONTEXT - (np.cumsum(size) - size)  # places left open before each text
+    place = np.arange(len(c), dtype=np.int32) + np.repeat(skipped.astype(np.int32), size)
+    out.ravel()[place + place // CONTEXT + 1] = c
+    out[1:, 0] = out[:-1, -1]
+    out[np.cumsum(each) - each, 0] = c[-1]  # a text ends with an end, so one is before each
+    return out
 
 
 def _stored(batch) -> tuple[np.ndarray, np.ndarray]:
@@ -532,9 +536,9 @@ def lm_scores(docs: DataFrame, train, ranks: str | None = None, vocabulary: str
     first = seen.where(F.col("kind") == DOCUMENT).select("doc_id", "text", "ids", F.monotonically_increasing_id().alias("rid")).mapInArrow(_score(shared), "rid long, doc_id long, n_tokens long, known long, base double, score double, rest array<binary>")
     first = scratch.save(first, "scored")
     scratch.drop(seen)
-    rest = first.select("rid", F.explode("rest").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("n")).join(counts, "word", "left")
+    rest = first.select("rid", F.explode("rest").alias("word")).join(counts, "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
-    rest = rest.groupBy("rid").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct_ + 1)))).alias("b"))
+    rest = rest.groupBy("rid").agg(F.count_if(c > 0).alias("k"), F.sum(F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct_ + 1)))).alias("b"))
     out = first.drop("rest").join(rest, "rid", "left")
     end = float(base(ends))
     return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b", F.lit(0.0)) + F.lit(end)).alias("base_score"), "score")
