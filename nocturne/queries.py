@@ -374,10 +374,11 @@ def peak_rate(spark, sf):
 
 @query()
 def extract_peaks(spark, sf):
-    from .operators import peaks as found
+    """Peaks of the whole image over its baseline, in segments of 50 columns."""
+    from .operators.peaks import extract
 
-    px = image(spark, sf).withColumn("rec", F.lit(1)).withColumn("segment", (F.floor(F.col("t_idx") / 50) + 1).cast("int"))
-    return found.peak_table(found.label_segments(px), 0.5, 0.25)
+    px = image(spark, sf).withColumn("rec", F.lit(1))
+    return extract(px, 0.5, 0.25, baseline=quantile.hazen(px, ["rec", "f_idx"], "power", 0.02), longest=50, duration=(0.5, 20.0), bandwidth=(0.25, 10.0)).peaks
 
 
 @query()

@@ -158,3 +158,20 @@ def test_extraction(spark):
     assert kept.count() == 16 * 90
     inside = kept.where("power > 0").count()
     assert 0 < inside < out.labels.count()
+
+
+def test_extraction_equals_the_entry_point_on_arrays(spark):
+    from nocturne import arrays
+    from nocturne.operators.peaks import extract
+
+    rng = np.random.default_rng(5)
+    image = hill((20, 100), (8, 15, 3, 10.0), (12, 50, 3, 8.0), (8, 85, 3, 6.0)) + 0.2 * rng.random((20, 100))
+    rows, labels = arrays.extract_peaks(image, 7 + 0.5 * np.arange(100), 2 + 0.25 * np.arange(20), None, 17.0, (0.6, 50.0), (0.3, 10.0), threshold=4.0, stride=(1, 1))
+    px = spark.createDataFrame([("a", t, f, float(image[f, t])) for f in range(20) for t in range(100)], "rec string, t_idx long, f_idx long, power double")
+    out = extract(px, 0.5, 0.25, 7.0, 2.0, None, 34, (0.6, 50.0), (0.3, 10.0), threshold=4.0)
+    got = out.peaks.orderBy("peak_id").collect()
+    assert len(got) == len(rows) > 3
+    for r, e in zip(got, rows, strict=True):
+        for c in ("peak_time", "peak_freq", "duration", "bandwidth", "height", "volume", "area", "bbox_t", "bbox_f"):
+            assert abs(r[c] - e[c]) < 1e-9, c
+    assert {(r.f_idx, r.t_idx, r.peak_id) for r in out.labels.collect()} == {(int(f), int(t), int(labels[f, t])) for f, t in zip(*np.nonzero(labels), strict=True)}
