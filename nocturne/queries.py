@@ -381,22 +381,4 @@ def extract_peaks(spark, sf):
     return extract(px, 0.5, 0.25, baseline=quantile.hazen(px, ["rec", "f_idx"], "power", 0.02), longest=50, duration=(0.5, 20.0), bandwidth=(0.25, 10.0)).peaks
 
 
-@query()
-def band_envelope(spark, sf):
-    """Amplitude and phase of the samples of each recording, band-passed with zero phase."""
-    import numpy as np
-    import pyarrow as pa
-
-    from .kernels.filters import analytic, cheby1_sos, sosfiltfilt
-
-    sos = cheby1_sos(2, 0.2, (0.1, 0.4), 2.0, "bandpass")
-
-    def run(table):
-        table = table.sort_by("t")
-        z = analytic(sosfiltfilt(sos, table.column("v").to_numpy()))
-        return table.append_column("amplitude", pa.array(np.abs(z))).append_column("phase", pa.array(np.angle(z)))
-
-    return samples(spark, sf).select("user_id", "t", "v").groupBy("user_id").applyInArrow(run, "user_id long, t double, v double, amplitude double, phase double")
-
-
 from . import queries_groups, queries_images, queries_sources  # noqa: E402, F401

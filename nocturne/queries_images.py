@@ -176,3 +176,85 @@ def extent_cuts(spark, sf):
     px = image(spark, sf).where("power > 3").select(F.floor(F.col("t_idx") / 12).alias("a"), F.floor(F.col("f_idx") / 9).alias("b"), "t_idx", "f_idx")
     return series.extent_cut(px, ["a", "b"], "t_idx", "f_idx", (0.5, 0.25), (2.5, 1.0))
 
+
+
+# --- zero-phase filters -----------------------------------------------------------------------------------------------
+
+
+def _sections(sos: np.ndarray) -> str:
+    """SQL of the zero-phase filter over s (user_id, i, v): forward and backward through each section as recursions over
+    the samples, after odd reflection; the last table is y<number of sections>."""
+    from .kernels.filters import steady_state
+
+    order = sum(2 if r[2] or r[5] else 1 for r in sos)
+    out = ["n AS (SELECT user_id, count(*) AS n, least(greatest(1, 3 * {0}), count(*) - 1) AS pad FROM s GROUP BY user_id HAVING count(*) > 1)".format(order), "y0 AS (SELECT user_id, i, v FROM s JOIN n USING (user_id))"]
+    for k, r in enumerate(sos, 1):
+        b, a = (r[:3] / r[3]).tolist(), (r[3:] / r[3]).tolist()
+        zi = steady_state(np.array(b), np.array(a)).tolist()
+        step = lambda x, z1, z2: f"{b[0]!r} * {x} + {z1} AS y, {b[1]!r} * {x} - {a[1]!r} * ({b[0]!r} * {x} + {z1}) + {z2} AS z1, {b[2]!r} * {x} - {a[2]!r} * ({b[0]!r} * {x} + {z1}) AS z2"  # noqa: B023, E731
+        first = lambda x: step(x, f"{zi[0]!r} * {x}", f"{zi[1]!r} * {x}")  # noqa: B023, E731
+        p = f"y{k - 1}"
+        out += [
+            f"e{k} AS MATERIALIZED (SELECT user_id, i AS j, v AS x FROM {p} UNION ALL SELECT a.user_id, -a.i, 2 * b.v - a.v FROM {p} a JOIN n USING (user_id) JOIN {p} b ON b.user_id = a.user_id AND b.i = 0 WHERE a.i BETWEEN 1 AND pad UNION ALL SELECT a.user_id, 2 * (n - 1) - a.i, 2 * b.v - a.v FROM {p} a JOIN n USING (user_id) JOIN {p} b ON b.user_id = a.user_id AND b.i = n - 1 WHERE a.i BETWEEN n - 1 - pad AND n - 2)",
+            f"f{k} AS (SELECT e.user_id, j, {first('x')} FROM e{k} e JOIN n ON n.user_id = e.user_id AND j = -pad UNION ALL SELECT e.user_id, e.j, {step('x', 'f.z1', 'f.z2')} FROM f{k} f JOIN e{k} e ON e.user_id = f.user_id AND e.j = f.j + 1)",
+            f"m{k} AS MATERIALIZED (SELECT user_id, j, y AS x FROM f{k})",
+            f"g{k} AS (SELECT e.user_id, j, {first('x')} FROM m{k} e JOIN n ON n.user_id = e.user_id AND j = n.n - 1 + pad UNION ALL SELECT e.user_id, e.j, {step('x', 'g.z1', 'g.z2')} FROM g{k} g JOIN m{k} e ON e.user_id = g.user_id AND e.j = g.j - 1)",
+            f"y{k} AS MATERIALIZED (SELECT g.user_id, j AS i, y AS v FROM g{k} g JOIN n ON n.user_id = g.user_id AND j BETWEEN 0 AND n.n - 1)",
+        ]
+    return ",\n ".join(out)
+
+
+def _band():
+    from .kernels.filters import cheby1_sos
+
+    return cheby1_sos(2, 0.2, (0.1, 0.4), 2.0, "bandpass")
+
+
+@query(f"WITH RECURSIVE {NUMBERED}, {_sections(_band())} SELECT user_id, i, round(v, 4) + 0.0 AS filtered FROM y{len(_band())}")
+def zero_phase_filter(spark, sf):
+    """The samples of each recording, band-passed forward and backward; recordings of one sample are left out."""
+    import pyarrow as pa
+
+    from .kernels.filters import sosfiltfilt
+
+    def run(table):
+        table = table.sort_by("t")
+        return table.append_column("y", pa.array(sosfiltfilt(_band(), table.column("v").to_numpy()))).slice(0, None if table.num_rows > 1 else 0)
+
+    out = _even(spark, sf).groupBy("user_id").applyInArrow(run, "user_id long, t double, v double, y double")
+    return out.select("user_id", F.col("t").cast("long").alias("i"), (F.round("y", 4) + 0.0).alias("filtered"))
+
+
+@query(f"""WITH RECURSIVE {NUMBERED}, {_sections(_band())}, z AS MATERIALIZED (SELECT y.user_id, i, v, n.n FROM y{len(_band())} y JOIN n ON n.user_id = y.user_id), c AS (SELECT user_id, f, n, sum(v * cos(2 * pi() * f * i / n)) AS re, -sum(v * sin(2 * pi() * f * i / n)) AS im FROM z, range(400) q(f) WHERE f < n GROUP BY ALL),
+ h AS MATERIALIZED (SELECT *, CASE WHEN f = 0 OR 2 * f = n THEN 1 WHEN 2 * f < n THEN 2 ELSE 0 END AS w FROM c)
+SELECT z.user_id, z.i, round(v, 4) + 0.0 AS filtered, round(sqrt(pow(sum(w * (re * cos(2 * pi() * f * z.i / z.n) - im * sin(2 * pi() * f * z.i / z.n))) / z.n, 2) + pow(sum(w * (re * sin(2 * pi() * f * z.i / z.n) + im * cos(2 * pi() * f * z.i / z.n))) / z.n, 2)), 4) + 0.0 AS amplitude FROM z JOIN h ON h.user_id = z.user_id GROUP BY z.user_id, z.i, z.v, z.n""")
+def band_envelope(spark, sf):
+    """The samples of each recording, band-passed with zero phase, and the amplitude of their analytic signal."""
+    import pyarrow as pa
+
+    from .kernels.filters import analytic, sosfiltfilt
+
+    def run(table):
+        table = table.sort_by("t")
+        y = sosfiltfilt(_band(), table.column("v").to_numpy())
+        out = table.append_column("y", pa.array(y)).append_column("a", pa.array(np.abs(analytic(y))))
+        return out.slice(0, None if table.num_rows > 1 else 0)
+
+    out = _even(spark, sf).groupBy("user_id").applyInArrow(run, "user_id long, t double, v double, y double, a double")
+    return out.select("user_id", F.col("t").cast("long").alias("i"), (F.round("y", 4) + 0.0).alias("filtered"), (F.round("a", 4) + 0.0).alias("amplitude"))
+
+
+@query(f"""WITH RECURSIVE {NUMBERED}, r AS (SELECT user_id, i, v AS lo, v AS hi, 0 AS run FROM s WHERE i = 0 UNION ALL SELECT s.user_id, s.i, CASE WHEN greatest(hi, v) - least(lo, v) <= 120 THEN least(lo, v) ELSE v END, CASE WHEN greatest(hi, v) - least(lo, v) <= 120 THEN greatest(hi, v) ELSE v END, CASE WHEN greatest(hi, v) - least(lo, v) <= 120 THEN run ELSE run + 1 END FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)
+SELECT user_id, i, count(*) OVER (PARTITION BY user_id, run) >= 3 AS flat FROM r""")
+def flat_runs_within(spark, sf):
+    """Runs of at least 3 samples that grow while they span at most 120."""
+    import pyarrow as pa
+
+    from .kernels.artifacts import flat_runs
+
+    def run(table):
+        table = table.sort_by("t")
+        return table.append_column("flat", pa.array(flat_runs(table.column("v").to_numpy(), 3, 120.0)))
+
+    out = _even(spark, sf).groupBy("user_id").applyInArrow(run, "user_id long, t double, v double, flat boolean")
+    return out.select("user_id", F.col("t").cast("long").alias("i"), "flat")
