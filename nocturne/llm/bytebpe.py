@@ -24,7 +24,7 @@ from .scratch import small_batches
 from .text import Ranges, distinct, gathered, lists, same_bytes, sized, utf8
 
 RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 
 
 def public_path(name: str) -> str:

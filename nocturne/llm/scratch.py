@@ -37,7 +37,7 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def small_batches(spark: SparkSession) -> None:
