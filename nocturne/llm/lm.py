@@ -462,7 +462,8 @@ def _score(shared):
             place[far] = np.arange(len(far))
             rest = part.keys(far).take(pa.array(place[part.back[~seen]]))
             ends = np.concatenate([[0], np.cumsum(np.bincount(part.row[~seen], minlength=texts))]).astype(np.int32)
-            columns = [pa.array(np.bincount(part.row, minlength=texts) + 1), pa.array(np.bincount(part.row[seen], minlength=texts)), pa.array(np.bincount(part.row, of_word[part.back], texts)), pa.array(np.bincount(text, log, texts) / np.log(10))]
+            found = np.bincount(part.row, of_word[part.back], texts).astype(np.float64)  # whole numbers where there are no words
+            columns = [pa.array(np.bincount(part.row, minlength=texts) + 1), pa.array(np.bincount(part.row[seen], minlength=texts)), pa.array(found), pa.array(np.bincount(text, log, texts) / np.log(10))]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), *columns, pa.ListArray.from_arrays(pa.array(ends), rest)], ["rid", "doc_id", "n_tokens", "known", "base", "score", "rest"])
 
     return run
