@@ -89,16 +89,18 @@ class Memo:
         self.body, self.body_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
     def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
-        _, first = np.unique(h, return_index=True)
+        one, first = np.unique(h, return_index=True)
+        at = np.searchsorted(self.known, one)
+        inside = at < len(self.known)
+        new = ~inside
+        new[inside] = self.known[at[inside]] != one[inside]  # a hash stands for one string
         keep = np.zeros(len(h), bool)
-        keep[first] = ~np.isin(h[first], self.known)  # a hash stands for one string
+        keep[first] = new
         body, bounds = gathered(data, start[keep], end[keep])
-        number = len(self.ends) - 1 + np.arange(keep.sum())
+        number = np.cumsum(keep) - 1 + len(self.ends) - 1
         self.ids, self.ends = np.concatenate([self.ids, ids[np.repeat(keep, n)]]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(n[keep])])
         self.body, self.body_ends = np.concatenate([self.body, body]), np.concatenate([self.body_ends, self.body_ends[-1] + bounds[1:]])
-        self.known, self.where = np.concatenate([self.known, h[keep]]), np.concatenate([self.where, number])
-        order = np.argsort(self.known)
-        self.known, self.where = self.known[order], self.where[order]
+        self.known, self.where = np.insert(self.known, at[new], one[new]), np.insert(self.where, at[new], number[first[new]])
 
     def find(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Numbers of the distinct strings data[start:end] with hashes h, -1 for those that are not held."""

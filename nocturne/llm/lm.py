@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ OWN, NEAR, LEAST = 576, 64, 20
 HEAD, LONG, MEMO = 1 << 18, 32, 300_000
 ROUNDS, SHARD_BYTES, BUFFER, BATCH, RATE, SETTLE = 3, 32 << 20, 8_192, 128, 3e-2, 150
 SEGMENT = 4_096
+LIMIT = 60  # exponents lie within it, so that no sum of their powers is 0 or infinite
 HELD = 5
 DOCUMENT, WORDS, PAIRS, BYTES = range(4)  # kinds of rows of the first pass
 
@@ -75,8 +77,8 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
 def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, s in shapes().items():
-        n = int(np.prod(s))
-        out[k] = x[at : at + n].reshape(s).astype(np.float32)
+        n = math.prod(s)
+        out[k] = x[at : at + n].reshape(s).astype(np.float32, copy=False)
         at += n
     return out
 
@@ -89,17 +91,17 @@ def gradient(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, c:
     x = x.ravel()
     scale = shares.dtype.type(WIDTH**-0.5)
     e = p["emb"].take(x, axis=0)
-    into = np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1)
-    q, k, v = np.ascontiguousarray((e @ into).reshape(n, t, 3, WIDTH).transpose(2, 0, 1, 3))
+    into = {"q": p["q"] * scale, "k": p["k"], "v": p["v"]}
+    q, k, v = ((e @ w).reshape(n, t, WIDTH) for w in into.values())
     gap = np.arange(t)[:, None] - np.arange(t)[None, :]
     a = q @ k.transpose(0, 2, 1)
-    np.exp(np.minimum(a, 60, out=a), out=a)
+    np.exp(np.clip(a, -LIMIT, LIMIT, out=a), out=a)
     a *= np.where(gap >= 0, np.exp(p["rel"])[np.maximum(gap, 0)], 0)
-    a *= 1 / (a @ np.ones((t, 1), a.dtype))
+    a *= (1 / (a.reshape(-1, t) @ np.ones(t, a.dtype))).reshape(n, t, 1)
     av = (a @ v).reshape(-1, WIDTH)
     h = av @ p["o"]
     z = h @ p["out"]
-    np.exp(np.minimum(z, 60, out=z), out=z)
+    np.exp(np.clip(z, -LIMIT, LIMIT, out=z), out=z)
     z *= shares.take(x, axis=0)
     all_ = z @ np.ones(z.shape[1], z.dtype)
     at = np.arange(n * t), y
@@ -116,10 +118,12 @@ def gradient(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, c:
     ds -= np.einsum("ijk,ijk->ij", ds, a)[:, :, None]
     ds *= a  # 0 ahead
     g["rel"] = np.bincount(np.maximum(gap, 0).ravel(), ds.sum(axis=0).ravel(), t).astype(z.dtype)
-    back = np.stack([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dav], axis=2).reshape(n * t, 3 * WIDTH)
-    g["q"], g["k"], g["v"] = np.split(e.T @ back, 3, axis=1)
-    g["q"] = g["q"] * scale
-    de = back @ into.T
+    de = np.zeros_like(e)
+    for name, back in (("q", ds @ k), ("k", ds.transpose(0, 2, 1) @ q), ("v", a.transpose(0, 2, 1) @ dav)):
+        back = back.reshape(-1, WIDTH)
+        g[name] = e.T @ back
+        de += back @ into[name].T
+    g["q"] *= scale
     order = np.argsort(x, kind="stable")
     first = np.flatnonzero(np.append(True, x[order][1:] != x[order][:-1]))
     g["emb"] = np.zeros_like(p["emb"])
@@ -167,11 +171,11 @@ class Trainer:
 def _attend(p: dict[str, np.ndarray], x: np.ndarray, text: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """What attention adds, for all places of x but the first CONTEXT - 1; their number is a multiple of BLOCK."""
     back = CONTEXT - 1
-    e = p["emb"][x]
+    e = p["emb"].take(x, axis=0)
     q, k, v = (e[back:] @ (p["q"] * np.float32(WIDTH**-0.5))).reshape(-1, BLOCK, WIDTH), e @ p["k"], e @ p["v"]
     view = lambda a: np.lib.stride_tricks.sliding_window_view(a, back + BLOCK, axis=0)[::BLOCK]
     s = q @ view(k)
-    np.exp(np.minimum(s, 60, out=s), out=s)
+    np.exp(np.clip(s, -LIMIT, LIMIT, out=s), out=s)
     s *= bias
     near = view(text)
     mixed = np.flatnonzero(near[:, 0] != near[:, -1])  # blocks that touch more than one text
@@ -179,8 +183,9 @@ def _attend(p: dict[str, np.ndarray], x: np.ndarray, text: np.ndarray, bias: np.
         own = text[back:].reshape(-1, BLOCK)[mixed]
         s[mixed] *= own[:, :, None] == near[mixed][:, None, :]
     a = s @ view(v).transpose(0, 2, 1)
-    a *= 1 / (s @ np.ones((s.shape[2], 1), s.dtype))
-    return a.reshape(-1, WIDTH) @ p["o"]
+    a = a.reshape(-1, WIDTH)
+    a *= 1 / (s.reshape(-1, s.shape[2]) @ np.ones((s.shape[2], 1), s.dtype))
+    return a @ p["o"]
 
 
 def class_scores(p: dict[str, np.ndarray], pair: np.ndarray, group: np.ndarray, x: np.ndarray, y: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -193,15 +198,15 @@ def class_scores(p: dict[str, np.ndarray], pair: np.ndarray, group: np.ndarray,
     xs, ts = pad(x, 0), pad(text, -1)
     gap = np.arange(BLOCK)[:, None] + back - np.arange(back + BLOCK)[None, :]
     bias = np.where((gap >= 0) & (gap < CONTEXT), np.exp(p["rel"])[np.clip(gap, 0, CONTEXT - 1)], 0).astype(np.float32)
-    shares, out = by_group(pair, group), np.empty(n, np.float32)
+    shares, out, held = by_group(pair, group), np.empty(n, np.float32), np.empty((SEGMENT, GROUPS), np.float32)
     for lo in range(0, blocks * BLOCK, SEGMENT):
         hi = min(lo + SEGMENT, blocks * BLOCK)
         z = (_attend(p, xs[lo : hi + back], ts[lo : hi + back], bias) @ p["out"])[: n - lo]
         before, after = x[lo:hi], y[lo:hi]
-        np.minimum(z, 60, out=z)
+        np.clip(z, -LIMIT, LIMIT, out=z)
         own = z[np.arange(len(z)), group[after]]
         np.exp(z, out=z)
-        out[lo:hi] = own + pair[before, after] - np.log(np.einsum("ij,ij->i", z, shares.take(before, axis=0)))
+        out[lo:hi] = own + pair[before, after] - np.log(np.einsum("ij,ij->i", z, shares.take(before, axis=0, out=held[: len(z)], mode="clip")))
     return out
 
 

@@ -322,6 +322,22 @@ def test_lm_baseline(spark):
         assert r.score < 0
 
 
+def test_lm_stays_finite_far_below_zero():
+    """Places whose products are all so low that the power of each is 0: the first of a text sees itself alone."""
+    rng, p, pair, group = lm_model(8)
+    for low in ("k", "out"):
+        p[low] = -40 * np.abs(p[low])
+    p["emb"], p["q"], p["v"], p["o"] = (3 * np.abs(p[w]) for w in ("emb", "q", "v", "o"))
+    c = rng.integers(0, lm.CLASSES, (3, lm.CONTEXT + 1))
+    _, g = lm.gradient(p, lm.by_group(pair, group), group, c)
+    assert all(np.isfinite(x).all() for x in g.values())
+    x = rng.integers(0, lm.CLASSES, 40)
+    of = np.repeat([0, 1, 2], [1, 19, 20])
+    assert np.isfinite(lm.class_scores(p, pair, group, x, np.roll(x, -1), of)).all()
+    every = np.array([lm.class_scores(p, pair, group, x, np.full(40, y), of) for y in range(lm.CLASSES)])
+    assert np.exp(every.astype(float)).sum(axis=0) == pytest.approx(np.ones(40), rel=1e-3)
+
+
 def test_lm_windows_hold_every_training_id_once():
     import pyarrow as pa
 
