@@ -81,9 +81,9 @@ def _lines(spark, sf, value):
  d AS (SELECT *, sum(CASE WHEN clock < coalesce(before, begin) THEN 86400.0::DOUBLE ELSE 0 END) OVER (PARTITION BY user_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS days FROM b)
 SELECT user_id::VARCHAR AS path, line::INTEGER AS line, clock + days - begin AS t, stage FROM d WHERE stage IS NOT NULL""")
 def staging_clock(spark, sf):
-    """Clock strings with quoted fields; names in every spelling."""
+    """Clock strings with quoted fields; names in every spelling; two events of one second are two rows."""
     clock = F.format_string("%02d:%02d:%02d", F.floor(F.col("clock") / 3600), F.floor(F.col("clock") % 3600 / 60), F.col("clock") % 60)
-    return staging.parse_staging(_lines(spark, sf, lambda name: F.concat(F.lit('"a, b", '), clock, F.lit(' ,"'), name, F.lit('"'))), time_col=2, stage_col=3)
+    return staging.parse_staging(_lines(spark, sf, lambda name: F.concat(F.lit('"a, b", '), clock, F.lit(' ,"'), name, F.lit('"'))), time_col=2, stage_col=3, unique=False)
 
 
 @query(f"WITH {LINES} SELECT user_id::VARCHAR AS path, line::INTEGER AS line, (line + 1) * 20.0 AS t, stage FROM e WHERE stage IS NOT NULL AND (SELECT count(*) FROM e x WHERE x.user_id = e.user_id) > 1")

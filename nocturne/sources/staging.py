@@ -32,13 +32,13 @@ def read_staging(spark: SparkSession, path, **options) -> DataFrame:
     return parse_staging(rows, **options)
 
 
-def parse_staging(lines: DataFrame, time_col: int = 1, stage_col: int = 2, header_lines: int = 0, delimiter: str = ",", epoch_seconds: float = 30.0, start_time: str | None = None, aliases: dict[str, int] | None = None, recording_seconds: float | None = None, names: dict[int, list[str]] | None = None) -> DataFrame:
+def parse_staging(lines: DataFrame, time_col: int = 1, stage_col: int = 2, header_lines: int = 0, delimiter: str = ",", epoch_seconds: float = 30.0, start_time: str | None = None, aliases: dict[str, int] | None = None, recording_seconds: float | None = None, names: dict[int, list[str]] | None = None, unique: bool = True) -> DataFrame:
     """lines (path, line from 0, value) -> (path, line, t, stage): t in seconds from the start of the recording.
 
     Times are numbers if all of them are, else clock strings. Numbers are epochs if they are whole, in order and the upper
     median of their steps is 1, else seconds. Clocks are taken from start_time, or from the first one, a day on where
-    they fall back. Names that are no stage drop the line; two stages at one time are an error. Fields may be quoted, and
-    hold the delimiter then; quotes and spaces around them are taken off. With start_time, unknown (0) holds from 0 to
+    they fall back. Names that are no stage drop the line; two stages at one time are an error, or both rows where times need
+    not be ``unique``. Fields may be quoted, and hold the delimiter then; quotes and spaces around them are taken off. With start_time, unknown (0) holds from 0 to
     the first stage. A clock that begins before start_time is of the next day; with recording_seconds, if that is past
     the recording's end, ValueError is raised."""
     known = stage_names(names) | {k.lower(): v for k, v in (aliases or {}).items()}
@@ -69,5 +69,7 @@ def parse_staging(lines: DataFrame, time_col: int = 1, stage_col: int = 2, heade
     if start_time is not None:
         first = out.groupBy("path").agg(F.min_by("t", "line").alias("t")).where("t <> 0")
         out = out.unionByName(first.select("path", F.lit(-1).alias("line"), F.lit(0.0).alias("t"), F.lit(0).alias("stage")))
+    if not unique:
+        return out
     twice = F.col("t") == F.lag("t").over(Window.partitionBy("path").orderBy("line"))
     return out.withColumn("_twice", F.coalesce(twice, F.lit(False))).withColumn("t", F.when(F.col("_twice"), F.raise_error(F.lit("two stages at one time")).cast("double")).otherwise(F.col("t"))).drop("_twice")
