@@ -31,6 +31,12 @@ def round_sig(x: Column, digits: int | Column) -> Column:
     return F.when((x == 0) | finite(x).isNull(), x).otherwise(F.round(x * scale) / scale)
 
 
+def over(x: Column, d: Column) -> Column:
+    """x / d as floating-point hardware has it: infinite or NaN where d is 0."""
+    by_zero = F.when(x > 0, float("inf")).when(x < 0, float("-inf")).when(x.isNotNull(), float("nan"))
+    return F.when(d == 0, by_zero).otherwise(x / F.when(d != 0, d))
+
+
 def time_digits(fs: Column) -> Column:
     """Significant digits of times at a sampling rate: ceil(log10 fs) + 6 within 6 and 12; 8 if fs is no rate."""
     ok = finite(fs).isNotNull() & (fs > 0)
