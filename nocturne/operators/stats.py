@@ -128,9 +128,15 @@ def permutation_grid(df: DataFrame, by: list[str], bin_: str, subject: str, grou
     has a value for each bin and subject, and its permutations share one bound."""
     rows = df.select(*by, bin_, subject, F.col(group).cast("int").alias("_g"), F.col(value).cast("double").alias("_v"))
 
+    def numbered(column, of):
+        """Distinct values in order, and the number of each row's."""
+        d = column.combine_chunks().dictionary_encode("encode")
+        names, at = np.unique(of(d.dictionary), return_inverse=True)
+        return names, at[d.indices.to_numpy()]
+
     def run(table):
-        names, at = np.unique(table.column(bin_).to_numpy(), return_inverse=True)
-        who, of = np.unique(np.array([str(x) for x in table.column(subject).to_pylist()]), return_inverse=True)
+        names, at = numbered(table.column(bin_), lambda x: x.to_numpy(zero_copy_only=False))
+        who, of = numbered(table.column(subject), lambda x: np.array([str(v) for v in x.to_pylist()]))
         g = table.column("_g").to_numpy()
         sides = []
         for side in (1, 2):

@@ -92,6 +92,22 @@ def test_permutation_finds_the_planted_bin():
     assert hits <= 7
 
 
+@pytest.mark.parametrize("m,n,limit", [(5_000, 60, None), (300, 1_000, 1 << 63), (70, 4_000, None), (3, 5, None)])
+def test_shuffles_are_those_of_the_generator(monkeypatch, m, n, limit):
+    """Also where half of all draws are thrown away; many items are not shuffled a step at a time."""
+    from nocturne.kernels import permutation
+
+    if limit:
+        monkeypatch.setattr(permutation, "last", lambda n: limit + 0 * n)
+    draw, items, expected = permutation.Xoshiro(9), list(range(m)), []
+    for _ in range(n):
+        draw.shuffle(items)
+        expected.append(list(items))
+    if m * n >= 1 << 18:
+        monkeypatch.delattr(permutation.Xoshiro, "shuffle")
+    assert [x.tolist() for x in permutation.shuffles(9, m, n)] == expected
+
+
 def test_bsplines():
     from nocturne.kernels import bspline
 
