@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .watershed import _shifted, components, outline
+from .watershed import SMALL, _shifted, components, outline
 
 FOUR = ((-1, 0), (1, 0), (0, -1), (0, 1))
 
@@ -33,7 +33,18 @@ def grow(label: np.ndarray, steps: int) -> np.ndarray:
 
 def _filled(mask: np.ndarray) -> np.ndarray:
     """The mask and the holes that are not joined to the outside up, down or sideways."""
-    wide = np.pad(mask, 1)
+    wide = np.zeros((mask.shape[0] + 2, mask.shape[1] + 2), bool)
+    wide[1:-1, 1:-1] = mask
+    if mask.size <= SMALL:
+        met, step, ahead = wide.ravel().tolist(), wide.shape[1], [0]
+        met[0] = True
+        while ahead:
+            p = ahead.pop()
+            for q in (p - 1, p + 1, p - step, p + step):
+                if 0 <= q < len(met) and not met[q]:
+                    met[q] = True
+                    ahead.append(q)
+        return mask | ~np.array(met).reshape(wide.shape)[1:-1, 1:-1]
     outside = np.zeros(wide.shape, bool)
     outside[0, :] = outside[-1, :] = outside[:, 0] = outside[:, -1] = True
     while True:
@@ -52,11 +63,18 @@ def trim(label: np.ndarray, value: np.ndarray, keep: float = 0.8, floor: float |
     flat, or have no volume, stay whole. Later labels lie over earlier ones."""
     floor = np.nanmin(value) if floor is None or floor != floor else floor
     out = np.zeros(label.shape, np.int64)
-    for k in np.unique(label[label > 0]).tolist():
-        r, c = np.nonzero(label == k)
-        if len(r) < 2:
+    r, c = np.nonzero(label > 0)
+    order = np.argsort(label[r, c], kind="stable")
+    k_of, r, c = label[r, c][order], r[order], c[order]
+    first = np.flatnonzero(np.append(len(k_of) > 0, k_of[1:] != k_of[:-1])[: len(k_of)])
+    if not len(first):
+        return out
+    size = np.diff(np.append(first, len(k_of)))
+    boxes = zip(k_of[first].tolist(), size.tolist(), *(f.reduceat(x, first).tolist() for x in (r, c) for f in (np.minimum, np.maximum)), strict=True)
+    for k, n, r0, r1, c0, c1 in boxes:
+        if n < 2:
             continue
-        box = np.s_[r.min() : r.max() + 1, c.min() : c.max() + 1]
+        box = np.s_[r0 : r1 + 1, c0 : c1 + 1]
         own = label[box] == k
         volume = np.where(own, np.maximum(np.nan_to_num(value[box] - floor), 0), 0.0)
         v = np.sort(volume[own])

@@ -76,12 +76,19 @@ def wide_enough(label: np.ndarray, least, steps) -> list[int]:
     return names[(span(t) * steps[0] > least[0]) & (span(f) * steps[1] > least[1])].tolist()
 
 
+def _measured(labels: DataFrame, dt: float, df: float, rec: str, segment: str, t0: float, f0: float) -> DataFrame:
+    """One row a region, in one aggregate, so that the labels are found once."""
+    out = series.regions(labels, [rec, segment, "label"], "t_idx", "f_idx", "power", dt, df, corner=True)
+    return out.withColumns({"peak_time": F.col("peak_time") + t0, "peak_freq": F.col("peak_freq") + f0, "bbox_t": F.col("t_lo") * dt + t0, "bbox_f": F.col("f_lo") * df + f0}).drop("t_lo", "f_lo")
+
+
+def _numbered(regions: DataFrame, rec: str, segment: str) -> DataFrame:
+    return regions.withColumn("peak_id", F.row_number().over(Window.partitionBy(rec).orderBy(segment, "label")))
+
+
 def peak_table(labels: DataFrame, dt: float, df: float, rec: str = "rec", segment: str = "segment", t0: float = 0.0, f0: float = 0.0) -> DataFrame:
     """One row a region, numbered through each recording by segment and label; t0, f0: time and frequency of pixel 0."""
-    out = series.regions(labels, [rec, segment, "label"], "t_idx", "f_idx", "power", dt, df)
-    box = labels.groupBy(rec, segment, "label").agg((F.min("t_idx") * dt + t0).alias("bbox_t"), (F.min("f_idx") * df + f0).alias("bbox_f"))
-    out = out.join(box, [rec, segment, "label"]).withColumns({"peak_time": F.col("peak_time") + t0, "peak_freq": F.col("peak_freq") + f0})
-    return out.withColumn("peak_id", F.row_number().over(Window.partitionBy(rec).orderBy(segment, "label")))
+    return _numbered(_measured(labels, dt, df, rec, segment, t0, f0), rec, segment)
 
 
 @dataclass(frozen=True)
@@ -104,8 +111,8 @@ def extract(px: DataFrame, dt: float, df: float, t0: float = 0.0, f0: float = 0.
     whole = px.groupBy("rec").agg((F.max("t_idx") + 1).cast("double").alias("_n"))
     px = series.segments(_on(px, whole, ["rec"]), ["rec"], "t_idx", "_n", longest, "segment").drop("_n")
     labels = label_segments(px, least=(max(duration[0], 0.0), max(bandwidth[0], 0.0)), steps=(dt, df), **kernel)
-    peaks = series.filter_peaks(peak_table(labels, dt, df, t0=t0, f0=f0), duration, bandwidth, frequency, least_db)
-    peaks = series.renumber(peaks, ["rec"], "peak_id", "peak_id")
+    peaks = series.filter_peaks(_measured(labels, dt, df, "rec", "segment", t0, f0), duration, bandwidth, frequency, least_db)
+    peaks = _numbered(peaks, "rec", "segment")
     return Extraction(peaks, labels.join(peaks.select("rec", "segment", "label", "peak_id"), ["rec", "segment", "label"]))
 
 

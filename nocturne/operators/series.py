@@ -63,9 +63,9 @@ def regional_minima(px: DataFrame, by: list[str], row: str, col: str, value: str
     return g.where((F.col(value) < F.col("_near")) | F.col(value).isNotNull() & F.col("_near").isNull()).drop("_near")
 
 
-def regions(px: DataFrame, by: list[str], t: str, f: str, value: str, dt: float, df: float) -> DataFrame:
+def regions(px: DataFrame, by: list[str], t: str, f: str, value: str, dt: float, df: float, corner: bool = False) -> DataFrame:
     """Properties of labelled regions, one row each: weighted centroid, box, duration, bandwidth, area, volume, height,
-    peakiness (NULL for one pixel or a flat region)."""
+    peakiness (NULL for one pixel or a flat region); with ``corner``, t_lo and f_lo, where the box begins."""
     v = F.col(value)
     out = px.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum(v).alias("_s"), F.sum(v * F.col(t)).alias("_st"), F.sum(v * F.col(f)).alias("_sf"),
@@ -76,6 +76,7 @@ def regions(px: DataFrame, by: list[str], t: str, f: str, value: str, dt: float,
     return out.select(
         *by, "n", (centre("_st", "t_lo") * dt).alias("peak_time"), (centre("_sf", "f_lo") * df).alias("peak_freq"), ((F.col("t_hi") - F.col("t_lo") + 1) * dt).alias("duration"), ((F.col("f_hi") - F.col("f_lo") + 1) * df).alias("bandwidth"),
         (F.col("n") * dt * df).alias("area"), (F.col("_s") * dt * df).alias("volume"), (F.col("_hi") - F.col("_lo")).alias("height"), peaky.alias("peakiness"),
+        *(("t_lo", "f_lo") if corner else ()),
     )
 
 

@@ -175,3 +175,23 @@ def test_extraction_equals_the_entry_point_on_arrays(spark):
         for c in ("peak_time", "peak_freq", "duration", "bandwidth", "height", "volume", "area", "bbox_t", "bbox_f"):
             assert abs(r[c] - e[c]) < 1e-9, c
     assert {(r.f_idx, r.t_idx, r.peak_id) for r in out.labels.collect()} == {(int(f), int(t), int(labels[f, t])) for f, t in zip(*np.nonzero(labels), strict=True)}
+
+
+def test_labels_of_an_extraction_are_found_once(spark):
+    from nocturne.operators.peaks import extract
+
+    px = spark.createDataFrame([("a", t, f, float(t % 7 + f % 3)) for f in range(8) for t in range(20)], "rec string, t_idx long, f_idx long, power double")
+    plan = extract(px, 0.5, 0.25, longest=10).peaks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1
+
+
+def test_small_images_are_labelled_like_large_ones(monkeypatch):
+    from nocturne.kernels import regions
+
+    rng = np.random.default_rng(8)
+    masks = [rng.random((rng.integers(1, 12), rng.integers(1, 12))) < x for x in np.linspace(0, 1, 60)]
+    walked = [(ws.components(m), regions._filled(m)) for m in masks]
+    monkeypatch.setattr(ws, "SMALL", -1)
+    monkeypatch.setattr(regions, "SMALL", -1)
+    for m, (parts, filled) in zip(masks, walked, strict=True):
+        assert (ws.components(m) == parts).all() and (regions._filled(m) == filled).all()
