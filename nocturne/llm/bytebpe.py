@@ -13,6 +13,7 @@ import base64
 import functools
 import hashlib
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -137,13 +138,15 @@ class Codec:
     """The vocabulary, and ids of the pieces met so far."""
 
     def __init__(self, ranks: str, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         with open(vocabulary, encoding="utf-8") as f:
             model = json.load(f)["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.model = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
-        self.model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")  # no byte is written as this character
+        self.mark = 1 + max(model["vocab"].values())  # "\n" begins a piece: no byte is written so, and it merges with nothing
+        self.model = Tokenizer(models.BPE(vocab=model["vocab"] | {"\n": self.mark}, merges=merges, cache_capacity=0))
+        self.model.pre_tokenizer = pre_tokenizers.Split("\n", "merged_with_next")
         with open(ranks, "rb") as f:
             table = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
         size = max(table) + 1
@@ -158,9 +161,11 @@ class Codec:
         body, bounds = gathered(data, start, end)
         size = np.diff(bounds)
         text = np.full(len(body) + len(size), ord("\n"), np.uint32)
-        text[np.arange(len(body)) + np.repeat(np.arange(len(size)), size)] = self.characters[body]
-        found = self.model.encode(text.tobytes().decode("utf-32-le"), add_special_tokens=False)
-        return np.array(found.ids, np.int32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(size))
+        text[np.arange(len(body)) + np.repeat(np.arange(1, len(size) + 1), size)] = self.characters.take(body)
+        (found,) = self.model.encode_batch_fast([text.tobytes().decode("utf-32-le")], add_special_tokens=False)
+        ids = np.array(found.ids, np.int32)
+        begin = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, begin), np.diff(begin, append=len(ids)) - 1
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""

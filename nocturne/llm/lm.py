@@ -83,51 +83,69 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def gradient(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, c: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of the groups and its gradient for windows of CONTEXT + 1 classes; -1 pads the end of a window."""
-    x, y = np.maximum(c[:, :-1], 0), group[np.maximum(c[:, 1:], 0)].ravel()
-    there = (c[:, 1:] >= 0).ravel().astype(shares.dtype)
-    n, t = x.shape
-    x = x.ravel()
-    scale = shares.dtype.type(WIDTH**-0.5)
+GAP = np.arange(CONTEXT)[:, None] - np.arange(CONTEXT)[None, :]
+BEHIND = np.maximum(GAP, 0)
+
+
+def gradient(p: dict[str, np.ndarray], shares: np.ndarray, group: np.ndarray, c: np.ndarray, measured: bool = True) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss of the groups (NaN unless measured) and its gradient for windows of CONTEXT + 1 classes; -1 pads the end
+    of a window.
+
+    Most arrays lie across, a place a column, where a factor a place costs little. Queries, keys and values lie one under
+    another with a one below, so that products with the values also give sums of rows. Neither the rows of attention nor
+    the groups' shares are scaled to 1: what goes in and out of them is."""
+    kind, n, w = shares.dtype, len(c), WIDTH
+    blocks = lambda a: a.reshape(len(a), n, CONTEXT).transpose(1, 0, 2)
+    x, y = np.maximum(c[:, :-1], 0).ravel(), group.take(np.maximum(c[:, 1:], 0).ravel())
+    there = (c[:, 1:] >= 0).ravel().astype(kind)
+    scale = kind.type(w**-0.5)
     e = p["emb"].take(x, axis=0)
-    into = {"q": p["q"] * scale, "k": p["k"], "v": p["v"]}
-    q, k, v = ((e @ w).reshape(n, t, WIDTH) for w in into.values())
-    gap = np.arange(t)[:, None] - np.arange(t)[None, :]
-    a = q @ k.transpose(0, 2, 1)
+    into = np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1)
+    made = np.empty((3 * w + 1, len(e)), kind)
+    np.matmul(into.T, e.T, out=made[:-1])
+    made[-1] = 1
+    q, k, v1 = (blocks(a) for a in (made[:w], made[w : 2 * w], made[2 * w :]))
+    a = q.transpose(0, 2, 1) @ k
     np.exp(np.clip(a, -LIMIT, LIMIT, out=a), out=a)
-    a *= np.where(gap >= 0, np.exp(p["rel"])[np.maximum(gap, 0)], 0)
-    a *= (1 / (a.reshape(-1, t) @ np.ones(t, a.dtype))).reshape(n, t, 1)
-    av = (a @ v).reshape(-1, WIDTH)
-    h = av @ p["o"]
-    z = h @ p["out"]
+    a *= np.where(GAP >= 0, np.exp(p["rel"])[BEHIND], 0)
+    av = np.empty((w + 1, len(e)), kind)
+    np.matmul(v1, a.transpose(0, 2, 1).copy(), out=blocks(av))  # small products are faster by a copy than by a mirrored view
+    part = 1 / av[-1]
+    av = av[:-1] * part
+    h = p["o"].T @ av
+    z = h.T @ p["out"]
     np.exp(np.clip(z, -LIMIT, LIMIT, out=z), out=z)
     z *= shares.take(x, axis=0)
-    all_ = z @ np.ones(z.shape[1], z.dtype)
-    at = np.arange(n * t), y
+    all_ = z @ np.ones(GROUPS, kind)
+    flat_z, at = z.reshape(-1), np.arange(0, z.size, GROUPS) + y
     total = max(float(there.sum()), 1.0)
-    loss = -float((np.log(z[at] / all_) * there).sum()) / total
-    there /= total
-    z *= (there / all_)[:, None]
-    z[at] -= there
-    g = {"out": h.T @ z}
-    dh = z @ p["out"].T
-    g["o"] = av.T @ dh
-    dav = (dh @ p["o"].T).reshape(n, t, WIDTH)
-    ds = dav @ v.transpose(0, 2, 1)
-    ds -= np.einsum("ijk,ijk->ij", ds, a)[:, :, None]
+    loss = -float((np.log(flat_z.take(at) / all_) * there).sum()) / total if measured else math.nan
+    flat_z[at] -= all_
+    there /= all_ * kind.type(total)
+    g = {"out": (h * there) @ z}
+    dh = p["out"] @ z.T
+    dh *= there
+    g["o"] = av @ dh.T
+    dav = np.empty((w + 1, len(e)), kind)
+    np.multiply(p["o"] @ dh, part, out=dav[:-1])
+    np.negative(np.einsum("ij,ij->j", dav[:-1], av), out=dav[-1])
+    dav = blocks(dav)
+    ds = dav.transpose(0, 2, 1) @ v1
     ds *= a  # 0 ahead
-    g["rel"] = np.bincount(np.maximum(gap, 0).ravel(), ds.sum(axis=0).ravel(), t).astype(z.dtype)
-    de = np.zeros_like(e)
-    for name, back in (("q", ds @ k), ("k", ds.transpose(0, 2, 1) @ q), ("v", a.transpose(0, 2, 1) @ dav)):
-        back = back.reshape(-1, WIDTH)
-        g[name] = e.T @ back
-        de += back @ into[name].T
-    g["q"] *= scale
+    g["rel"] = np.bincount(BEHIND.ravel(), np.ones(n, kind) @ ds.reshape(n, -1), CONTEXT).astype(kind)
+    back = np.empty((3 * w, len(e)), kind)
+    np.matmul(k, ds.transpose(0, 2, 1).copy(), out=blocks(back[:w]))
+    np.matmul(q, ds, out=blocks(back[w : 2 * w]))
+    np.matmul(dav[:, :-1], a, out=blocks(back[2 * w :]))
+    g["q"], g["k"], g["v"] = (back @ e).reshape(3, w, w).transpose(0, 2, 1)
+    g["q"] = g["q"] * scale
     order = np.argsort(x, kind="stable")
-    first = np.flatnonzero(np.append(True, x[order][1:] != x[order][:-1]))
+    x = x.take(order)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    first = np.flatnonzero(new)
     g["emb"] = np.zeros_like(p["emb"])
-    g["emb"][x[order][first]] = np.add.reduceat(de[order], first, axis=0)
+    g["emb"][x.take(first)] = np.add.reduceat((back.T @ into.T).take(order, axis=0), first, axis=0)
     return loss, g
 
 
@@ -151,7 +169,7 @@ class Trainer:
     def _run(self, rows: np.ndarray) -> None:
         rows = rows[self.rng.permutation(len(rows))]
         for lo in range(0, len(rows), BATCH):
-            _, g = gradient(unflat(self.x), self.shares, self.group, rows[lo : lo + BATCH])
+            _, g = gradient(unflat(self.x), self.shares, self.group, rows[lo : lo + BATCH], measured=False)
             g = flat(g)
             self.steps += 1
             self.m += np.float32(0.1) * (g - self.m)
@@ -168,45 +186,53 @@ class Trainer:
         return np.append(self.x.astype(np.float64), 1.0) * self.windows
 
 
-def _attend(p: dict[str, np.ndarray], x: np.ndarray, text: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """What attention adds, for all places of x but the first CONTEXT - 1; their number is a multiple of BLOCK."""
-    back = CONTEXT - 1
-    e = p["emb"].take(x, axis=0)
-    q, k, v = (e[back:] @ (p["q"] * np.float32(WIDTH**-0.5))).reshape(-1, BLOCK, WIDTH), e @ p["k"], e @ p["v"]
-    view = lambda a: np.lib.stride_tricks.sliding_window_view(a, back + BLOCK, axis=0)[::BLOCK]
-    s = q @ view(k)
+def _attend(into: dict[str, np.ndarray], x: np.ndarray, text: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """What attention adds to the groups, for all places of x but the first CONTEXT - 1; their number is a multiple of
+    BLOCK. Keys and values lie side by side with a one after them, so that the product with the values also gives the
+    sums of rows; sums and means lie across, where they divide at once."""
+    back, w, seen = CONTEXT - 1, WIDTH, CONTEXT - 1 + BLOCK
+    n = len(x) - back
+    e = into["emb"].take(x, axis=0)
+    kv = np.empty((len(x), 2 * w + 1), np.float32)
+    np.matmul(e, into["kv"], out=kv[:, :-1])
+    kv[:, -1] = 1
+    row, one = kv.strides
+    across = lambda size, at: np.ndarray((n // BLOCK, size, seen), np.float32, kv, at * one, (BLOCK * row, one, row))
+    s = (e[back:] @ into["q"]).reshape(-1, BLOCK, w) @ across(w, 0)
     np.exp(np.clip(s, -LIMIT, LIMIT, out=s), out=s)
     s *= bias
-    near = view(text)
-    mixed = np.flatnonzero(near[:, 0] != near[:, -1])  # blocks that touch more than one text
+    mixed = np.flatnonzero(text[: n - BLOCK + 1 : BLOCK] != text[seen - 1 :: BLOCK])  # blocks that touch more than one text
     if len(mixed):
-        own = text[back:].reshape(-1, BLOCK)[mixed]
-        s[mixed] *= own[:, :, None] == near[mixed][:, None, :]
-    a = s @ view(v).transpose(0, 2, 1)
-    a = a.reshape(-1, WIDTH)
-    a *= 1 / (s.reshape(-1, s.shape[2]) @ np.ones((s.shape[2], 1), s.dtype))
-    return a @ p["o"]
+        near = text.take(mixed[:, None] * BLOCK + np.arange(seen))
+        s[mixed] *= near[:, back:, None] == near[:, None, :]
+    sums = np.empty((w + 1, n), np.float32)
+    np.matmul(across(w + 1, w), s.transpose(0, 2, 1), out=sums.reshape(w + 1, -1, BLOCK).transpose(1, 0, 2))
+    sums[:-1] /= sums[-1]
+    return sums[:-1].T @ into["out"]
 
 
-def class_scores(p: dict[str, np.ndarray], pair: np.ndarray, group: np.ndarray, x: np.ndarray, y: np.ndarray, text: np.ndarray) -> np.ndarray:
+def class_scores(p: dict[str, np.ndarray], pair: np.ndarray, group: np.ndarray, x: np.ndarray, y: np.ndarray, text: np.ndarray, shares: np.ndarray | None = None) -> np.ndarray:
     """Log probability of each class y given the classes x up to and with the one at its place. All texts in a row;
-    text: which one a place is in. Blocks overlap by the context, so every place sees CONTEXT classes of its own text.
-    Segments fit the cache."""
+    text: which one a place is in; shares: by_group(), where the caller has it. Blocks overlap by the context, so every
+    place sees CONTEXT classes of its own text. Segments fit the cache."""
     n, back = len(x), CONTEXT - 1
     blocks = -(-n // BLOCK)
     pad = lambda a, fill: np.concatenate([np.full(back, fill, a.dtype), a, np.full(blocks * BLOCK - n, fill, a.dtype)])
     xs, ts = pad(x, 0), pad(text, -1)
     gap = np.arange(BLOCK)[:, None] + back - np.arange(back + BLOCK)[None, :]
     bias = np.where((gap >= 0) & (gap < CONTEXT), np.exp(p["rel"])[np.clip(gap, 0, CONTEXT - 1)], 0).astype(np.float32)
-    shares, out, held = by_group(pair, group), np.empty(n, np.float32), np.empty((SEGMENT, GROUPS), np.float32)
+    into = {"emb": p["emb"], "q": p["q"] * np.float32(WIDTH**-0.5), "kv": np.concatenate([p["k"], p["v"]], axis=1), "out": p["o"] @ p["out"]}
+    shares = by_group(pair, group) if shares is None else shares
+    out, held, one = pair.ravel().take(x.astype(np.int32) * CLASSES + y), np.empty((SEGMENT, GROUPS), np.float32), np.ones(GROUPS, np.float32)
+    place = group.take(y) + np.arange(n) % SEGMENT * GROUPS
     for lo in range(0, blocks * BLOCK, SEGMENT):
         hi = min(lo + SEGMENT, blocks * BLOCK)
-        z = (_attend(p, xs[lo : hi + back], ts[lo : hi + back], bias) @ p["out"])[: n - lo]
-        before, after = x[lo:hi], y[lo:hi]
+        z = _attend(into, xs[lo : hi + back], ts[lo : hi + back], bias)[: n - lo]
         np.clip(z, -LIMIT, LIMIT, out=z)
-        own = z[np.arange(len(z)), group[after]]
+        out[lo:hi] += z.reshape(-1).take(place[lo:hi])
         np.exp(z, out=z)
-        out[lo:hi] = own + pair[before, after] - np.log(np.einsum("ij,ij->i", z, shares.take(before, axis=0, out=held[: len(z)], mode="clip")))
+        z *= shares.take(x[lo:hi], axis=0, out=held[: len(z)], mode="clip")
+        out[lo:hi] -= np.log(z @ one)
     return out
 
 
@@ -276,7 +302,7 @@ class Slice:
 
     def __init__(self, column):
         data, offsets = utf8(column)
-        self.low, self.texts = LOWER[data], len(column)
+        self.low, self.texts = LOWER.take(data), len(column)
         start, end, self.row = words(data, offsets)
         h = Ranges(self.low)(start, end)
         sample, self.back = distinct(self.low, start, end, h)
@@ -447,14 +473,14 @@ def _train(shared, round_: int):
 def _score(shared):
     def run(batches):
         (body, bounds, head, value), params, pair, group, cls, within = shared.value
-        p = unflat(params)
+        p, shares = unflat(params), by_group(pair, group)
         for batch in sized(batches, "text"):
             part, texts = Slice(batch.column("text")), batch.num_rows
             ids, size = _stored(batch)
             text = np.repeat(np.arange(texts, dtype=np.int32), size)
             y = cls[ids]
             x = np.concatenate([cls[[END]], y[:-1]])  # a text begins after the end of the one before
-            log = class_scores(p, pair, group, x, y, text).astype(np.float64) + within[ids]
+            log = class_scores(p, pair, group, x, y, text, shares).astype(np.float64) + within[ids]
             at, known = find(head, part.hash)
             if len(head):
                 n = part.end - part.start

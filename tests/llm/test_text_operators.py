@@ -298,6 +298,24 @@ def test_lm_gradient():
         assert g[k][i] == pytest.approx(slope, rel=2e-2, abs=1e-6), k
 
 
+def test_lm_gradient_without_its_loss():
+    """Training asks for no loss: the same gradient, and no logarithms."""
+    rng, p, pair, group = lm_model(3)
+    c = rng.integers(0, lm.CLASSES, (5, lm.CONTEXT + 1))
+    c[2, 7:] = -1
+    (loss, g), (none, same) = (lm.gradient(p, lm.by_group(pair, group), group, c, measured=m) for m in (True, False))
+    assert np.isfinite(loss) and np.isnan(none)
+    assert g.keys() == same.keys() and all((g[k] == same[k]).all() for k in g)
+
+
+def test_lm_scores_with_shares_at_hand():
+    rng, p, pair, group = lm_model(4)
+    x, y = rng.integers(0, lm.CLASSES, (2, 90))
+    of = np.repeat([0, 1, 2], [20, 1, 69])
+    expected = lm.class_scores(p, pair, group, x, y, of)
+    assert (lm.class_scores(p, pair, group, x, y, of, lm.by_group(pair, group)) == expected).all()
+
+
 def test_lm_scores_do_not_see_ahead_or_other_texts():
     rng, p, pair, group = lm_model(2)
     x = rng.integers(0, lm.CLASSES, 150)
@@ -434,6 +452,30 @@ def test_words_that_plain_polynomials_confuse(spark):
     assert seen == {0: 2, 1: 1, 2: 2}
 
 
+def test_numbered_is_unique():
+    rng = np.random.default_rng(4)
+    for n, of in ((0, 1), (1, 1), (50_000, 300), (50_000, 1 << 63)):
+        h = rng.integers(0, of, n).astype(np.uint64) * np.uint64(2)  # some beyond 2**63
+        _, first, back = np.unique(h, return_index=True, return_inverse=True)
+        got = text.numbered(h)
+        assert (got[0] == first).all() and (got[1] == back).all() and len(got[1]) == n
+
+
+def test_pieces_are_spelled_each_by_itself():
+    """Ids of many pieces at once, an empty one and one of a newline among them: of each those of the piece alone."""
+    c = bytebpe.codec(*(bytebpe.public_path(x) for x in (bytebpe.RANKS, bytebpe.VOCABULARY)))
+    pieces = [b" the", b"", b"\n", b"\n\n", b"", *(bytes(np.random.default_rng(i).integers(0, 256, 9).astype(np.uint8)) for i in range(40)), b"xyzzy" * 30, b""]
+    ends = np.cumsum([len(x) for x in pieces])
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    ids, n = c._spell(data, ends - [len(x) for x in pieces], ends)
+    upto = np.concatenate([[0], np.cumsum(n)])
+    for piece, lo, hi in zip(pieces, upto[:-1], upto[1:], strict=True):
+        body = np.frombuffer(piece, np.uint8)
+        alone, _ = c._spell(body, np.array([0]), np.array([len(piece)]))
+        assert ids[lo:hi].tolist() == alone.tolist() and c.decode(ids[lo:hi]).tobytes() == piece
+    assert n[1] == n[4] == n[-1] == 0 and c.mark not in ids
+
+
 def test_equal_hashes_are_told_apart():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
